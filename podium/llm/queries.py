@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from podium.llm import pii, secrets
+from podium.llm import packing, pfor, pii, quality, secrets
 from podium.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +19,28 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents, secrets.default_models(spark, documents))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col(quality.ADDED)
+    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"),
+        q["n_repeat_words"].alias("n_repeat_words"), q["base_failed"].alias("base_failed"), q["kept"].alias("kept"), q["posterior"].alias("posterior"),
+    )
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("cost")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op7_pii)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op5_token_ids, op6_packing, op7_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

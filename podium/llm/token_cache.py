@@ -8,6 +8,7 @@ that returns is looked up. The white space is Unicode's, as in the library.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -21,6 +22,7 @@ class TokenCache:
     """ids(text): little-endian unsigned 32-bit ids as bytes. The cache is emptied at `limit` stretches and takes none over 40 characters."""
 
     def __init__(self, path: str, limit: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
