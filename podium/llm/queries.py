@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import packing, pfor, pii, quality, secrets
-from podium.llm.common import table
+from podium.llm import decontaminate, language, packing, pfor, pii, quality, secrets, shards
+from podium.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,8 +39,31 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    network = language.train(*language.sample(documents, ~held_out, rows=4000))
+    return language.predict(documents, network, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, scratch(spark, "shards"), documents.schema)
+    # sixteen arrivals: what came in the hours of a day, say; all rows arrive
+    store.append(documents.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16))), "__arrival")
+    store.compact()
+    return store.read().select(
+        "doc_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"),
+        F.col("__run").alias("run_id"), F.col("__tier").alias("tier"), F.col("__files").alias("run_files"), F.lit(store.version()).cast("long").alias("version"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op5_token_ids, op6_packing, op7_pii)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op5_token_ids, op6_packing, op7_pii, op8_language, op9_decontamination, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
