@@ -37,7 +37,7 @@ PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []
+    return text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []
 
 
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
