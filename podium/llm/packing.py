@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from podium.llm.common import small_batches
-from podium.llm.token_cache import TokenCache
+from podium.llm.token_cache import token_cache
 
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n, in units of one token's feed-forward work.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -111,7 +111,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capaci
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, first = TokenCache(tokenizer), TaskContext.get().partitionId() << 40
+        cache, first = token_cache(tokenizer), TaskContext.get().partitionId() << 40
         end = np.array([end_id], "<u4").tobytes()
         docs: list[int] = []
         ids: list[bytes] = []
@@ -137,7 +137,9 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capaci
 
         for batch in batches:
             docs += batch.column(0).to_pylist()
-            ids += [x + end for x in cache.ids_of_all(batch.column(1).to_pylist())]
+            found, sizes = cache.ids_of_all(batch.column(1).to_pylist())
+            raw, ends = found.astype("<u4").tobytes(), 4 * np.cumsum(sizes)
+            ids += [raw[b - 4 * n : b] + end for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             if len(docs) >= group:
                 yield flush()
         if docs:

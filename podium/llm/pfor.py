@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.common import scratch, small_batches
-from podium.llm.token_cache import TokenCache
+from podium.llm.token_cache import token_cache
 
 BLOCK, MAGIC = 128, b"PFR1"
 PERCENTILE = 90
@@ -140,27 +140,30 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, cache = TaskContext.get().partitionId(), TokenCache(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        part, cache = TaskContext.get().partitionId(), token_cache(tokenizer)
         docs: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = segment = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal segment, held, docs, parts
-            tokens = np.array([len(x) // 4 for x in parts])
-            data = pack_segment(np.array(docs, np.int64), tokens, np.frombuffer(b"".join(parts), "<u4"))
+            nonlocal segment, held
+            tokens = np.concatenate(sizes)
+            data = pack_segment(np.array(docs, np.int64), tokens, np.concatenate(parts))
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_tokens": pa.array([int(tokens.sum())], pa.int64()), "data": pa.array([data], pa.binary())})
-            segment, held, docs, parts = segment + 1, 0, [], []
+            segment, held = segment + 1, 0
+            for x in (docs, parts, sizes):
+                x.clear()
             return row
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), cache.ids_of_all(batch.column(1).to_pylist()), strict=True):
-                docs.append(doc)
-                parts.append(ids + end)
-                held += len(ids) // 4 + 1
-                if held >= segment_ids:
-                    yield flush()
+            ids, n = cache.ids_of_all(batch.column(1).to_pylist())
+            docs += batch.column(0).to_pylist()
+            parts.append(np.insert(ids, np.cumsum(n), end_id).astype(np.uint32))
+            sizes.append(n + 1)
+            held += len(ids) + len(n)
+            if held >= segment_ids:
+                yield flush()
         if docs:
             yield flush()
 
