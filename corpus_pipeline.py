@@ -1,11 +1,72 @@
-"""A training corpus in five stages; each takes what its predecessor kept."""
+"""A training corpus in five stages; each works on all that its predecessor kept, and its decisions take effect.
 
-STAGES = []
+quality        texts that the weakly supervised rules reject go
+near_copies    of each group of texts that share 80 % of their five-word shingles, over any number of links, the smallest id stays
+benchmark      texts that overlap with a benchmark item go
+secrets        secrets in texts give way to a mark
+packing        what is left is cut and packed into sequences of 1024 tokens; a row a piece
+
+Null and empty texts fail the quality rules. Rows that repeat an id and are kept by near_copies stay once, by
+the order of their texts; rows without an id are never compared, and stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from podium.llm import decontaminate, jaccard_join, packing, quality, secrets
+from podium.llm.common import table, written
+
+WORDS, PERCENT = 5, 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = written(jaccard_join.components(docs, WORDS, PERCENT), "near-copies")
+    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    once = jaccard_join.bounded_broadcast(written(first.where("__rows = 1").select("doc_id"), "kept-ids"))
+    again = jaccard_join.bounded_broadcast(written(first.where("__rows > 1").select("doc_id"), "kept-again"))
+    order = Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id"))
+    repeated = docs.join(again, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return docs.join(once, "doc_id", "left_semi").unionByName(repeated.select(*docs.columns)).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secrets.redact(docs, secrets.default_models(spark, docs))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_rules),
+    ("near_copies", near_copies),
+    ("benchmark", benchmark),
+    ("secrets", secret_scan),
+    ("packing", pack),
+]
+
+#: No SQL has the tokenizers, the trained models or the search by spaced seeds; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
-    return df
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
+    return docs

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,16 +84,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def over_batches(rows: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> Callable:
-    """rows, applied to each batch, as mapInArrow wants it."""
+#: Stands for a missing id where ids are stored as plain integers.
+NO_ID = -(2**63)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from rows(batch)
 
-    return run
+def ids_in(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def matches_any(pattern: str) -> re.Pattern:
-    return re.compile(pattern, re.ASCII)
+def ids_out(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=np.asarray(ids) == NO_ID)

@@ -12,7 +12,8 @@ r"""Documents linked by the Jaccard similarity of their word n-grams, exactly.
 4.  The links' connected components get their smallest id.
 
 No candidate is capped and no link is lost. Null and empty texts have an empty set, link with nothing and are
-their own component. Texts of fewer words than n are one n-gram, the whole. Repeated rows are of one class.
+their own component. Texts of fewer words than n are one n-gram, the whole. Repeated rows are of one class. A
+row without an id links nothing; it has the component of its class, or none.
 """
 
 from __future__ import annotations
@@ -247,20 +248,24 @@ def links_in(groups: DataFrame, percent: int) -> DataFrame:
     return groups.repartition(*keys).sortWithinPartitions(*keys, "block", "node").select(*keys, "block", "node", "grams").mapInArrow(run, "src long, dst long")
 
 
+def bounded_broadcast(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has few rows and shuffled if not."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def sets_of(documents: DataFrame, groups: DataFrame, n: int, id_column: str, text: str) -> DataFrame:
-    """groups (node, hash1, hash2, component, block, blocks) with the sets of the texts."""
+    """groups (node, hash1, component, block, blocks) with the sets of the texts."""
     small_batches(documents.sparkSession)
     texts = documents.select(F.col(id_column).alias("node"), F.col(text).alias("__text"))
-    few = groups.count() <= BROADCAST_IDS
-    rows = texts.join(F.broadcast(groups) if few else groups, "node").select("node", "hash1", "hash2", "component", "block", "blocks", "__text")
+    rows = texts.join(bounded_broadcast(groups), "node").select("node", "hash1", "component", "block", "blocks", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            grams = [ngram_set(words_of(t), hashes, n) for t in batch.column(6).to_pylist()]
+            grams = [ngram_set(words_of(t), hashes, n) for t in batch.column(5).to_pylist()]
             # of rows that share an id, the one whose set is meant
             mine = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == h for s, h in zip(grams, batch.column(1).to_pylist(), strict=True)]
-            whole = pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 3, 4, 5)), pa.array([s.tobytes() for s in grams], pa.binary())], names=["node", "component", "block", "blocks", "grams"])
+            whole = pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3, 4)), pa.array([s.tobytes() for s in grams], pa.binary())], names=["node", "component", "block", "blocks", "grams"])
             yield whole.filter(pa.array(mine))
 
     return rows.mapInArrow(run, "node long, component long, block int, blocks int, grams binary")
@@ -270,13 +275,13 @@ def components(documents: DataFrame, n: int = 3, percent: int = 90, id_column: s
     """For each row: id_column, n_shingles, and component_id, the smallest id among what it is linked with over any number of links."""
     rows = written(described(documents, n, percent, hot_buckets(documents, n, text), id_column, text), "ngram-sets")
     key = ["n", "hash1", "hash2"]
-    classes = written(rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("first")), "ngram-classes")
+    classes = written(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("first")), "ngram-classes")
     members = written(rows.join(classes.withColumnRenamed("first", "id"), [*key, "id"]).dropDuplicates(["id", *key]), "ngram-members")
     grouped = candidate_groups(members)
     size = grouped.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.when(F.col("size") <= SMALL_GROUP, 1).otherwise(F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("size") / LARGEST_BLOCK))).cast("int")
     dealt = grouped.join(size, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    groups = written(dealt.join(members.select(F.col("id").alias("node"), "hash1", "hash2"), "node").select("node", "hash1", "hash2", "component", "block", "blocks"), "candidate-groups")
+    groups = written(dealt.join(members.select(F.col("id").alias("node"), "hash1"), "node").select("node", "hash1", "component", "block", "blocks"), "candidate-groups")
     sets = sets_of(documents, groups, n, id_column, text)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("*", other).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "grams")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import scratch, small_batches
+from podium.llm.common import ids_in, ids_out, scratch, small_batches
 from podium.llm.token_cache import token_cache
 
 BLOCK, MAGIC = 128, b"PFR1"
@@ -141,7 +141,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segm
         from pyspark import TaskContext
 
         part, cache = TaskContext.get().partitionId(), token_cache(tokenizer)
-        docs: list[int] = []
+        docs: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         held = segment = 0
@@ -149,7 +149,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segm
         def flush() -> pa.RecordBatch:
             nonlocal segment, held
             tokens = np.concatenate(sizes)
-            data = pack_segment(np.array(docs, np.int64), tokens, np.concatenate(parts))
+            data = pack_segment(np.concatenate(docs), tokens, np.concatenate(parts))
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_tokens": pa.array([int(tokens.sum())], pa.int64()), "data": pa.array([data], pa.binary())})
             segment, held = segment + 1, 0
             for x in (docs, parts, sizes):
@@ -158,7 +158,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segm
 
         for batch in batches:
             ids, n = cache.ids_of_all(batch.column(1).to_pylist())
-            docs += batch.column(0).to_pylist()
+            docs.append(ids_in(batch.column(0)))
             parts.append(np.insert(ids, np.cumsum(n), end_id).astype(np.uint32))
             sizes.append(n + 1)
             held += len(ids) + len(n)
@@ -193,7 +193,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                 raw = ids.astype("<u4").tobytes()
                 starts = ends - tokens
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(starts + first, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids_out(doc_ids), "start": pa.array(starts + first, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return files.join(F.broadcast(places), ["part", "segment"]).select("first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

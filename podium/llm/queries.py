@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import decontaminate, jaccard_join, language, packing, pfor, pii, quality, secrets, shards
+from podium.llm import decontaminate, jaccard_join, language, ngram_lm, packing, pfor, pii, quality, secrets, shards
 from podium.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.train_and_score(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_ngram_join, op5_token_ids, op6_packing, op7_pii, op8_language, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_lm_scores, op4_ngram_join, op5_token_ids, op6_packing, op7_pii, op8_language, op9_decontamination, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -115,11 +115,11 @@ def labelled_samples(documents: DataFrame, rows: int = 1000, generated: int = 30
         .alias("text"),
         F.lit(True).alias("is_secret"),
     )
+    # ids first: no task gathers more than these and the texts of one partition
+    picked = documents.where("text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     words = (
-        documents.where("text is not null")
-        .select("doc_id", "text")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
+        documents.join(F.broadcast(picked), "doc_id", "left_semi")
+        .where("text is not null")
         .select(F.regexp_extract_all("text", F.lit("\\b([A-Za-z]{3,12})\\b"), F.lit(1)).alias("w"), F.xxhash64("doc_id").alias("h"))
         .where(F.size("w") >= 4)
         .select("w", "h", F.explode(F.sequence(F.lit(1), F.least(F.size("w") - 3, F.lit(60)))).alias("i"))
