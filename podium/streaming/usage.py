@@ -32,18 +32,23 @@ def run_now(stream: DataFrame, table: str, checkpoint: str, mode: str = "complet
     a path of its own, so that a batch that is run again after a failure replaces only itself.
     """
     spark = stream.sparkSession
-    state = {"path": None}
 
     def land(batch: DataFrame, number: int) -> None:
-        path = f"{table}/batch={number}"
-        if mode == "update" and state["path"]:
-            old = spark.read.parquet(state["path"]).join(batch.select(*key), key, "left_anti")
-            batch = old.unionByName(batch)
-        batch.write.mode("overwrite").parquet(path)
-        state["path"] = path
+        if mode == "update" and number:
+            old = spark.read.schema(batch.schema).parquet(f"{table}/batch={number - 1}")
+            batch = old.join(batch.select(*key), key, "left_anti").unionByName(batch)
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(land).start().awaitTermination()
-    return spark.read.parquet(state["path"]) if state["path"] else spark.createDataFrame([], stream.schema)
+    last = last_batch(spark, table)
+    return spark.read.parquet(f"{table}/batch={last}") if last is not None else spark.createDataFrame([], stream.schema)
+
+
+def last_batch(spark: SparkSession, table: str) -> int | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=None)
 
 
 def drop_folder(spark: SparkSession, folder: str, done: str, schema: str) -> DataFrame:

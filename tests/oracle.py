@@ -9,6 +9,7 @@ import os
 from collections import Counter
 
 import duckdb
+from pyspark.sql import DataFrame
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -32,7 +33,7 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> str:
+def differences(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str:
     """Empty if both have the same rows."""
     names = sorted(df.columns)
     ours = Counter(tuple(plain(r[n]) for n in names) for r in df.collect())
