@@ -286,3 +286,54 @@ def chosen_candidate(spark: SparkSession, sf: str) -> DataFrame:
     weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("mir_id") % 100) / 100 + F.when(team, 0.05).otherwise(-0.05)))
     best = first_per(r, ["swimmer_id"], [team.desc(), (F.col("pool") == 1).desc(), (F.col("mir_id") % 100).desc(), F.col("mir_id")])
     return best.select("swimmer_id", "mir_id", F.round(weight * 1000).cast("long").alias("weight"))
+
+
+@query("U19 G15 G16", """with recursive step(id, m, n) as (select s_suppkey, s_suppkey, 0 from supplier union all select id, case when m % 3 = 0 and m > 3 then m // 3 else m end, n + 1 from step where n < 20) select id, m as merged_into from step where n = 20""")
+def season_fix(spark: SparkSession, sf: str) -> DataFrame:
+    from podium.operators.resolve import kept
+
+    def step(df: DataFrame) -> DataFrame:
+        at = F.col("merged_into")
+        return df.select("id", F.when((at % 3 == 0) & (at > 3), F.expr("merged_into div 3")).otherwise(at).alias("merged_into"))
+
+    return ch.until_stable(d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("merged_into")), step, kept)
+
+
+ENTITIES = {
+    # entity: (survey row, natural key), over results of 1999 that come in and those before 1999 that are stored
+    "calendar": ("N02", ["month", "event"]),
+    "event": ("N10", ["month", "pool"]),
+    "program": ("N11", ["event", "pool", "gender"]),
+    "affiliation": ("N07", ["team_id"]),
+    "swimmer": ("N08", ["swimmer_id"]),
+    "relay swimmer": ("N15", ["relay_team", "pool"]),
+    "relay lap": ("N16", ["relay_team", "pool", "gender"]),
+}
+_key_sql = {"month": "meeting_id % 100", "event": "event", "pool": "pool", "gender": "case when swimmer_id % 2 = 0 then 'F' else 'M' end", "team_id": "team_id", "swimmer_id": "swimmer_id", "relay_team": "team_id % 17"}
+_entity_sql = " union all ".join(
+    f"select '{name}' as entity, count(*) filter (where s.found is null) as inserts, count(*) filter (where s.found is not null) as updates from (select distinct {', '.join(f'{_key_sql[k]} as k{i}' for i, k in enumerate(keys))} from results where season = 1999) n left join (select {', '.join(f'{_key_sql[k]} as k{i}' for i, k in enumerate(keys))}, min(mir_id) as found from results where season = 1996 group by {', '.join(str(i + 1) for i in range(len(keys)))}) s on {' and '.join(f'n.k{i} = s.k{i}' for i in range(len(keys)))}"
+    for name, (_, keys) in ENTITIES.items()
+)
+
+
+@query("U05 N01 N02 N03 N04 N05 N06 N07 N08 N10 N11 N14 N15 N16", d.sql("results", _entity_sql))
+def entity_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    r = d.results(spark, sf).withColumns({"month": F.col("meeting_id") % 100, "gender": F.when(F.col("swimmer_id") % 2 == 0, "F").otherwise("M"), "relay_team": F.col("team_id") % 17})
+    counts = []
+    for name, (_, key) in ENTITIES.items():
+        incoming = r.where("season = 1999").select(*key).distinct().withColumn("id", F.lit(None).cast("long"))
+        stored = r.where("season = 1996").select(*key, F.col("mir_id").alias("id"))
+        operation = F.col("operation")
+        counts.append(ch.upserts(incoming, stored, key, "id").agg(F.count_if(operation == "INSERT").alias("inserts"), F.count_if(operation == "UPDATE").alias("updates")).select(F.lit(name).alias("entity"), "inserts", "updates"))
+    out = counts[0]
+    for df in counts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+@query("Q21 P05 Q13 Q19", d.sql("age_bands results", """select mir_id, event || '/' || cast(swimmer_id as varchar) as key from results where starts_with(event || '/' || cast(swimmer_id as varchar), 'PROMO/1') and season - 1940 not in (select age_begin from age_bands where code = 'U25')"""))
+def key_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.concat(F.col("event"), F.lit("/"), F.col("swimmer_id").cast("string"))
+    undivided = F.broadcast(d.bands(spark, d.AGE_BANDS).where("code = 'U25'").select("age_begin"))
+    r = d.results(spark, sf).where(key.startswith("PROMO/1")).withColumn("age_begin", F.col("season") - 1940)
+    return r.join(undivided, "age_begin", "left_anti").select("mir_id", key.alias("key"))
