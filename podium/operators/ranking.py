@@ -25,7 +25,7 @@ def ranks(results: DataFrame, program: list[str], untimed: str = "last") -> Data
     """results with a rank in their program; rows without a time come last, or are left out (`drop`)."""
     rows = results.where("hundredths > 0") if untimed == "drop" else results
     order = Window.partitionBy(*program).orderBy((F.col("hundredths") == 0), "hundredths", "mir_id")
-    return rows.withColumn("rank", F.row_number().over(order))
+    return rows.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def lap_deltas(laps: DataFrame, key: str = "mir_id", at: str = "length") -> DataFrame:

@@ -76,7 +76,7 @@ def cup_ranking_no_dup_events(spark: SparkSession, sf: str) -> DataFrame:
     scores = first_per(best, ["swimmer_id"], [F.col("points").desc(), F.col("event")], 5).groupBy("swimmer_id").agg(F.sum("points").alias("score"))
     # the report has its first hundred places; a rank counts the better rows
     top = scores.orderBy(F.col("score").desc(), "swimmer_id").limit(100)
-    return top.withColumn("place", F.rank().over(Window.orderBy(F.col("score").desc())))
+    return top.withColumn("place", F.rank().over(Window.orderBy(F.col("score").desc())).cast("long"))
 
 
 @query("A12", d.sql("results swimmers", """select event, gender, pool, count(*) as n, grouping(gender) as g, grouping(pool) as p from results join swimmers using (swimmer_id) group by rollup (event, gender, pool)"""))
@@ -175,7 +175,7 @@ def missing_splits(spark: SparkSession, sf: str) -> DataFrame:
     top = F.array_max("lengths")
     expected = F.filter(F.sequence(F.lit(25), F.lit(100), F.lit(25)), lambda x: x < top)
     missing = F.transform(F.array_except(expected, "lengths"), lambda x: x.cast("string"))
-    return some.select("mir_id", top.cast("long").alias("longest"), F.when(F.size(missing) > 0, F.array_join(missing, ",")).alias("missing"))
+    return some.select("mir_id", top.cast("int").alias("longest"), F.when(F.size(missing) > 0, F.array_join(missing, ",")).alias("missing"))
 
 
 @query("A25 L03 F25", d.sql("usage_log", """select route, cast(sum(count) as bigint) as total from usage_log where day between (select max(day) from usage_log) - 6 and (select max(day) from usage_log) group by 1 having sum(count) > 5 order by total desc, route limit 10"""))

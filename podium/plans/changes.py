@@ -268,7 +268,7 @@ def fixture_sync(spark: SparkSession, sf: str) -> DataFrame:
 def ranking_export(spark: SparkSession, sf: str) -> DataFrame:
     best = d.results(spark, sf).where("hundredths > 0").groupBy("swimmer_id").agg(F.min("hundredths").alias("best"))
     top = best.orderBy("best", "swimmer_id").limit(50)
-    return top.select(F.row_number().over(Window.orderBy("best", "swimmer_id")).alias("place"), "swimmer_id", format_timing(F.col("best")).alias("timing"))
+    return top.select(F.row_number().over(Window.orderBy("best", "swimmer_id")).cast("long").alias("place"), "swimmer_id", format_timing(F.col("best")).alias("timing"))
 
 
 @query("N12 N13 N15 E14", d.sql("results laps", """select l.mir_id * 1000 + l.length as lap_key, case when s.mir_id is null then 'INSERT' else 'UPDATE' end as operation from laps l left join (select * from laps where length <= 50) s on s.mir_id = l.mir_id and s.length = l.length where l.mir_id in (select mir_id from results where meeting_id = 199712)"""))

@@ -33,7 +33,8 @@ def paged_lines(spark: SparkSession, sf: str) -> DataFrame:
     pages = programs(spark, sf).groupBy("meeting_id", "event", "pool").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("x")))), lambda s: s["x"]), "\r\n").alias("body"))
     body = F.concat(F.lit("PROGRAM\r\n"), F.col("body"))
     texts = pages.groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event", "pool", body.alias("x")))), lambda s: s["x"]), "\f").alias("text"))
-    return files.paged_lines(texts, "text", ["meeting_id"]).where("line > 0")
+    lines = files.paged_lines(texts, "text", ["meeting_id"]).where("line > 0")
+    return lines.withColumns({"page": F.col("page").cast("long"), "line": F.col("line").cast("long")})
 
 
 @query("S05 K01 F75", """select p_partkey, p_brand, p_size from part""")
@@ -67,7 +68,7 @@ def html_results(spark: SparkSession, sf: str) -> DataFrame:
     table = F.concat(F.lit("<tr class='header'><th>"), F.col("event"), F.lit("</th><th>"), F.col("pool").cast("string"), F.lit("</th></tr>"), F.col("rows"))
     pages = per.groupBy("meeting_id").agg(F.concat(F.lit("<html><table>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event", "pool", table.alias("x")))), lambda s: s["x"]), "\n"), F.lit("</table>")).alias("html"))
     c = F.col("cells")
-    return html.ranking_rows(pages, "meeting_id").select("meeting_id", "row", "category", F.get(c, F.lit(0)).alias("swimmer"), F.get(c, F.lit(1)).alias("timing"), F.get(c, F.lit(2)).alias("split"))
+    return html.ranking_rows(pages, "meeting_id").select(F.col("meeting_id").cast("int").alias("meeting_id"), F.col("row").cast("long").alias("row"), "category", F.get(c, F.lit(0)).alias("swimmer"), F.get(c, F.lit(1)).alias("timing"), F.get(c, F.lit(2)).alias("split"))
 
 
 #: Two layouts of our own for the rendered pages: with and without a place before the result.

@@ -190,14 +190,14 @@ def paged(df: DataFrame, order: list[str], page: int, per: int) -> DataFrame:
 def program_order(spark: SparkSession, sf: str) -> DataFrame:
     r = d.results(spark, sf).where("season = 1999 and swimmer_id < 200")
     order = Window.orderBy("disqualified", "meeting_id", F.coalesce(F.when(F.col("pool") == 1, F.col("stored_rank")), F.lit(9999)), "event", "mir_id")
-    return r.select("mir_id", F.row_number().over(order).alias("place"))
+    return r.select("mir_id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("L07 L08 L02", d.sql("results teams", """select mir_id, name, row_number() over (partition by meeting_id order by (name like '%1%') desc, hundredths desc, mir_id) as place from results join teams using (team_id) where season = 1997"""))
 def bucket_order(spark: SparkSession, sf: str) -> DataFrame:
     r = d.results(spark, sf).where("season = 1997").join(d.teams(spark, sf), "team_id")
     order = Window.partitionBy("meeting_id").orderBy(F.col("name").like("%1%").desc(), F.col("hundredths").desc(), "mir_id")
-    return r.select("mir_id", "name", F.row_number().over(order).alias("place"))
+    return r.select("mir_id", "name", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("L10", """select line, string_agg(cast(s_suppkey as varchar), ' ' order by s_suppkey) as ids from (select s_suppkey, (row_number() over (order by s_suppkey) - 1) // 10 as line from supplier) group by 1""")

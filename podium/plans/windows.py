@@ -60,7 +60,7 @@ def rank_timed(spark: SparkSession, sf: str) -> DataFrame:
 @query("W04", d.sql("results", """select mir_id, case when hundredths > 0 then row_number() over (partition by meeting_id, event order by case when hundredths = 0 then 603900 else hundredths end, mir_id) end as rank from results"""))
 def rank_parsed(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("meeting_id", "event").orderBy(F.when(F.col("hundredths") == 0, 603900).otherwise(F.col("hundredths")), "mir_id")
-    return d.results(spark, sf).select("mir_id", F.when(F.col("hundredths") > 0, F.row_number().over(order)).alias("rank"))
+    return d.results(spark, sf).select("mir_id", F.when(F.col("hundredths") > 0, F.row_number().over(order).cast("long")).alias("rank"))
 
 
 @query("W05", d.sql("laps", """select mir_id, length, cumulative - lag(cumulative, 1, 0) over (partition by mir_id order by length) as delta from laps"""))
