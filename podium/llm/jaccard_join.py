@@ -2,9 +2,9 @@ r"""Documents linked by the Jaccard similarity of their word n-grams, exactly.
 
 1.  Each text becomes its set of n-gram hashes. Texts of one set are one class, whose representative is its
     smallest id; only representatives go on.
-2.  Two linked sets differ in few elements, so if the elements are dealt to one part more than that, a part
-    is equal in both. N-grams that a share of all texts has are left out here. The hashes of the parts bring together what can link, in schemes by size. Representatives
-    that share a part are neighbours; what is connected by these is a candidate group.
+2.  Linked sets have one of their rarest n-grams in common, by any order that is the same for all; a sketch of
+    fixed size orders them by the texts that have them. Representatives that have too many for themselves are out;
+    those that share such an n-gram are neighbours, and what is connected by these is a candidate group.
 3.  A candidate group is searched for T-occurrences. Its n-grams are an inverted index; for each set the
     longest lists are put aside (DivideSkip), the short ones are merged, and what occurs often enough in those
     is probed for in the long ones by binary search. A group too large for one task is dealt to blocks, and
@@ -19,6 +19,7 @@ row without an id links nothing; it has the component of its class, or none.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 from podium.llm.common import WordHashes, mix, small_batches, words_of, written
 from podium.operators.components import connected_components
 
-#: Sizes of a scheme are within this factor.
-GROWTH = 1.5
 #: A candidate group has at least so many blocks once it is larger than SMALL_GROUP, and no block has more than LARGEST_BLOCK sets.
 SMALL_GROUP, LEAST_BLOCKS, LARGEST_BLOCK = 192, 24, 1024
-#: N-grams of buckets that more than this share of all texts have are left out of the parts.
-BUCKET_BITS, HOT_SHARE = 20, 0.005
+#: Buckets of the n-grams' frequencies, their slices, and tasks whose counts are added up first.
+BUCKET_BITS, SLICES, TASKS_TOGETHER = 22, 64, 128
+#: Rounds of leaving out what is linked with nothing.
+ROUNDS = 6
 #: The weight of the logarithm in DivideSkip's number of long lists.
 MU = 0.0085
 #: Candidates are broadcast to the scan of the texts up to so many ids of 8 bytes; beyond, both sides are shuffled.
@@ -53,80 +54,63 @@ def ngram_set(words: list[bytes], hashes: WordHashes, n: int) -> np.ndarray:
     return np.unique(total)
 
 
-def differences(size: float, percent: int) -> int:
-    """How many elements two linked sets of which the smaller is below size can differ in: both sizes together times (1 - t) / (1 + t)."""
-    t = percent / 100
-    return math.floor((1 - t) / (1 + t) * size * (1 + 1 / t) + 1e-9)
-
-
-def schemes(size: int, percent: int) -> list[int]:
-    """The scheme of this size, and the one below if a linked set can be of that."""
-    own = math.floor(math.log(size) / math.log(GROWTH) + 1e-12)
-    return [own, own - 1] if own and size * percent / 100 < GROWTH**own else [own]
-
-
-def signatures(grams: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
-    """Hashes of the parts of a set without its hot n-grams, in each of its schemes.
-
-    Linked sets differ in few n-grams that aren't hot, too, so a part is equal in both. If all equal parts were
-    empty, both sets would have no more filled parts than they can differ in; only such sets give hashes of
-    their empty parts.
-    """
-    found = [np.zeros(0, np.uint64)]
-    rare = grams[~hot[bucket(grams)]] if len(grams) else grams
-    own_most = differences(len(grams), percent)
-    for scheme in schemes(len(grams), percent) if len(grams) else []:
-        most = differences(GROWTH ** (scheme + 1), percent)
-        if not most:
-            continue  # only equal sets link
-        parts = most + 1 + math.ceil(0.06 * most)
-        part = ((mix(rare + np.uint64(scheme)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, mix(rare ^ np.uint64(0x5851F42D4C957F2D)))
-        filled = np.bincount(part, minlength=parts) > 0
-        own = mix(sums + np.uint64(scheme * 0x9E3779B97F4A7C15 & (2**64 - 1)) + mix(np.arange(1, parts + 1, dtype=np.uint64)))
-        found.append(own[filled] if filled.sum() > own_most else own)
-    return np.concatenate(found)
-
-
 def bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def hot_buckets(documents: DataFrame, n: int, text: str) -> np.ndarray:
-    """Which buckets of n-gram hashes more than HOT_SHARE of all texts have: what everyone quotes can't tell texts apart.
+def bucket_counts(documents: DataFrame, n: int, text: str) -> np.ndarray:
+    """How many texts have an n-gram of each bucket of hashes: a sketch of the n-grams' frequencies, of one size for any corpus.
 
-    All texts are counted. A task reports the buckets that many of its own texts have, so few rows are summed, and
-    the result has one bit a bucket at any size. It only speeds the search up: any choice of buckets gives the same links.
+    All texts are counted, each once a bucket. It orders the n-grams; any order gives the same links.
     """
     small_batches(documents.sparkSession)
+    slice_size = (1 << BUCKET_BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, texts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64), 0
+        from pyspark import TaskContext
+
+        hashes, counts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             sets = [np.unique(bucket(ngram_set(words_of(t), hashes, n))) for t in batch.column(0).to_pylist()]
             counts += np.bincount(np.concatenate([np.zeros(0, np.int64), *sets]), minlength=1 << BUCKET_BITS)
-            texts += len(sets)
-        many = np.flatnonzero(counts >= max(8, HOT_SHARE / 4 * texts))
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1, *many], pa.int64()), "texts": pa.array([texts, *counts[many]], pa.int64())})
+        if counts.any():
+            group = TaskContext.get().partitionId() // TASKS_TOGETHER
+            parts = [counts[k : k + slice_size].astype("<i8").tobytes() for k in range(0, 1 << BUCKET_BITS, slice_size)]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "group": pa.array([group] * SLICES, pa.int32()), "counts": pa.array([zlib.compress(x, 1) for x in parts], pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in rows.column("counts"))
+        return pa.table({"slice": rows.column("slice")[:1], "group": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    schema = "slice int, group int, counts binary"
+    summed = documents.select(text).mapInArrow(run, schema).groupBy("slice", "group").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for row in summed.collect():
+        counts[row.slice * slice_size : (row.slice + 1) * slice_size] = np.frombuffer(zlib.decompress(row.counts), "<i8")
+    return counts
+
 
-    counted = written(documents.select(text).mapInArrow(run, "bucket long, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts")), "hot-buckets")
-    total = counted.where("bucket < 0").agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
-    hot = np.zeros(1 << BUCKET_BITS, bool)
-    hot[[r[0] for r in counted.where((F.col("bucket") >= 0) & (F.col("texts") > max(8, HOT_SHARE * total))).select("bucket").collect()]] = True
-    return hot
+def needed(size: int, percent: int) -> int:
+    """Of so many n-grams of a set, by one order for all, two linked sets have one in common: they share `percent` of the larger one at least."""
+    return size - -(-percent * size // 100) + 1 if size else 0
 
 
-def described(documents: DataFrame, n: int, percent: int, hot: np.ndarray, id_column: str, text: str) -> DataFrame:
-    """For each row its id, size, two hashes of its set, and its parts' hashes."""
+def prefix(grams: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The rarest n-grams of a set: as many as needed, and some to spare."""
+    need = needed(len(grams), percent)
+    return grams[np.lexsort((grams, counts[bucket(grams)]))[: need + (8 + need // 3 if need else 0)]]
+
+
+def described(documents: DataFrame, n: int, percent: int, counts: np.ndarray, id_column: str, text: str) -> DataFrame:
+    """For each row its id, size, two hashes of its set, and its prefix."""
     small_batches(documents.sparkSession)
-    bits = np.packbits(hot)
+    packed = zlib.compress(np.minimum(counts, 2**32 - 1).astype("<u4").tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, mask = WordHashes(), np.unpackbits(bits).astype(bool)
+        hashes, order = WordHashes(), np.frombuffer(zlib.decompress(packed), "<u4")
         for batch in batches:
             sets = [ngram_set(words_of(t), hashes, n) for t in batch.column(1).to_pylist()]
-            parts = [signatures(s, percent, mask) for s in sets]
+            parts = [prefix(s, percent, order) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -136,17 +120,33 @@ def described(documents: DataFrame, n: int, percent: int, hot: np.ndarray, id_co
                     pa.array([int(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))),
                 ],
-                names=["id", "n", "hash1", "hash2", "parts"],
+                names=["id", "n", "hash1", "hash2", "prefix"],
             )
 
-    return documents.select(id_column, text).mapInArrow(run, "id long, n long, hash1 long, hash2 long, parts array<bigint>")
+    return documents.select(id_column, text).mapInArrow(run, "id long, n long, hash1 long, hash2 long, prefix array<bigint>")
 
 
-def candidate_groups(members: DataFrame) -> DataFrame:
-    """(node, component) of the representatives that share a part with another."""
-    parts = members.select(F.col("id").alias("node"), F.explode("parts").alias("part"))
-    shared = written(parts.groupBy("part").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("part", "first"), "shared-parts")
-    edges = parts.join(shared, "part").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct()
+def candidate_groups(members: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the representatives that can be linked and share an n-gram of their prefixes with another such.
+
+    A set that has as many n-grams for itself as two linked sets can't both have is linked with none; without those
+    sets others have more n-grams for themselves, so this is asked again, until nothing changes or ROUNDS are over.
+    """
+    n = F.col("n")
+    spare = F.size("prefix") - (n - F.ceil(n * percent / F.lit(100)) + 1)
+    hits = members.select(F.col("id").alias("node"), spare.cast("int").alias("spare"), F.explode("prefix").alias("gram"))
+    left = None
+    for _ in range(ROUNDS):
+        shared = written(hits.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("gram"), "shared-grams")
+        hits = written(hits.join(shared, "gram"), "shared-hits")
+        able = written(hits.groupBy("node", "spare").count().where(F.col("count") > F.col("spare")).select("node"), "able")
+        hits = hits.join(bounded_broadcast(able), "node", "left_semi")
+        before, left = left, able.count()
+        if left == before:
+            break
+    hits = written(hits, "able-hits")
+    firsts = written(hits.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("gram", "first"), "first-nodes")
+    edges = hits.join(firsts, "gram").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct()
     return connected_components(written(edges, "candidate-edges"), written)
 
 
@@ -273,11 +273,11 @@ def sets_of(documents: DataFrame, groups: DataFrame, n: int, id_column: str, tex
 
 def components(documents: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: id_column, n_shingles, and component_id, the smallest id among what it is linked with over any number of links."""
-    rows = written(described(documents, n, percent, hot_buckets(documents, n, text), id_column, text), "ngram-sets")
+    rows = written(described(documents, n, percent, bucket_counts(documents, n, text), id_column, text), "ngram-sets")
     key = ["n", "hash1", "hash2"]
     classes = written(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("first")), "ngram-classes")
     members = written(rows.join(classes.withColumnRenamed("first", "id"), [*key, "id"]).dropDuplicates(["id", *key]), "ngram-members")
-    grouped = candidate_groups(members)
+    grouped = candidate_groups(members, percent)
     size = grouped.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.when(F.col("size") <= SMALL_GROUP, 1).otherwise(F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("size") / LARGEST_BLOCK))).cast("int")
     dealt = grouped.join(size, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -288,4 +288,4 @@ def components(documents: DataFrame, n: int = 3, percent: int = 90, id_column: s
     links = written(links_in(pairs, percent), "links")
     joined = connected_components(links, written).select(F.col("node").alias("first"), F.col("component").alias("reached"))
     named = written(classes.join(joined, "first", "left").select(*key, F.coalesce("reached", "first").alias("component_id")), "class-components")
-    return rows.drop("parts").join(named, key, "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return rows.drop("prefix").join(named, key, "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
