@@ -30,7 +30,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 RUN = re.compile(r"[0-9]+")
 LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s@/]+@[A-Za-z0-9.-]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
-ACCOUNT = re.compile(r"(?: (?:number|num|no|nr)\.?)? ?[:#=] ?([0-9]{6,17})(?![0-9])")
+ACCOUNT = re.compile(r"(?: (?:number|num|no|nr)\.?[ :#=]{1,2}| ?[:#=] ?)([0-9]{6,17})(?![0-9])")
 CUES = {"scheme": ("://",), "iban": ("IBAN", "iban", "Iban"), "account": ("account", "Account", "ACCOUNT", "acct", "Acct", "ACCT")}
 
 Span = tuple[int, int, str]

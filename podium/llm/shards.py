@@ -94,8 +94,8 @@ class ShardStore:
         version, runs = self.version(), self.runs()
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         arrivals.write.partitionBy(arrival).parquet(folder)
-        landed = self.spark.read.parquet(folder) if self.fs.exists(self.java.org.apache.hadoop.fs.Path(folder)) else None
-        counts = {str(r[0]): r[1] for r in landed.groupBy(arrival).count().collect()} if landed is not None and arrival in landed.columns else {}
+        landed = any(s.isDirectory() and "=" in s.getPath().getName() for s in self.fs.listStatus(self.java.org.apache.hadoop.fs.Path(folder)))
+        counts = {str(r[0]): r[1] for r in self.spark.read.parquet(folder).groupBy(arrival).count().collect()} if landed else {}
         next_id = 1 + max((r.run_id for r in runs), default=0)
         for k, value in enumerate(sorted(counts, key=lambda v: (len(v), v))):
             at = f"{folder}/{arrival}={value}"
