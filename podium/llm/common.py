@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: long texts must not add up to gigabytes in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -84,6 +85,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows of df, twice that at most: those whose key hashes below a threshold. For fitting classifiers only.
+
+    Each task passes on its own share, so what is gathered doesn't grow with the number of tasks.
+    """
+    share = min(1.0, 1.1 * rows / max(1, df.count()))
+    threshold = int(-(2**63) + share * (2**64 - 1))
+    return df.where(F.xxhash64(key) <= F.lit(min(threshold, 2**63 - 1))).limit(2 * rows)
+
+
 #: Stands for a missing id where ids are stored as plain integers.
 NO_ID = -(2**63)
 

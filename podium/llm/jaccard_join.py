@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from podium.llm.common import WordHashes, mix, small_batches, words_of, written
 from podium.operators.components import connected_components
 
-#: A candidate group has at least so many blocks once it is larger than SMALL_GROUP, and no block has more than LARGEST_BLOCK sets.
-SMALL_GROUP, LEAST_BLOCKS, LARGEST_BLOCK = 192, 24, 1024
+#: A candidate group has a block for each SMALL_BLOCK sets, up to MANY_BLOCKS; then blocks grow, to LARGEST_BLOCK sets.
+SMALL_BLOCK, MANY_BLOCKS, LARGEST_BLOCK = 96, 24, 1024
 #: Buckets of the n-grams' frequencies, their slices, and tasks whose counts are added up first.
 BUCKET_BITS, SLICES, TASKS_TOGETHER = 22, 64, 128
 #: Rounds of leaving out what is linked with nothing.
@@ -279,7 +279,7 @@ def components(documents: DataFrame, n: int = 3, percent: int = 90, id_column: s
     members = written(rows.join(classes.withColumnRenamed("first", "id"), [*key, "id"]).dropDuplicates(["id", *key]), "ngram-members")
     grouped = candidate_groups(members, percent)
     size = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.when(F.col("size") <= SMALL_GROUP, 1).otherwise(F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("size") / LARGEST_BLOCK))).cast("int")
+    blocks = F.greatest(F.least(F.ceil(F.col("size") / SMALL_BLOCK), F.lit(MANY_BLOCKS)), F.ceil(F.col("size") / LARGEST_BLOCK)).cast("int")
     dealt = grouped.join(size, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     groups = written(dealt.join(members.select(F.col("id").alias("node"), "hash1"), "node").select("node", "hash1", "component", "block", "blocks"), "candidate-groups")
     sets = sets_of(documents, groups, n, id_column, text)

@@ -1,6 +1,6 @@
 r"""Language of texts by a small convolutional network over bytes.
 
-Bytes are embedded; filters of several widths slide over a fixed-length window, each filter keeps its
+Texts are read in lower case. Bytes are embedded; filters of several widths slide over a fixed-length window, each filter keeps its
 largest response, and a softmax layer reads those. The network is trained in numpy on the driver, from a
 bounded sample of labelled rows; a whole text is cut into windows, predicted in batches on the executors,
 and the windows' log-probabilities are averaged by their bytes. Since a filter's response is a sum of one
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import small_batches
+from podium.llm.common import hash_sample, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 WIDTHS, FILTERS, DEPTH, WINDOW = (2, 3, 4), 16, 8, 192
@@ -75,7 +75,7 @@ def train(texts: list[str], labels: list[str], steps: int = 300, batch: int = 96
         return None
     random = np.random.default_rng(seed)
     y = np.array([langs.index(x) for x in labels])
-    raw = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
+    raw = [np.frombuffer(t.lower().encode("utf-8", "replace"), np.uint8) for t in texts]
     by_lang = [np.flatnonzero(y == k) for k in range(len(langs))]
     sizes = len(WIDTHS) * FILTERS
     weights = [random.normal(0, 0.3, (256, DEPTH)), *(random.normal(0, (2 / (w * DEPTH)) ** 0.5, (w, DEPTH, FILTERS)) for w in WIDTHS), np.zeros(sizes), random.normal(0, 0.1, (sizes, len(langs))), np.zeros(len(langs))]
@@ -121,10 +121,11 @@ def train(texts: list[str], labels: list[str], steps: int = 300, batch: int = 96
 
 
 def sample(documents: DataFrame, learn: Column, rows: int, chars: int = 600) -> tuple[list[str], list[str]]:
-    """Labelled stretches of at most `rows` rows, those of the smallest hashes; a stretch begins at a hashed place of its text."""
+    """Labelled stretches of about `rows` rows, twice that at most, those of small hashes; a stretch begins at a hashed place of its text."""
+    labelled = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     at = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    picked = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substr("text", at, F.lit(chars)).alias("part"), "lang")
-    found = picked.orderBy("h", "doc_id", "part").limit(rows).collect()
+    picked = hash_sample(labelled, "doc_id", rows).select("doc_id", F.substr("text", at, F.lit(chars)).alias("part"), "lang")
+    found = sorted(picked.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.part))
     found = [(r.part, r.lang) for r in found if LETTER.search(r.part)]
     return [t for t, _ in found], [y for _, y in found]
 
@@ -152,7 +153,7 @@ def predict(documents: DataFrame, network: Network | None, passed: dict[str, Col
 
 
 def of_texts(network: Network, terms: list[list[np.ndarray]], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     _, places, data = texts.buffers()
     offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -54,10 +54,10 @@ def by_sorting(hashes: Column) -> Column:
     return F.flatten(F.filter(shifted, lambda x: x.isNotNull()))
 
 
-def features(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with a struct of counts and votes."""
+def features(documents: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """documents, or the columns to keep of it, with a struct of counts and votes."""
     body = F.coalesce(F.col(text), F.lit(""))
-    keep = documents.columns
+    keep = documents.columns if keep is None else keep
     n = F.size("__w")
     window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))
     step = documents.withColumns({
@@ -159,16 +159,21 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATION
     return model
 
 
-def judged(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with the struct of counts and votes, base_failed, posterior and kept. The texts are described once, into the shared folder."""
-    described = written(features(documents, text), "quality")
-    model = fit(vote_patterns(described))
+def with_verdict(described: DataFrame, model: Model) -> DataFrame:
+    """features() with base_failed, posterior and kept."""
     q = F.col(ADDED)
     failed = (q["n_words"] < 50) | (q["n_repeat_words"] * 100 > q["n_words"] * 50)
     posterior = model.posterior({rule: q[f"vote_{rule}"] for rule in RULES})
     return described.withColumn(ADDED, q.withField("base_failed", failed).withField("posterior", posterior).withField("kept", ~failed & (posterior >= 0.5)))
 
 
+def judged(documents: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """documents, or the columns to keep of it, with the struct of counts and votes, base_failed, posterior and kept. The texts are described once, into the shared folder."""
+    described = written(features(documents, text, keep), "quality")
+    return with_verdict(described, fit(vote_patterns(described)))
+
+
 def kept(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of documents that are kept, with their own columns."""
-    return judged(documents, text).where(F.col(ADDED)["kept"]).select(*documents.columns)
+    """The rows of documents that are kept, with their own columns. The texts are described twice, which is less than to store them once more."""
+    model = fit(vote_patterns(features(documents, text, [])))
+    return with_verdict(features(documents, text), model).where(F.col(ADDED)["kept"]).select(*documents.columns)

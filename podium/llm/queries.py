@@ -21,7 +21,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col(quality.ADDED)
-    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc_id", q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"),
         q["n_repeat_words"].alias("n_repeat_words"), q["base_failed"].alias("base_failed"), q["kept"].alias("kept"), q["posterior"].alias("posterior"),
     )
@@ -74,5 +74,14 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_lm_scores, op4_ngram_join, op5_token_ids, op6_packing, op7_pii, op8_language, op9_decontamination, op10_sharding)}
 
 
+OP4_SQL = r"""with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    shingles as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [list_aggregate(w, 'string_agg', ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from words),
+    sizes as (select doc_id, count(*) as n from shingles group by 1),
+    common as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+    links as (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)),
+    walk(x, y) as (select x, y from links union select walk.x, links.y from walk join links on links.x = walk.y)
+    select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id from documents d left join sizes using (doc_id) left join (select x as doc_id, min(y) as m from walk group by 1) using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_ngram_join": OP4_SQL}

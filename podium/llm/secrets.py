@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm.common import small_batches
+from podium.llm.common import hash_sample, small_batches
 
 ASSIGN = re.compile(
     r"""(?:[Pp][Aa][Ss][Ss](?:[Ww][Oo][Rr][Dd]|[Ww][Dd])|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -101,7 +101,7 @@ def train(samples: DataFrame, text: str = "text", is_secret: str = "is_secret",
 def labelled_samples(documents: DataFrame, rows: int = 1000, generated: int = 3000) -> DataFrame:
     """Labelled samples: random strings by rule, and identifiers built of the words of a bounded sample of documents.
 
-    rows bounds the documents (those of the smallest hashes of doc_id); generated is the number of random strings.
+    rows bounds the documents (those of small hashes of doc_id); generated is the number of random strings.
     """
     spark = documents.sparkSession
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
@@ -115,11 +115,8 @@ def labelled_samples(documents: DataFrame, rows: int = 1000, generated: int = 30
         .alias("text"),
         F.lit(True).alias("is_secret"),
     )
-    # ids first: no task gathers more than these and the texts of one partition
-    picked = documents.where("text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     words = (
-        documents.join(F.broadcast(picked), "doc_id", "left_semi")
-        .where("text is not null")
+        hash_sample(documents.where("text is not null").select("doc_id", "text"), "doc_id", rows)
         .select(F.regexp_extract_all("text", F.lit("\\b([A-Za-z]{3,12})\\b"), F.lit(1)).alias("w"), F.xxhash64("doc_id").alias("h"))
         .where(F.size("w") >= 4)
         .select("w", "h", F.explode(F.sequence(F.lit(1), F.least(F.size("w") - 3, F.lit(60)))).alias("i"))

@@ -51,10 +51,9 @@ def copies(seed):
     return [(k, t) for k, t in enumerate([None, "", "one", "two words", *docs])]
 
 
-@pytest.mark.parametrize(("n", "percent", "small"), [(3, 90, 192), (5, 80, 192), (3, 90, 2)])
+@pytest.mark.parametrize(("n", "percent", "small"), [(3, 90, 96), (5, 80, 96), (3, 90, 2)])
 def test_components_are_those_of_brute_force(spark, monkeypatch, n, percent, small):
-    monkeypatch.setattr(jaccard_join, "SMALL_GROUP", small)
-    monkeypatch.setattr(jaccard_join, "LEAST_BLOCKS", 3)
+    monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", small)
     docs = copies(n * percent + small)
     got = jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string"), n, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == plain_components(docs, n, percent)
