@@ -1,13 +1,14 @@
 """A training corpus in five stages; each works on all that its predecessor kept, and its decisions take effect.
 
 quality        texts that the weakly supervised rules reject go
-near_copies    of each group of texts that share 80 % of their five-word shingles, over any number of links, the smallest id stays
+near_copies    of each group of texts that share 80 % of their five-word shingles, over any number of links, one row stays
 benchmark      texts that overlap with a benchmark item go
 secrets        secrets in texts give way to a mark
 packing        what is left is cut and packed into sequences of 1024 tokens; a row a piece
 
-Null and empty texts fail the quality rules. Rows that repeat an id and are kept by near_copies stay once, by
-the order of their texts; rows without an id are never compared, and stay.
+Null and empty texts fail the quality rules. near_copies decides by row, whatever its id: rows that share an id but not
+their text both stay. The row that stays of a group has the smallest id (a missing one is the largest) and, among rows of that id,
+the smallest hash of all columns.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.llm import decontaminate, jaccard_join, packing, quality, secrets
@@ -29,13 +30,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = written(jaccard_join.components(docs, WORDS, PERCENT), "near-copies")
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    once = jaccard_join.bounded_broadcast(written(first.where("__rows = 1").select("doc_id"), "kept-ids"))
-    again = jaccard_join.bounded_broadcast(written(first.where("__rows > 1").select("doc_id"), "kept-again"))
-    order = Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id"))
-    repeated = docs.join(again, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return docs.join(once, "doc_id", "left_semi").unionByName(repeated.select(*docs.columns)).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = written(jaccard_join.components(rows, WORDS, PERCENT, "__row").select("__row", "component_id"), "near-copies")
+    order = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row").alias("least"))
+    first = groups.join(order, "__row").groupBy("component_id").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__row"))
+    return rows.join(jaccard_join.bounded_broadcast(written(first, "kept-rows")), "__row", "left_semi").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

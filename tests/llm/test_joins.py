@@ -184,6 +184,14 @@ def pipeline_rows():
     return docs, items
 
 
+def test_near_copies_are_decided_by_row(spark):
+    a, b, c, d = (rows.prose(40 + k, 60) for k in range(4))
+    docs = [(0, a), (1, a), (1, b), (1, c), (1, c), (2, c + " more"), (None, b), (None, d), (None, d), (3, d + " more"), (4, None), (4, "")]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in docs], rows.SCHEMA)
+    got = corpus_pipeline.near_copies(spark, df, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(0, a), (1, b), (1, c), (3, d + " more"), (4, None), (4, "")], key=str)
+
+
 def test_the_pipeline(spark, tmp_path):
     docs, items = pipeline_rows()
     spark.createDataFrame(docs, rows.SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
