@@ -6,14 +6,18 @@ looked up in those of every document, and around each hit the diagonal is compar
 stretch counts a match as 1 and a mismatch as -2. A document is contaminated by an item if the stretch has
 LEAST_MATCHES matching tokens, or LEAST_SHARE of the item, and at most one token in five differs.
 
-Tokens are lower-case words without ASCII punctuation. A mask is cut to the length of an item that is
-shorter than it. Benchmark items of fewer than LEAST_ITEM tokens and null or empty texts match nothing;
-equal items each match. The benchmark is cut into slices of bounded size by a hash of
+Items of up to DENSE_ITEM tokens have the seed DENSE of three tokens in a row instead. Of what is accepted,
+m tokens match and k <= m / 4 differ, so m - 2k - 2 of its windows at least are unchanged: a diagonal is
+compared if it has as many hits as the least of these for the item's size, and none that would be accepted is lost.
+
+Tokens are lower-case words without ASCII punctuation. Items of fewer than LEAST_ITEM tokens match only
+where all their tokens follow each other unchanged; null and empty texts match nothing; equal items each match. The benchmark is cut into slices of bounded size by a hash of
 its text, and each slice is compared with all documents: it can grow without limit, what a task holds cannot.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -27,8 +31,12 @@ from podium.llm.common import WordHashes, mix, small_batches
 
 MASKS = ("111010011011", "110110101101", "101101110011", "110011101101", "111111110000")
 LEAST_MATCHES, LEAST_SHARE, LEAST_SAME = 12, 0.8, 0.8
-#: Shorter items would flag ordinary text; they match nothing.
+#: Shorter items match only unchanged.
 LEAST_ITEM = 8
+#: The seed of short items, and the largest of these.
+DENSE, DENSE_ITEM = "111", 32
+#: Documents are searched together up to so many tokens, so that the hits of frequent words stay few at a time.
+PIECE_TOKENS = 100_000
 #: Items of a slice, and the bits of the table that most windows fail at.
 SLICE_ITEMS, TABLE_BITS = 20_000, 22
 
@@ -57,8 +65,16 @@ def hash_of(mask: str) -> int:
 
 
 def masks_for(size: int) -> list[str]:
-    """The masks, cut to the length of a short item."""
-    return list(dict.fromkeys(m[:size] for m in MASKS))
+    """The masks of an item of so many tokens: one over all of them, the dense one, or the spaced ones."""
+    return ["1" * size] if size < LEAST_ITEM else [DENSE] if size <= DENSE_ITEM else list(MASKS)
+
+
+def least_hits(size: int) -> int:
+    """So many hits at least has each accepted diagonal of an item of so many tokens."""
+    if not LEAST_ITEM <= size <= DENSE_ITEM:
+        return 1
+    least = min(LEAST_MATCHES, math.ceil(LEAST_SHARE * size))
+    return min(m - (len(DENSE) - 1) * (k + 1) for m in range(least, size + 1) for k in range(size - m + 1) if m >= LEAST_SAME * (m + k))
 
 
 @dataclass
@@ -72,11 +88,12 @@ class Slice:
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
+    least: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None]]) -> Slice:
         hashes = WordHashes()
-        split = [(i, hashes(words)) for i, text in items if len(words := tokens(text)) >= LEAST_ITEM]
+        split = [(i, hashes(words)) for i, text in items if (words := tokens(text))]
         masks: dict[str, None] = {}
         keys, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, (_, h) in enumerate(split):
@@ -90,7 +107,7 @@ class Slice:
         order = np.argsort(all_keys, kind="stable")
         table = np.zeros(1 << TABLE_BITS, bool)
         table[all_keys >> np.uint64(64 - TABLE_BITS)] = True
-        return cls([i for i, _ in split], [h for _, h in split], list(masks), all_keys[order], all_items[order], all_places[order], table)
+        return cls([i for i, _ in split], [h for _, h in split], list(masks), all_keys[order], all_items[order], all_places[order], table, np.array([least_hits(len(h)) for _, h in split], np.int64))
 
     def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places in h, items, and places in these, of windows with equal hashes."""
@@ -116,12 +133,27 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
 
 def overlaps(h: np.ndarray, ends: np.ndarray, benchmark: Slice) -> list[tuple[int, int, int, int, int, int]]:
     """(document, item, matches, aligned, start in the document, start in the item), the best stretch of each pair; ends: of the documents in h."""
+    found, first, at = [], 0, 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, at + PIECE_TOKENS, "right")))
+        own = overlaps_of_piece(h[at : ends[last - 1]], ends[first:last] - at, benchmark)
+        found += [(first + doc, *x) for doc, *x in own]
+        first, at = last, int(ends[last - 1])
+    return found
+
+
+def overlaps_of_piece(h: np.ndarray, ends: np.ndarray, benchmark: Slice) -> list[tuple[int, int, int, int, int, int]]:
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     seen = set()
     starts = np.concatenate([[0], ends[:-1]])
     for at, item, place in benchmark.hits(h):
-        docs = np.searchsorted(ends, at, "right")
         diagonals = at - place
+        least = benchmark.least[item]
+        if (least > 1).any():
+            _, inverse, count = np.unique((diagonals + DENSE_ITEM) * len(benchmark.items) + item, return_inverse=True, return_counts=True)
+            many = count[inverse] >= least
+            at, item, diagonals = at[many], item[many], diagonals[many]
+        docs = np.searchsorted(ends, at, "right")
         for doc, i, diagonal in set(zip(docs.tolist(), item.tolist(), diagonals.tolist(), strict=True)):
             if (doc, i, diagonal) in seen:
                 continue
@@ -131,7 +163,8 @@ def overlaps(h: np.ndarray, ends: np.ndarray, benchmark: Slice) -> list[tuple[in
             same = h[first:last] == mine[first - diagonal : last - diagonal]
             a, b = best_stretch(same)
             matches, aligned = int(same[a:b].sum()), b - a
-            enough = matches >= LEAST_MATCHES or matches >= LEAST_SHARE * len(mine)
+            whole = len(mine) < LEAST_ITEM
+            enough = matches == len(mine) if whole else matches >= LEAST_MATCHES or matches >= LEAST_SHARE * len(mine)
             if enough and matches >= LEAST_SAME * aligned:
                 found = (matches, aligned, first + a - int(starts[doc]), first + a - diagonal)
                 if found > best.get((doc, i), (0, 0, 0, 0)):

@@ -1,5 +1,6 @@
 """Similarity join, decontamination, shards and the pipeline against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from podium.llm import decontaminate, jaccard_join, shards
+from podium.llm.common import WordHashes
 from tests.llm import rows
 
 
@@ -132,6 +134,29 @@ def test_planted_passages(spark):
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [8, 9, 10, 12, 13, 15, 18])
+def test_every_accepted_copy_of_a_short_item_is_found(size):
+    item = [f"w{k}" for k in range(size)]
+    seeds, hashes = decontaminate.Slice.of([(1, " ".join(item))]), WordHashes()
+    for n in range(size - -(-4 * size // 5) + 1):
+        for places in itertools.combinations(range(size), n):
+            h = hashes([w.encode() for w in ["before", *("zzz" if k in places else w for k, w in enumerate(item)), "after"]])
+            same = np.array([k not in places for k in range(size)])
+            a, b = decontaminate.best_stretch(same)
+            matches = int(same[a:b].sum())
+            accepted = (matches >= 12 or 5 * matches >= 4 * size) and 5 * matches >= 4 * (b - a)
+            assert bool(decontaminate.overlaps(h, np.array([len(h)]), seeds)) == accepted, places
+
+
+def test_items_of_a_few_tokens_match_whole(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_TOKENS", 6)
+    seeds = decontaminate.Slice.of([(7, "Two words"), (8, "a b c d e"), (9, ""), (10, None), (11, "one")])
+    texts = ["say two, words", "two other words", "", "a b c d e", "a b c d x", "x a b c", "d e", "One"]
+    words = [decontaminate.tokens(t) for t in texts]
+    h, ends = WordHashes()([w for own in words for w in own]), np.cumsum([len(w) for w in words])
+    assert sorted((doc, seeds.items[i], *x) for doc, i, *x in decontaminate.overlaps(h, ends, seeds)) == [(0, 7, 2, 2, 1, 0), (3, 8, 5, 5, 0, 0), (7, 11, 1, 1, 0, 0)]
+
+
 def test_slices_cover_the_benchmark(spark):
     b = spark.createDataFrame([(k, rows.prose(k, 20)) for k in range(50)], "item_id long, text string")
     parts = decontaminate.slices(b, limit=10)
