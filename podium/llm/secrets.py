@@ -2,7 +2,9 @@ r"""Secret scan: fixed patterns, and Markov models of characters for what no pat
 
 Two first-order Markov models of characters, one of random strings and one of ordinary identifiers,
 are trained from labelled samples; a run of identifier characters is a secret when the log-likelihood
-ratio of the two exceeds the log of the prior odds. Runs that touch a pattern's span are left out.
+ratio of the two exceeds the log of the prior odds, which are higher against short runs. What a pattern's
+span leaves of a run is a run. If a run as a whole is none, its best-scoring stretch may be, widened to the
+next / or = on both sides; then what is left of the run is searched again.
 
 Null and empty texts have no spans. Repeated rows are scanned each on its own. Training on an empty
 table of samples gives models that never prefer a secret.
@@ -28,11 +30,13 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: What can hold a secret that no pattern names.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: The characters of runs that can hold a secret that no pattern names.
+IN_RUN = np.array([chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" for c in range(128)])
 KINDS = ("assign", "access", "hex", "markov")
 #: Log of the prior odds against a secret, and the least ratio a character.
 LOG_ODDS, LEAST_MEAN = math.log(1e5), 0.4
+#: The log of the odds grows by 1 for each character that a run is shorter than this.
+COMMON_LENGTH = 20
 
 Span = tuple[int, int, str]
 
@@ -64,17 +68,47 @@ class MarkovModels:
         return float(self.ratio[np.concatenate(([0], codes[:-1])), codes].sum())
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
+        codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 127)
+        inside = np.concatenate([[False], IN_RUN[codes], [False]])
+        for start, end, _ in taken:
+            inside[start + 1 : end + 1] = False
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        before = np.concatenate([[0], codes[:-1]])
+        before[starts] = 0
+        step = self.ratio[before, codes]
+        # no stretch has more than its positive steps
+        most = np.concatenate([[0], np.cumsum(np.maximum(step, 0))])
         found = []
-        for m in RUN.finditer(text):
-            run = m[0]
-            if run.isalpha() or any(start < m.end() and m.start() < end for start, end, _ in taken):
-                continue
-            score = self.score(run)
-            if score > LOG_ODDS and score > LEAST_MEAN * len(run):
-                found.append((m.start(), m.end(), "markov"))
+        for k in np.flatnonzero(most[ends] - most[starts] > LOG_ODDS).tolist():
+            found += self.secrets_in(text, step, int(starts[k]), int(ends[k]))
+        return in_order(found)
+
+    def secrets_in(self, text: str, step: np.ndarray, start: int, end: int) -> list[Span]:
+        """The run itself, or its best stretches."""
+        if is_secret(float(step[start:end].sum()), end - start):
+            return [(start, end, "markov")]
+        found, left = [], [(start, end)]
+        while left:
+            start, end = left.pop()
+            total = np.concatenate([[0], np.cumsum(step[start:end] - LEAST_MEAN)])
+            low = np.minimum.accumulate(total)
+            b = int((total - low).argmax())
+            a = int(total[: b + 1].argmin())
+            # of so many stretches the best is chosen
+            if b > a and is_secret(float(step[start + a : start + b].sum()) - math.log(end - start), b - a):
+                first = max(text.rfind(c, start, start + a) + 1 for c in "/=")
+                last = min(at if (at := text.find(c, start + b, end)) >= 0 else end for c in "/=")
+                first = max(first, start)
+                found.append((first, last, "markov"))
+                left += [(x, y) for x, y in ((start, first), (last, end)) if x < y]
         return found
 
 
+def is_secret(score: float, length: int) -> bool:
+    return score > LOG_ODDS + max(0, COMMON_LENGTH - length) and score > LEAST_MEAN * length
+
+
 def train(samples: DataFrame, text: str = "text", is_secret: str = "is_secret", smoothing: float = 0.5) -> MarkovModels:
     """Both models from labelled samples; what reaches the driver has at most 2 x 129 x 128 rows, whatever the samples."""
     chars = F.split(F.regexp_replace(text, "[^\\x21-\\x7E]", ""), "")

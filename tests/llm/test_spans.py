@@ -84,6 +84,21 @@ def test_held_out_samples(models):
     assert sum(bool(models.spans(x, [])) for x in ordinary) == 0
 
 
+def test_keys_of_letters_short_keys_and_keys_in_runs(models):
+    letters, short, key = "qXzKvBwTjRgLpZcNxHfWdQkVmYbJsGtD", "x7Kq9ZbR2vWmT4Lp", "Zq8xK2vB7nR4wT9jL3gY6pXc"
+    path = "/".join(rows.prose(77, 60).split())
+    ordinary = "_".join(rows.prose(78, 30).split())
+    for text in (letters, short, key):
+        assert models.spans(f"see {text} é", []) == [(4, 4 + len(text), "markov")]
+    text = f"{path}/{key}={ordinary} {ordinary}"
+    assert models.spans(text, []) == [(len(path) + 1, len(path) + 1 + len(key), "markov")]
+    text = "AKIA" + "A1B2C3D4E5F6G7H8" + "/" + key
+    base = secrets.pattern_spans(text)
+    assert [k for *_, k in base] == ["access"]
+    assert secrets.without(text, base + models.spans(text, base), "#") == "#"
+    assert models.spans("", []) == []
+
+
 def test_added_spans_never_touch_base_ones(models):
     text = "token=ZmFrZUtleTEyMzQ1Njc4OTBhYmNkZWZnaGlqa2w x ZmFrZUtleTEyMzQ1Njc4OTBhYmNkZWZnaGlqa2w"
     base = secrets.pattern_spans(text)
