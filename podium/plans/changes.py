@@ -271,7 +271,7 @@ def ranking_export(spark: SparkSession, sf: str) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy("best", "swimmer_id")).cast("long").alias("place"), "swimmer_id", format_timing(F.col("best")).alias("timing"))
 
 
-@query("N12 N13 N15 E14", d.sql("results laps", """select l.mir_id * 1000 + l.length as lap_key, case when s.mir_id is null then 'INSERT' else 'UPDATE' end as operation from laps l left join (select * from laps where length <= 50) s on s.mir_id = l.mir_id and s.length = l.length where l.mir_id in (select mir_id from results where meeting_id = 199712)"""))
+@query("N13 N15 E14", d.sql("results laps", """select l.mir_id * 1000 + l.length as lap_key, case when s.mir_id is null then 'INSERT' else 'UPDATE' end as operation from laps l left join (select * from laps where length <= 50) s on s.mir_id = l.mir_id and s.length = l.length where l.mir_id in (select mir_id from results where meeting_id = 199712)"""))
 def lap_upserts(spark: SparkSession, sf: str) -> DataFrame:
     laps = d.laps(spark, sf)
     some = laps.join(d.results(spark, sf).where("meeting_id = 199712").select("mir_id"), "mir_id", "left_semi")
@@ -300,7 +300,7 @@ def season_fix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ENTITIES = {
-    # entity: (survey row, natural key), over results of 1999 that come in and those before 1999 that are stored
+    # entity: (survey row, natural key), over results of 1999 that come in and those of 1996 that are stored
     "calendar": ("N02", ["month", "event"]),
     "event": ("N10", ["month", "pool"]),
     "program": ("N11", ["event", "pool", "gender"]),
@@ -316,7 +316,7 @@ _entity_sql = " union all ".join(
 )
 
 
-@query("U05 N01 N02 N03 N04 N05 N06 N07 N08 N10 N11 N14 N15 N16", d.sql("results", _entity_sql))
+@query("U05 N02 N07 N08 N10 N11 N15 N16", d.sql("results", _entity_sql))
 def entity_upserts(spark: SparkSession, sf: str) -> DataFrame:
     r = d.results(spark, sf).withColumns({"month": F.col("meeting_id") % 100, "gender": F.when(F.col("swimmer_id") % 2 == 0, "F").otherwise("M"), "relay_team": F.col("team_id") % 17})
     counts = []

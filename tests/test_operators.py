@@ -182,3 +182,13 @@ def test_drop_folder(spark, tmp_path):
     (tmp_path / "new" / "a.json").write_text('{"k": 1}\n')
     stream = usage.drop_folder(spark, str(tmp_path / "new"), str(tmp_path / "done"), "k long")
     assert usage.run_now(stream, str(tmp_path / "t"), str(tmp_path / "c"), "append").first().k == 1
+
+
+def test_the_readme_claims_only_upserts_that_are_built():
+    from pathlib import Path
+
+    from podium.plans.changes import ENTITIES
+
+    coverage = (Path(__file__).parent.parent / "README.md").read_text().split("Without a query")[0]
+    claimed = {x.split()[0] for line in coverage.splitlines() if line.startswith("* N01") for x in line[2:].split(". ")[0].split("; ") if "`entity_upserts`" in x}
+    assert claimed == {row for row, _ in ENTITIES.values()}
