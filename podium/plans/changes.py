@@ -105,6 +105,14 @@ def program_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return r.where("season = 1998 and swimmer_id % 2 = 0").join(programs, ["event", "pool"], "left").select("mir_id", "program_id", F.col("program_id").isNull().alias("new_program"))
 
 
+@query("U08 N11", d.sql("results", """, programs as (select season + 1 as season, event, pool, min(mir_id) as program_id from results group by 1, 2, 3) select r.mir_id, p.program_id, p.program_id is null as new_program from results r left join programs p on p.season = r.season and p.event = r.event and p.pool = r.pool"""))
+def program_lookup_all(spark: SparkSession, sf: str) -> DataFrame:
+    """program_lookup of all results, each in the programs of the season before its own."""
+    r = d.results(spark, sf)
+    programs = r.groupBy((F.col("season") + 1).alias("season"), "event", "pool").agg(F.min("mir_id").alias("program_id"))
+    return r.join(programs, ["season", "event", "pool"], "left").select("mir_id", "program_id", F.col("program_id").isNull().alias("new_program"))
+
+
 @query("U11 U13", d.sql("badges results", """, pairs as (select a.season, a.swimmer_id, a.club as source, b.club as target from badges a join badges b on a.season = b.season and a.swimmer_id = b.swimmer_id where a.club = 3 and b.club = 1)
     select r.mir_id, p.target as club, p.source as old_club from results r join pairs p on p.season = r.season and p.swimmer_id = r.swimmer_id and r.team_id % 5 = p.source"""))
 def badge_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,6 +136,16 @@ def team_in_meeting(spark: SparkSession, sf: str) -> DataFrame:
     return moved.select("mir_id", "club", "changed", (nth > 1).alias("doomed"))
 
 
+@query("U14 J03 J05", d.sql("results", """, moved as (select mir_id, meeting_id, swimmer_id, event, pool, case when team_id % 5 = 2 then 1 else team_id % 5 end as club, team_id % 5 = 2 as changed from results)
+    select mir_id, club, changed, row_number() over (partition by meeting_id, swimmer_id, event, pool, club order by changed, mir_id) > 1 as doomed from moved"""))
+def team_in_meeting_all(spark: SparkSession, sf: str) -> DataFrame:
+    """team_in_meeting in all meetings."""
+    club = F.col("team_id") % 5
+    moved = d.results(spark, sf).select("mir_id", "meeting_id", "swimmer_id", "event", "pool", F.when(club == 2, 1).otherwise(club).alias("club"), (club == 2).alias("changed"))
+    nth = F.row_number().over(Window.partitionBy("meeting_id", "swimmer_id", "event", "pool", "club").orderBy("changed", "mir_id"))
+    return moved.select("mir_id", "club", "changed", (nth > 1).alias("doomed"))
+
+
 @query("U17", d.sql("age_bands", """select 2002 as season, code, age_begin, age_end from age_bands where code not in ('M25', 'M40', 'M95')"""))
 def category_clone(spark: SparkSession, sf: str) -> DataFrame:
     source = d.bands(spark, d.AGE_BANDS)
@@ -279,6 +297,14 @@ def lap_upserts(spark: SparkSession, sf: str) -> DataFrame:
     return some.join(stored, ["mir_id", "length"], "left").select((F.col("mir_id") * 1000 + F.col("length")).alias("lap_key"), F.when(F.col("stored"), "UPDATE").otherwise("INSERT").alias("operation"))
 
 
+@query("N13 N15 E14", d.sql("laps", """select l.mir_id * 1000 + l.length as lap_key, case when s.mir_id is null then 'INSERT' else 'UPDATE' end as operation from laps l left join (select * from laps where length <= 50) s on s.mir_id = l.mir_id and s.length = l.length"""))
+def lap_upserts_all(spark: SparkSession, sf: str) -> DataFrame:
+    """lap_upserts of all meetings."""
+    laps = d.laps(spark, sf)
+    stored = laps.where("length <= 50").select("mir_id", "length", F.lit(True).alias("stored"))
+    return laps.join(stored, ["mir_id", "length"], "left").select((F.col("mir_id") * 1000 + F.col("length")).alias("lap_key"), F.when(F.col("stored"), "UPDATE").otherwise("INSERT").alias("operation"))
+
+
 @query("E08 L08 E07", d.sql("results", """select swimmer_id, mir_id, weight from (select swimmer_id, mir_id, cast(least(1, greatest(0, (mir_id % 100) / 100.0 + case when team_id % 5 = 0 then 0.05 else -0.05 end)) * 1000 as bigint) as weight,
     row_number() over (partition by swimmer_id order by (team_id % 5 = 0) desc, (pool = 1) desc, mir_id % 100 desc, mir_id) as n from results) where n = 1"""))
 def chosen_candidate(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from podium.operators import relational as rel
 from podium.operators.ranking import first_per
+from podium.operators.resolve import kept
 from podium.plans import domain as d
 from podium.plans.registry import query
 
@@ -193,6 +194,22 @@ def program_order(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("mir_id", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("L06", d.sql("results", """select mir_id, row_number() over (order by disqualified, meeting_id, coalesce(case when pool = 1 then stored_rank end, 9999), event, mir_id) as place from results"""))
+def program_order_all(spark: SparkSession, sf: str) -> DataFrame:
+    """program_order over all results, without one task for all rows."""
+    rank = F.coalesce(F.when(F.col("pool") == 1, F.col("stored_rank")), F.lit(9999))
+    return numbered(d.results(spark, sf).withColumn("rank", rank).select("disqualified", "meeting_id", "rank", "event", "mir_id"), ["disqualified", "meeting_id", "rank", "event", "mir_id"], "place").select("mir_id", "place")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the rows' numbers by order, from 1: inside each of its ranges, plus the rows of the ranges before it."""
+    ranges = kept(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))  # a row a range
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn(name, nth).join(F.broadcast(starts), "__range").withColumn(name, F.col(name) + F.col("__start")).drop("__range", "__start")
+
+
 @query("L07 L08 L02", d.sql("results teams", """select mir_id, name, row_number() over (partition by meeting_id order by (name like '%1%') desc, hundredths desc, mir_id) as place from results join teams using (team_id) where season = 1997"""))
 def bucket_order(spark: SparkSession, sf: str) -> DataFrame:
     r = d.results(spark, sf).where("season = 1997").join(d.teams(spark, sf), "team_id")
