@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def connected_components(edges: DataFrame, keep: Keep, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, keep: Keep, src: str = "src", dst: str = "dst", drop: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:
     """(node, component): each node that has an edge to another, and the smallest node it reaches.
 
     Every round gives a node the smallest label among its neighbours, then the label of its label, so that
-    a chain halves. keep(df, name) stores a round's labels and cuts their lineage; the driver gets a count.
+    a chain halves. keep(df, name) stores a round's labels and cuts their lineage, drop(df) deletes what is stored and
+    no longer needed; the driver learns only whether a label has changed.
     Null ends and loops are dropped; an empty table of edges has no components.
     """
     clear = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst")
@@ -22,9 +23,12 @@ def connected_components(edges: DataFrame, keep: Keep, src: str = "src", dst: st
     labels = keep(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.dst == labels.node).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        lower = keep(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        lower = keep(labels.select("node", F.col("label").alias("old")).join(near, "node").select("node", "old", F.least("old", "near").alias("label")), "labels")
         of = lower.select(F.col("node").alias("at"), F.col("label").alias("next"))
         jumped = keep(lower.join(of, lower.label == of.at, "left").select("node", "old", F.coalesce("next", "label").alias("label")), "labels")
+        drop(labels)
+        drop(lower)
         if jumped.where("label <> old").isEmpty():
+            drop(both)
             return jumped.select("node", F.col("label").alias("component"))
-        labels = jumped.select("node", "label")
+        labels = jumped
