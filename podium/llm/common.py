@@ -41,11 +41,42 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that no column of df is called so; Spark's names don't tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession, name).keep(df, name)
+
+
+class Tables:
+    """The tables between the steps of one job, in a folder of its own under the shared one; each can be deleted when it is no longer needed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, scratch(spark, name)
+        self.kept: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a written table: cuts the lineage, and survives lost executors."""
+        path = f"{self.folder}/{len(self.kept)}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in self.kept:
+            if any(table is x for x in tables):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*(t for t, _ in self.kept if not any(t is x for x in tables)))
 
 
 def words_of(text: str | None) -> list[bytes]:

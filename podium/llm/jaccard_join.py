@@ -1,45 +1,52 @@
 r"""Documents linked by the Jaccard similarity of their word n-grams, exactly.
 
 1.  Each text becomes its set of n-gram hashes. Texts of one set are one class, whose representative is its
-    smallest id; only representatives go on.
-2.  Linked sets have one of their rarest n-grams in common, by any order that is the same for all; a sketch of
-    fixed size orders them by the texts that have them. Representatives that have too many for themselves are out;
-    those that share such an n-gram are neighbours, and what is connected by these is a candidate group.
-3.  A candidate group is searched for T-occurrences. Its n-grams are an inverted index; for each set the
-    longest lists are put aside (DivideSkip), the short ones are merged, and what occurs often enough in those
-    is probed for in the long ones by binary search. A group too large for one task is dealt to blocks, and
-    each pair of blocks is a task of its own. What a task has connected already isn't compared again.
-4.  The links' connected components get their smallest id.
+    smallest id; only representatives are compared.
+2.  Linked sets differ in at most K of their n-grams, where K depends on their sizes. The space of hashes is cut
+    into K + 1 + r ranges, so both have the same n-grams in r + 1 ranges at least. Each set leaves out its r
+    ranges of fewest n-grams and signs the others, each with a hash of all n-grams inside. The fullest range on
+    which both agree is left out by neither, so linked sets have a signature in common. Sizes are of classes, one
+    100 / percent times the other; a set signs for its own class and for the one below. A signature stands for
+    several n-grams at once, so frequent n-grams and shared passages don't bring texts together.
+3.  What signatures connect is a candidate group, dealt to blocks of bounded size which all have the group's first
+    set; a block is searched for T-occurrences. Its n-grams are an inverted index; for each set the longest lists are put aside
+    (DivideSkip), the short ones are merged by a heap, and what occurs often enough in those is probed for in the
+    long ones by binary search.
+4.  A signature whose sets, after that, are of more than one component has sets in several blocks that
+    were never compared. Those outside its largest component are searched against all of its sets, in pairs of blocks. Signatures
+    of the same sets are searched once.
+5.  The links' connected components get their smallest id.
 
 No candidate is capped and no link is lost. Null and empty texts have an empty set, link with nothing and are
 their own component. Texts of fewer words than n are one n-gram, the whole. Repeated rows are of one class. A
-row without an id links nothing; it has the component of its class, or none.
+row without an id links nothing; it has the component of its class, or none. Rows that share an id are one document
+here, whatever their texts. Further columns are not looked at.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.llm.common import WordHashes, mix, small_batches, words_of, written
+from podium.llm.common import Tables, WordHashes, mix, small_batches, words_of
 from podium.operators.components import connected_components
 
-#: A candidate group has a block for each SMALL_BLOCK sets, up to MANY_BLOCKS; then blocks grow, to LARGEST_BLOCK sets.
-SMALL_BLOCK, MANY_BLOCKS, LARGEST_BLOCK = 96, 24, 1024
-#: Buckets of the n-grams' frequencies, their slices, and tasks whose counts are added up first.
-BUCKET_BITS, SLICES, TASKS_TOGETHER = 22, 64, 128
-#: Rounds of leaving out what is linked with nothing.
-ROUNDS = 6
+#: A block has about so many sets, and n-grams, at most.
+BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 21
 #: The weight of the logarithm in DivideSkip's number of long lists.
 MU = 0.0085
-#: Candidates are broadcast to the scan of the texts up to so many ids of 8 bytes; beyond, both sides are shuffled.
+#: A table of ids is broadcast up to so many rows of 8 to 40 bytes; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Set to all bits of a content hash and of a second hash of a set.
+CONTENT, SECOND = np.uint64(0x5851F42D4C957F2D), np.uint64(0xA5A5A5A55A5A5A5A)
 
 
 def ngram_set(words: list[bytes], hashes: WordHashes, n: int) -> np.ndarray:
@@ -54,109 +61,134 @@ def ngram_set(words: list[bytes], hashes: WordHashes, n: int) -> np.ndarray:
     return np.unique(total)
 
 
-def bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def bucket_counts(documents: DataFrame, n: int, text: str) -> np.ndarray:
-    """How many texts have an n-gram of each bucket of hashes: a sketch of the n-grams' frequencies, of one size for any corpus.
-
-    All texts are counted, each once a bucket. It orders the n-grams; any order gives the same links.
+def set_hash(grams: np.ndarray) -> int:
+    return int(mix(grams).sum(dtype=np.uint64).astype(np.int64))
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How sets of one class of sizes, and the larger ones they can be linked with, are signed."""
+
+    spare: int  # ranges of fewest n-grams that are left out
+    bounds: np.ndarray  # between the ranges
+    salts: np.ndarray  # of the ranges
+
+
+class Signatures:
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.first = [1]  # the smallest size of each class
+        self.schemes: list[Scheme | None] = []
+
+    def _grow(self) -> None:
+        k, low = len(self.schemes), self.first[-1]
+        high = 100 * low // self.percent  # the largest of the class
+        self.first.append(high + 1)
+        # sizes n and m of linked sets: they share 100 / (100 + percent) * percent / 100 of n + m at least
+        differ = (100 - self.percent) * (high + 100 * high // self.percent) // (100 + self.percent)
+        if not differ:  # such sets are linked only if they are equal
+            self.schemes.append(None)
+            return
+        spare = 1 + differ // 4
+        ranges = differ + 1 + spare
+        bounds = np.array([(j << 64) // ranges for j in range(1, ranges)], np.uint64)
+        self.schemes.append(Scheme(spare, bounds, mix(np.arange(ranges, dtype=np.uint64) + np.uint64(k << 32))))
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """The signatures of a set of n-grams, which is sorted."""
+        n = len(grams)
+        while self.first[-1] <= n:
+            self._grow()
+        own = bisect_right(self.first, n) - 1
+        total, out = None, [np.zeros(0, np.uint64)]
+        for scheme in self.schemes[max(0, own - 1) : own + 1] if n else ():
+            if scheme is None:
+                continue
+            if total is None:
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ CONTENT), dtype=np.uint64)])
+            at = np.concatenate([[0], np.searchsorted(grams, scheme.bounds), [n]])
+            full = np.argsort(np.diff(at), kind="stable")[scheme.spare :]
+            out.append(mix(total[at[full + 1]] - total[at[full]] + scheme.salts[full]))
+        return np.concatenate(out)
+
+
+def described(documents: DataFrame, n: int, percent: int, id_column: str, text: str) -> DataFrame:
+    """For each row (node, n, hash1, hash2) of its set; and, with n = -1, a row for each node whose signature hash1, a smaller node, has too.
+
+    Signatures are in no table: a batch passes on each of them once, and then what they have in common is all that is left.
     """
     small_batches(documents.sparkSession)
-    slice_size = (1 << BUCKET_BITS) // SLICES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        hashes, counts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            sets = [np.unique(bucket(ngram_set(words_of(t), hashes, n))) for t in batch.column(0).to_pylist()]
-            counts += np.bincount(np.concatenate([np.zeros(0, np.int64), *sets]), minlength=1 << BUCKET_BITS)
-        if counts.any():
-            group = TaskContext.get().partitionId() // TASKS_TOGETHER
-            parts = [counts[k : k + slice_size].astype("<i8").tobytes() for k in range(0, 1 << BUCKET_BITS, slice_size)]
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "group": pa.array([group] * SLICES, pa.int32()), "counts": pa.array([zlib.compress(x, 1) for x in parts], pa.binary())})
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in rows.column("counts"))
-        return pa.table({"slice": rows.column("slice")[:1], "group": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    schema = "slice int, group int, counts binary"
-    summed = documents.select(text).mapInArrow(run, schema).groupBy("slice", "group").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for row in summed.collect():
-        counts[row.slice * slice_size : (row.slice + 1) * slice_size] = np.frombuffer(zlib.decompress(row.counts), "<i8")
-    return counts
-
-
-def needed(size: int, percent: int) -> int:
-    """Of so many n-grams of a set, by one order for all, two linked sets have one in common: they share `percent` of the larger one at least."""
-    return size - -(-percent * size // 100) + 1 if size else 0
-
-
-def prefix(grams: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
-    """The rarest n-grams of a set: as many as needed, and some to spare."""
-    need = needed(len(grams), percent)
-    return grams[np.lexsort((grams, counts[bucket(grams)]))[: need + (8 + need // 3 if need else 0)]]
-
-
-def described(documents: DataFrame, n: int, percent: int, counts: np.ndarray, id_column: str, text: str) -> DataFrame:
-    """For each row its id, size, two hashes of its set, and its prefix."""
-    small_batches(documents.sparkSession)
-    packed = zlib.compress(np.minimum(counts, 2**32 - 1).astype("<u4").tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order = WordHashes(), np.frombuffer(zlib.decompress(packed), "<u4")
+        hashes, sign = WordHashes(), Signatures(percent)
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             sets = [ngram_set(words_of(t), hashes, n) for t in batch.column(1).to_pylist()]
-            parts = [prefix(s, percent, order) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64()),
-                    pa.array([int(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))),
-                ],
-                names=["id", "n", "hash1", "hash2", "prefix"],
-            )
-
-    return documents.select(id_column, text).mapInArrow(run, "id long, n long, hash1 long, hash2 long, prefix array<bigint>")
-
-
-def candidate_groups(members: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the representatives that can be linked and share an n-gram of their prefixes with another such.
-
-    A set that has as many n-grams for itself as two linked sets can't both have is linked with none; without those
-    sets others have more n-grams for themselves, so this is asked again, until nothing changes or ROUNDS are over.
-    """
-    n = F.col("n")
-    spare = F.size("prefix") - (n - F.ceil(n * percent / F.lit(100)) + 1)
-    hits = members.select(F.col("id").alias("node"), spare.cast("int").alias("spare"), F.explode("prefix").alias("gram"))
-    left = None
-    for _ in range(ROUNDS):
-        shared = written(hits.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("gram"), "shared-grams")
-        hits = written(hits.join(shared, "gram"), "shared-hits")
-        able = written(hits.groupBy("node", "spare").count().where(F.col("count") > F.col("spare")).select("node"), "able")
-        hits = hits.join(bounded_broadcast(able), "node", "left_semi")
-        before, left = left, able.count()
-        if left == before:
-            break
-    hits = written(hits, "able-hits")
-    firsts = written(hits.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("gram", "first"), "first-nodes")
-    edges = hits.join(firsts, "gram").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct()
-    return connected_components(written(edges, "candidate-edges"), written)
-
-
-def union_root(parent: list[int], x: int) -> int:
+            size = np.array([len(s) for s in sets], np.int64)
+            first = np.array([set_hash(s) for s in sets], np.int64)
+            second = np.array([set_hash(s ^ SECOND) for s in sets], np.int64)
+            seen: set[tuple[int, int, int]] = set()
+            nodes, signed = [], []
+            for node, s, *key in zip(ids, sets, size.tolist(), first.tolist(), second.tolist(), strict=True):
+                if node is None or not len(s) or tuple(key) in seen:
+                    continue
+                seen.add(tuple(key))
+                nodes.append(node)
+                signed.append(sign(s))
+            signature = np.concatenate([np.zeros(0, np.uint64), *signed])
+            node = np.repeat(np.array(nodes, np.int64), [len(s) for s in signed])
+            order = np.lexsort((node, signature))
+            signature, node = signature[order], node[order]
+            start = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]])) if len(node) else np.zeros(0, np.int64)
+            near = np.repeat(node[start], np.diff(np.append(start, len(node))))
+            # what a batch has connected has one edge a node, and signs as its smallest node
+            parent = {x: x for x in nodes}
+            for a, b in np.unique(np.stack([node[node != near], near[node != near]], axis=1), axis=0).tolist():
+                a, b = union_root(parent, a), union_root(parent, b)
+                parent[max(a, b)] = min(a, b)
+            root = {x: union_root(parent, x) for x in parent}
+            edges = np.array([(x, r) for x, r in root.items() if x != r], np.int64).reshape(-1, 2).T
+            signer = np.array([root[x] for x in node[start].tolist()], np.int64)
+            # rows that are no signatures are spread over the tasks
+            spread = mix(np.arange(len(ids) + edges.shape[1], dtype=np.uint64) + np.concatenate([first, edges[1]]).view(np.uint64)).view(np.int64)
+            none = pa.nulls(len(start), pa.int64())
+            parts = {
+                "node": [batch.column(0).cast(pa.int64()), pa.array(edges[0]), pa.array(signer)],
+                "signature": [pa.array(spread), pa.array(signature[start].view(np.int64))],
+                "n": [pa.array(size), pa.array(np.full(edges.shape[1], -1)), none],
+                "hash1": [pa.array(first), pa.array(edges[1]), none],
+                "hash2": [pa.array(second), pa.nulls(edges.shape[1], pa.int64()), none],
+            }
+            yield pa.RecordBatch.from_pydict({k: pa.concat_arrays(v) for k, v in parts.items()})
+
+    rows = documents.select(id_column, text).mapInArrow(run, "node long, signature long, n long, hash1 long, hash2 long")
+    least = F.first("node").over(Window.partitionBy("signature").orderBy("node"))
+    of = rows.withColumn("least", least).where("n is not null or node <> least")
+    return of.select("node", F.coalesce("n", F.lit(-1)).alias("n"), F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("hash1")).alias("hash1"), "hash2")
+
+
+def union_root(parent: list[int] | dict[int, int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
         x = parent[x]
     return x
 
 
+def merged_by_heap(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """What occurs in ascending lists, and how often."""
+    found: list[int] = []
+    count: list[int] = []
+    last = None
+    for x in heapq.merge(*lists):
+        if x == last:
+            count[-1] += 1
+        else:
+            found.append(x)
+            count.append(1)
+            last = x
+    return np.array(found, np.int64), np.array(count, np.int64)
+
+
 def search(sets: list[np.ndarray], index: int, percent: int) -> list[tuple[int, int]]:
     """Links that connect what T-occurrence search links: the first `index` sets are indexed, the others are queries.
 
@@ -179,25 +211,24 @@ def search(sets: list[np.ndarray], index: int, percent: int) -> list[tuple[int,
         least = -(-percent * int(sizes[q]) // 100)  # what the smallest linked set has in common
         if len(lists) < least:
             continue
-        length = ends[lists] - starts[lists]
-        by_length = lists[np.argsort(length, kind="stable")]
+        # of sets before the query, where each is one
+        stop = np.searchsorted(keys, lists * index + q) if itself else ends[lists]
+        length = stop - starts[lists]
+        by_length = np.argsort(length, kind="stable")
         longest = int(length.max())
+        if not longest:
+            continue
         put_aside = min(least - 1, int(least / (MU * math.log(longest + 1) + 1)))
-        short, long = by_length[: len(lists) - put_aside], by_length[len(lists) - put_aside :]
-        merged = np.sort(np.concatenate([postings[starts[g] : ends[g]] for g in short]), kind="stable")
-        if itself:
-            merged = merged[: np.searchsorted(merged, q)]
-        if not len(merged):
+        short, long = by_length[: len(lists) - put_aside], lists[by_length[len(lists) - put_aside :]]
+        found, count = merged_by_heap([postings[starts[lists[g]] : stop[g]].tolist() for g in short.tolist() if length[g]])
+        if not len(found):
             continue
-        edge = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
-        found, count = merged[edge], np.diff(np.concatenate([edge, [len(merged)]]))
         # 100 * common >= percent * union, with union = sizes - common
         need = -(-percent * (sizes[q] + sizes[found]) // (100 + percent))
         ok = (count + len(long) >= need) & (np.minimum(sizes[q], sizes[found]) >= need)
         found, count, need = found[ok], count[ok], need[ok]
         left = len(long)
         for chunk in np.array_split(long, max(1, len(long) // 24)) if len(found) else []:
-            mine = union_root(parent, q)
             probe = chunk[:, None] * index + found[None, :]
             place = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
             count = count + (keys[place] == probe).sum(axis=0)
@@ -214,38 +245,39 @@ def search(sets: list[np.ndarray], index: int, percent: int) -> list[tuple[int,
     return links
 
 
-def links_in(groups: DataFrame, percent: int) -> DataFrame:
-    """Links inside each (component, low, high) of groups, whose rows come together: block low is indexed, block high asks."""
+def links_in(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links inside each (part, low, high) of blocks (.., asks, node, grams), whose rows come together: rows that ask are compared with the others, or all rows if none asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[tuple[int, int, np.ndarray]] = []
+        own: list[tuple[bool, int, np.ndarray]] = []
         key = None
         out: list[tuple[int, int]] = []
 
         def finish() -> None:
             if len(own) > 1:
-                first, second = key[1], key[2]
-                rows = [r for r in own if r[0] == first] + [r for r in own if r[0] != first]
-                index = len(rows) if first == second else sum(r[0] == first for r in rows)
-                out.extend((rows[a][1], rows[b][1]) for a, b in search([r[2] for r in rows], index, percent))
+                out.extend((own[a][1], own[b][1]) for a, b in search([r[2] for r in own], sum(not r[0] for r in own), percent))
             own.clear()
 
+        def drained() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["src", "dst"])
+            out.clear()
+            return done
+
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(6)]
-            for component, low, high, block, node, grams in zip(*columns, strict=True):
-                if (component, low, high) != key:
+            for part, low, high, asks, node, grams in zip(*columns, strict=True):
+                if (part, low, high) != key:
                     finish()
-                    key = (component, low, high)
-                own.append((block, node, np.frombuffer(grams, np.uint64)))
+                    key = (part, low, high)
+                own.append((asks, node, np.frombuffer(grams, np.uint64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["src", "dst"])
-                out.clear()
+                yield drained()
         finish()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["src", "dst"])
+            yield drained()
 
-    keys = ["component", "low", "high"]
-    return groups.repartition(*keys).sortWithinPartitions(*keys, "block", "node").select(*keys, "block", "node", "grams").mapInArrow(run, "src long, dst long")
+    keys = ["part", "low", "high"]
+    return blocks.repartition(*keys).sortWithinPartitions(*keys, "asks", "node").select(*keys, "asks", "node", "grams").mapInArrow(run, "src long, dst long")
 
 
 def bounded_broadcast(ids: DataFrame) -> DataFrame:
@@ -253,39 +285,89 @@ def bounded_broadcast(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def sets_of(documents: DataFrame, groups: DataFrame, n: int, id_column: str, text: str) -> DataFrame:
-    """groups (node, hash1, component, block, blocks) with the sets of the texts."""
+def sets_of(documents: DataFrame, wanted: DataFrame, n: int, id_column: str, text: str) -> DataFrame:
+    """wanted (node, hash1, ...), a written table, with the sets of the texts as grams."""
     small_batches(documents.sparkSession)
-    texts = documents.select(F.col(id_column).alias("node"), F.col(text).alias("__text"))
-    rows = texts.join(bounded_broadcast(groups), "node").select("node", "hash1", "component", "block", "blocks", "__text")
+    texts = documents.select(F.col(id_column).alias("node"), F.col(text).alias("body"))
+    rows = texts.join(bounded_broadcast(wanted), "node").select(*wanted.columns, "body")
+    hashed = wanted.columns.index("hash1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            grams = [ngram_set(words_of(t), hashes, n) for t in batch.column(5).to_pylist()]
+            grams = [ngram_set(words_of(t), hashes, n) for t in batch.column(batch.num_columns - 1).to_pylist()]
             # of rows that share an id, the one whose set is meant
-            mine = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) == h for s, h in zip(grams, batch.column(1).to_pylist(), strict=True)]
-            whole = pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3, 4)), pa.array([s.tobytes() for s in grams], pa.binary())], names=["node", "component", "block", "blocks", "grams"])
+            mine = [set_hash(s) == h for s, h in zip(grams, batch.column(hashed).to_pylist(), strict=True)]
+            whole = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s.tobytes() for s in grams], pa.binary())], names=[*batch.schema.names[:-1], "grams"])
             yield whole.filter(pa.array(mine))
 
-    return rows.mapInArrow(run, "node long, component long, block int, blocks int, grams binary")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, grams binary")
+
+
+def signed(sets: DataFrame, percent: int) -> DataFrame:
+    """(signature, node, label) of sets (node, label, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signatures(percent)
+        for batch in batches:
+            own = [sign(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column(2)]
+            times = [len(s) for s in own]
+            node, label = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), times) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)), pa.array(node, pa.int64()), pa.array(label, pa.int64())], names=["signature", "node", "label"])
+
+    return sets.select("node", "label", "grams").mapInArrow(run, "signature long, node long, label long")
+
+
+def across_blocks(documents: DataFrame, nodes: DataFrame, n: int, percent: int, id_column: str, text: str, tables: Tables) -> DataFrame | None:
+    """Links between nodes (node, hash1, label) that share a signature and are not of one label; None if there is no such signature."""
+    hits = tables.keep(signed(sets_of(documents, nodes, n, id_column, text), percent).distinct(), "signed")
+    of = hits.groupBy("signature", "label").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    lists = of.groupBy("signature").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    once = lists.where("labels > 1").groupBy("size", "x", "y").agg(F.min(F.struct("signature", "main")).alias("l"))
+    blocks = lambda size: F.ceil(size / F.lit(BLOCK_SETS)).cast("int")
+    open_lists = tables.keep(once.select("l.signature", "l.main.label", blocks(F.col("size")).alias("lows"), blocks(F.col("size") - F.col("l.main.c")).alias("highs")).withColumnRenamed("label", "main"), "open-signatures")
+    if open_lists.isEmpty():
+        return None
+    own = hits.join(bounded_broadcast(open_lists), "signature")
+    at = lambda count: F.array(F.pmod(F.xxhash64("node"), F.col(count)).cast("int"))
+    every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    indexed = own.select("node", F.struct("signature", F.lit(False).alias("asks"), at("lows").alias("low"), every("highs").alias("high")).alias("at"))
+    asking = own.where("label <> main").select("node", F.struct("signature", F.lit(True).alias("asks"), every("lows").alias("low"), at("highs").alias("high")).alias("at"))
+    places = indexed.unionByName(asking).groupBy("node").agg(F.collect_list("at").alias("at"))
+    wanted = tables.keep(places.join(nodes.select("node", "hash1"), "node"), "block-places")
+    sets = sets_of(documents, wanted, n, id_column, text).select("node", "grams", F.explode("at").alias("at"))
+    sets = sets.select("node", "grams", F.col("at.signature").alias("part"), "at.asks", F.explode("at.low").alias("low"), "at.high")
+    return tables.keep(links_in(sets.withColumn("high", F.explode("high")), percent), "links-across")
 
 
 def components(documents: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: id_column, n_shingles, and component_id, the smallest id among what it is linked with over any number of links."""
-    rows = written(described(documents, n, percent, bucket_counts(documents, n, text), id_column, text), "ngram-sets")
+    tables = Tables(documents.sparkSession, "ngram-join")
+    passed = tables.keep(described(documents, n, percent, id_column, text), "ngram-sets")
     key = ["n", "hash1", "hash2"]
-    classes = written(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("first")), "ngram-classes")
-    members = written(rows.join(classes.withColumnRenamed("first", "id"), [*key, "id"]).dropDuplicates(["id", *key]), "ngram-members")
-    grouped = candidate_groups(members, percent)
-    size = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.greatest(F.least(F.ceil(F.col("size") / SMALL_BLOCK), F.lit(MANY_BLOCKS)), F.ceil(F.col("size") / LARGEST_BLOCK)).cast("int")
-    dealt = grouped.join(size, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    groups = written(dealt.join(members.select(F.col("id").alias("node"), "hash1"), "node").select("node", "hash1", "component", "block", "blocks"), "candidate-groups")
-    sets = sets_of(documents, groups, n, id_column, text)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = sets.select("*", other).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "grams")
-    links = written(links_in(pairs, percent), "links")
-    joined = connected_components(links, written).select(F.col("node").alias("first"), F.col("component").alias("reached"))
-    named = written(classes.join(joined, "first", "left").select(*key, F.coalesce("reached", "first").alias("component_id")), "class-components")
-    return rows.drop("prefix").join(named, key, "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    rows = passed.where("n >= 0").select(F.col("node").alias("id"), *key)
+    classes = tables.keep(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("first")), "ngram-classes")
+    near = tables.keep(passed.where("n < 0").select(F.col("node").alias("src"), F.col("hash1").alias("dst")).distinct(), "candidate-edges")
+    grouped = tables.keep(connected_components(near, tables.keep, drop=tables.drop), "candidate-nodes")
+    found = rows.join(bounded_broadcast(grouped).withColumnRenamed("node", "id"), "id").groupBy(*key).agg(F.min("component").alias("component"))
+    members = tables.keep(found.join(classes, key).select(F.col("first").alias("node"), *key, "component"), "candidates")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_SETS, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("grams"), F.min("node").alias("center")).where("size > 1")
+    groups = tables.keep(sizes.select("component", "center", blocks.alias("blocks")), "candidate-groups")
+    low = F.when(F.col("node") == F.col("center"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    dealt = tables.keep(members.join(bounded_broadcast(groups), "component").select("node", "hash1", F.col("component").alias("part"), low.alias("low"), "blocks"), "blocks")
+    sets = sets_of(documents, dealt, n, id_column, text).withColumn("low", F.explode("low")).withColumns({"high": F.col("low"), "asks": F.lit(False)})
+    links = tables.keep(links_in(sets, percent), "links")
+    joined = tables.keep(connected_components(links, tables.keep, drop=tables.drop), "linked")
+    split = dealt.where("blocks > 1").select("node", "hash1")
+    if not split.isEmpty():
+        label = joined.withColumnRenamed("component", "label")
+        nodes = tables.keep(split.join(label, "node", "left").select("node", "hash1", F.coalesce("label", "node").alias("label")), "split-nodes")
+        more = across_blocks(documents, nodes, n, percent, id_column, text, tables)
+        if more is not None:
+            joined = tables.keep(connected_components(links.unionByName(more), tables.keep, drop=tables.drop), "linked")
+    reached = joined.select(F.col("node").alias("first"), F.col("component").alias("reached"))
+    named = tables.keep(classes.join(reached, "first", "left").select(*key, F.coalesce("reached", "first").alias("component_id")), "class-components")
+    tables.drop_all_but(passed, named)
+    return rows.join(named, key, "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

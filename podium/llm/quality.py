@@ -7,22 +7,24 @@ text is kept when its posterior probability of being good is at least one half.
 DataFrame functions; only the small table of patterns reaches the driver.
 
 Null and empty texts have no words: all counts are 0, and they fail the base rule. Repeated rows are judged
-each on its own. An empty table has an empty result.
+each on its own. An empty table has an empty result. Further columns stay as they are: the columns of the work get names that the
+table doesn't have, and kept() names the struct so too.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import written
+from podium.llm.common import unused, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 RULES = ("length", "symbols", "lines", "repeats", "capitals", "word_length", "stops")
-#: Name of the struct that features() adds; no table column is called so.
+#: Name of the struct that features() adds, if no other is given.
 ADDED = "__quality"
 ITERATIONS, TOLERANCE = 60, 1e-6
 #: Votes that each rate starts with, at its first guess: a rule that never votes bad keeps a rate strictly inside 0 and 1.
@@ -54,33 +56,34 @@ def by_sorting(hashes: Column) -> Column:
     return F.flatten(F.filter(shifted, lambda x: x.isNotNull()))
 
 
-def features(documents: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """documents, or the columns to keep of it, with a struct of counts and votes."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def features(documents: DataFrame, text: str = "text", keep: list[str] | None = None, into: str = ADDED) -> DataFrame:
+    """documents, or the columns to keep of it, with a struct of counts and votes, named `into`."""
     keep = documents.columns if keep is None else keep
-    n = F.size("__w")
-    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))
+    at = {x: unused(documents, f"quality_{x}") for x in ("words", "lines", "n", "hashes", "sorted", "repeated", "counts")}
+    words, lines, count, hashes, ordered, repeated, counted = (F.col(name) for name in at.values())
+    body, n = F.coalesce(F.col(text), F.lit("")), F.size(words)
+    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     step = documents.withColumns({
-        "__w": F.filter(F.split(body, SPACE, -1), lambda w: w != ""),
-        "__l": F.filter(F.split(body, "\n", -1), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""),
+        at["words"]: F.filter(F.split(body, SPACE, -1), lambda w: w != ""),
+        at["lines"]: F.filter(F.split(body, "\n", -1), lambda line: F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""),
     })
-    step = step.withColumns({"__n": n, "__h": F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>"))})
-    step = step.withColumn("__s", F.sort_array("__h"))
-    step = step.withColumn("__r", F.array_distinct(F.filter("__s", lambda h, i: (i > 0) & (h == F.get("__s", i - 1)))))
-    repeat = F.when(F.size("__r") == 0, 0).when(F.size("__r") <= FEW, covered(by_search(F.col("__h"), F.col("__r")))).otherwise(covered(by_sorting(F.col("__h"))))
+    step = step.withColumns({at["n"]: n, at["hashes"]: F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>"))})
+    step = step.withColumn(at["sorted"], F.sort_array(hashes))
+    step = step.withColumn(at["repeated"], F.array_distinct(F.filter(ordered, lambda h, i: (i > 0) & (h == F.get(ordered, i - 1)))))
+    repeat = F.when(F.size(repeated) == 0, 0).when(F.size(repeated) <= FEW, covered(by_search(hashes, repeated))).otherwise(covered(by_sorting(hashes)))
     counts = {
-        "n_words": F.col("__n").cast("long"),
+        "n_words": count.cast("long"),
         "word_chars": F.length(F.regexp_replace(body, SPACE, "")).cast("long"),
         "n_symbols": F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeat.cast("long"),
-        "n_lines": F.size("__l").cast("long"),
+        "n_lines": F.size(lines).cast("long"),
         "n_capitals": F.regexp_count(body, F.lit("[A-Z]")).cast("long"),
         "n_stops": F.regexp_count(body, F.lit("[.!?](?=[\\x20\\x09-\\x0D]|$)")).cast("long"),
     }
-    step = step.select(*keep, F.struct(*(c.alias(k) for k, c in counts.items())).alias("__c"))
-    c = F.col("__c")
-    return step.select(*keep, F.struct("__c.*", *(v.cast("int").alias(f"vote_{k}") for k, v in votes(c).items())).alias(ADDED))
+    step = step.select(*keep, F.struct(*(c.alias(k) for k, c in counts.items())).alias(at["counts"]))
+    fields = [counted[k].alias(k) for k in counts] + [v.cast("int").alias(f"vote_{k}") for k, v in votes(counted).items()]
+    return step.select(*keep, F.struct(*fields).alias(into))
 
 
 def vote(bad: Column, good: Column) -> Column:
@@ -112,26 +115,28 @@ class Model:
     shares: tuple[float, ...]
     rates: tuple[tuple[float, ...], ...]
 
-    def posterior(self, vote_of: dict[str, Column]) -> Column:
+    def posterior(self, votes_of: tuple[int, ...]) -> float:
         """Probability of being good, from the votes."""
-        of = []
-        for share, rates in zip(self.shares, self.rates, strict=True):
-            chance = F.lit(share)
-            for rule, rate in zip(RULES, rates, strict=True):
-                v = vote_of[rule]
-                chance = chance * F.when(v < 0, rate).when(v > 0, 1 - rate).otherwise(1.0)
-            of.append(chance)
-        return of[0] / sum(of[1:], of[0])
+        chance = [share * prod(1.0 if v == 0 else r if v < 0 else 1 - r for v, r in zip(votes_of, rates, strict=True)) for share, rates in zip(self.shares, self.rates, strict=True)]
+        return chance[0] / sum(chance)
+
+    def looked_up(self, vote_of: dict[str, Column]) -> Column:
+        """The same as a column: an entry of one constant array of all 3 ** rules patterns, so the expression stays small."""
+        every = ",".join(repr(self.posterior(votes_of)) for votes_of in product((-1, 0, 1), repeat=len(RULES)))
+        place = F.lit(0)
+        for rule in RULES:
+            place = place * 3 + vote_of[rule] + 1
+        return F.get(F.split(F.lit(every), ",").cast("array<double>"), place)
 
 
 #: A first guess from which the rates are estimated: bad votes are rare on good texts, and usual on those of the rule's own defect.
 FIRST = Model((0.8, *(0.2 / len(RULES) for _ in RULES)), tuple(tuple(0.01 if c == 0 else 0.8 if c == k + 1 else 0.1 for k in range(len(RULES))) for c in range(len(RULES) + 1)))
 
 
-def vote_patterns(described: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+def vote_patterns(described: DataFrame, name: str = ADDED) -> list[tuple[tuple[int, ...], int]]:
     """The distinct votes and how many texts have them; at most 3 ** rules rows, whatever the corpus."""
-    votes_of = [F.col(f"{ADDED}.vote_{rule}") for rule in RULES]
-    return [(tuple(row[:-1]), row[-1]) for row in described.groupBy(*votes_of).agg(F.count("*").alias("n")).collect()]
+    votes_of = [F.col(name)[f"vote_{rule}"] for rule in RULES]
+    return [(tuple(row[:-1]), row[-1]) for row in described.groupBy(*votes_of).agg(F.count("*")).collect()]
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> Model:
@@ -159,21 +164,21 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATION
     return model
 
 
-def with_verdict(described: DataFrame, model: Model) -> DataFrame:
+def with_verdict(described: DataFrame, model: Model, name: str = ADDED) -> DataFrame:
     """features() with base_failed, posterior and kept."""
-    q = F.col(ADDED)
+    q = F.col(name)
     failed = (q["n_words"] < 50) | (q["n_repeat_words"] * 100 > q["n_words"] * 50)
-    posterior = model.posterior({rule: q[f"vote_{rule}"] for rule in RULES})
-    return described.withColumn(ADDED, q.withField("base_failed", failed).withField("posterior", posterior).withField("kept", ~failed & (posterior >= 0.5)))
+    posterior = model.looked_up({rule: q[f"vote_{rule}"] for rule in RULES})
+    return described.withColumn(name, q.withField("base_failed", failed).withField("posterior", posterior).withField("kept", ~failed & (posterior >= 0.5)))
 
 
-def judged(documents: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """documents, or the columns to keep of it, with the struct of counts and votes, base_failed, posterior and kept. The texts are described once, into the shared folder."""
-    described = written(features(documents, text, keep), "quality")
-    return with_verdict(described, fit(vote_patterns(described)))
+def judged(documents: DataFrame, text: str = "text", keep: list[str] | None = None, into: str = ADDED) -> DataFrame:
+    """documents, or the columns to keep of it, with the struct `into` of counts and votes, base_failed, posterior and kept. The texts are described once, into the shared folder."""
+    described = written(features(documents, text, keep, into), "quality")
+    return with_verdict(described, fit(vote_patterns(described, into)), into)
 
 
 def kept(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of documents that are kept, with their own columns. The texts are described twice, which is less than to store them once more."""
-    model = fit(vote_patterns(features(documents, text, [])))
-    return with_verdict(features(documents, text), model).where(F.col(ADDED)["kept"]).select(*documents.columns)
+    """The rows of documents that are kept, with their own columns. The verdict is asked of the written votes, so the filter never repeats the counting."""
+    into = unused(documents, ADDED)
+    return judged(documents, text, into=into).where(F.col(into)["kept"]).select(*documents.columns)

@@ -53,9 +53,9 @@ def copies(seed):
     return [(k, t) for k, t in enumerate([None, "", "one", "two words", *docs])]
 
 
-@pytest.mark.parametrize(("n", "percent", "small"), [(3, 90, 96), (5, 80, 96), (3, 90, 2)])
+@pytest.mark.parametrize(("n", "percent", "small"), [(3, 90, 512), (5, 80, 512), (3, 90, 2), (5, 80, 2)])
 def test_components_are_those_of_brute_force(spark, monkeypatch, n, percent, small):
-    monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", small)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", small)
     docs = copies(n * percent + small)
     got = jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string"), n, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == plain_components(docs, n, percent)
@@ -91,16 +91,49 @@ def test_search_is_exact(percent):
     assert closure(across) == closure([(a, b) for a, b in pairs if b < 60 <= a])
 
 
-def test_prefixes_of_linked_sets_meet():
-    r = np.random.default_rng(9)
-    counts = np.zeros(1 << jaccard_join.BUCKET_BITS, np.uint32)
-    for _ in range(300):
-        a = np.unique(r.integers(0, 2**63, r.integers(1, 90)).astype(np.uint64))
-        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.93], r.integers(0, 2**63, r.integers(0, 4)).astype(np.uint64)]))
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_signature(percent):
+    r, sign, linked = np.random.default_rng(9), jaccard_join.Signatures(percent), 0
+    for _ in range(3000):
+        a = np.unique(r.integers(0, 2**63, r.integers(1, 150)).astype(np.uint64) * np.uint64(2))
+        rate = 1 - (100 - percent) / 100 * r.random()
+        b = np.unique(np.concatenate([a[r.random(len(a)) < rate], r.integers(0, 2**63, r.integers(0, 2 + len(a) * (100 - percent) // 100)).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
-        if common and 100 * common >= 80 * (len(a) + len(b) - common):
-            need = [jaccard_join.prefix(x, 80, counts)[: jaccard_join.needed(len(x), 80)] for x in (a, b)]
-            assert len(np.intersect1d(*need))
+        if common and 100 * common >= percent * (len(a) + len(b) - common) and len(a) + len(b) > 2 * common:
+            linked += 1
+            assert len(np.intersect1d(sign(a), sign(b)))
+    assert linked > 300
+
+
+def test_texts_that_share_a_passage_are_no_candidates():
+    hashes, sign = WordHashes(), jaccard_join.Signatures(90)
+    passage = rows.prose(999, 55)
+    signed = [set(sign(jaccard_join.ngram_set(f"{rows.prose(k, 200)} {passage}".encode().split(), hashes, 3)).tolist()) for k in range(80)]
+    assert sum(bool(a & b) for a, b in itertools.combinations(signed, 2)) == 0
+
+
+def growing(size):
+    """Groups of near copies, as many as the size asks for, and one group of a third of all texts."""
+    r, docs = random.Random(size), []
+    for k in range(size):
+        words = rows.prose(k % (size // 3) if k % 3 else 10**6, 150).split()
+        words[r.randrange(150)] = f"x{r.randrange(100)}"
+        docs.append((k, " ".join(words)))
+    return docs
+
+
+def test_work_grows_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
+    rows_of = {}
+    for size in (150, 600):
+        docs, counted = growing(size), []
+        keep = jaccard_join.Tables.keep
+        monkeypatch.setattr(jaccard_join.Tables, "keep", lambda self, df, name: (t := keep(self, df, name), counted.append(t.count()))[0])
+        got = jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == plain_components(docs, 3, 90)
+        rows_of[size] = max(counted)
+        monkeypatch.setattr(jaccard_join.Tables, "keep", keep)
+    assert rows_of[600] < 6 * rows_of[150]
 
 
 def test_join_hard_rows(spark):

@@ -89,3 +89,24 @@ def test_hard_rows(spark):
     assert failed[0]
     assert failed[1]
     assert quality.judged(rows.empty(spark)).count() == 0
+
+
+def test_the_plan_of_kept_is_small(spark):
+    plan = quality.kept(rows.table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.sub(r"\[[-0-9.,E ]*\]", "", plan)) < 20_000  # without the constant array of posteriors
+    assert "xxhash64" not in plan
+
+
+def test_columns_of_the_same_names_stay(spark):
+    df = rows.table(spark).selectExpr("*", "1 as __quality", "2 as quality_words", "3 as QUALITY_N", "4 as quality_counts")
+    assert counted(df.drop("__quality")) == [plain(t) for _, t, *_ in rows.documents()]
+    got = quality.kept(df)
+    assert got.columns == df.columns
+    assert {r["__quality"] for r in got.collect()} <= {1}
+
+
+def test_the_table_of_patterns_is_the_posterior(spark):
+    model = quality.fit([((1,) * 7, 90), ((-1, 1, 1, 0, 1, 1, 1), 10)])
+    patterns = [tuple(random.Random(k).choice((-1, 0, 1)) for _ in range(7)) for k in range(50)]
+    df = spark.createDataFrame(patterns, ", ".join(f"{r} int" for r in quality.RULES))
+    assert [r[0] for r in df.select(model.looked_up({r: F.col(r) for r in quality.RULES})).collect()] == [model.posterior(p) for p in patterns]
