@@ -26,12 +26,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in a session on one machine alone, one of our own where it is unset."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = context._jsc.sc().getCheckpointDir().getOrElse(None) if context._jsc.sc().getCheckpointDir().isDefined() else None
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="podium-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -116,14 +118,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows of df, twice that at most: those whose key hashes below a threshold. For fitting classifiers only.
+def hash_sample(df: DataFrame, rows: int) -> DataFrame:
+    """About `rows` rows of df, twice that at most: those whose hash of all columns is smallest. For fitting classifiers only.
 
-    Each task passes on its own share, so what is gathered doesn't grow with the number of tasks.
+    The same rows whatever the partitions are; each task passes on its own share, so what is gathered doesn't grow with the number of tasks.
     """
-    share = min(1.0, 1.1 * rows / max(1, df.count()))
+    share, hashed = min(1.0, 1.1 * rows / max(1, df.count())), unused(df, "hashed")
     threshold = int(-(2**63) + share * (2**64 - 1))
-    return df.where(F.xxhash64(key) <= F.lit(min(threshold, 2**63 - 1))).limit(2 * rows)
+    own = df.withColumn(hashed, F.xxhash64(*df.columns)).where(F.col(hashed) <= F.lit(min(threshold, 2**63 - 1)))
+    return own.orderBy(hashed, *df.columns).limit(2 * rows).select(*df.columns)
+
+
+#: A table is broadcast up to so many rows of 8 to 40 bytes; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has few and shuffled if not."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 #: Stands for a missing id where ids are stored as plain integers.

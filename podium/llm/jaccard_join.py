@@ -36,15 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.llm.common import Tables, WordHashes, mix, small_batches, words_of
+from podium.llm.common import Tables, WordHashes, bounded_broadcast, mix, small_batches, words_of
 from podium.operators.components import connected_components
 
 #: A block has about so many sets, and n-grams, at most.
 BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 21
 #: The weight of the logarithm in DivideSkip's number of long lists.
 MU = 0.0085
-#: A table of ids is broadcast up to so many rows of 8 to 40 bytes; beyond, both sides are shuffled.
-BROADCAST_IDS = 1_000_000
 #: Set to all bits of a content hash and of a second hash of a set.
 CONTENT, SECOND = np.uint64(0x5851F42D4C957F2D), np.uint64(0xA5A5A5A55A5A5A5A)
 
@@ -280,11 +278,6 @@ def links_in(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.repartition(*keys).sortWithinPartitions(*keys, "asks", "node").select(*keys, "asks", "node", "grams").mapInArrow(run, "src long, dst long")
 
 
-def bounded_broadcast(ids: DataFrame) -> DataFrame:
-    """A written table of ids, to be broadcast if it has few rows and shuffled if not."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def sets_of(documents: DataFrame, wanted: DataFrame, n: int, id_column: str, text: str) -> DataFrame:
     """wanted (node, hash1, ...), a written table, with the sets of the texts as grams."""
     small_batches(documents.sparkSession)

@@ -124,7 +124,7 @@ def sample(documents: DataFrame, learn: Column, rows: int, chars: int = 600) ->
     """Labelled stretches of about `rows` rows, twice that at most, those of small hashes; a stretch begins at a hashed place of its text."""
     labelled = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     at = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    picked = hash_sample(labelled, "doc_id", rows).select("doc_id", F.substr("text", at, F.lit(chars)).alias("part"), "lang")
+    picked = hash_sample(labelled.select("doc_id", F.substr("text", at, F.lit(chars)).alias("part"), "lang"), rows)
     found = sorted(picked.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.part))
     found = [(r.part, r.lang) for r in found if LETTER.search(r.part)]
     return [t for t, _ in found], [y for _, y in found]

@@ -312,11 +312,17 @@ def block_scores(blocks: DataFrame, answers: DataFrame, shards: int, n: int, v:
 
 
 def bucketed(blocks: DataFrame) -> DataFrame:
-    """blocks as a table in the shared folder, in buckets: what is grouped by block later finds them where they are."""
+    """blocks as a table in the shared folder, in buckets: what is grouped by block later finds them where they are.
+
+    Only a table of the catalog has buckets; its name is dropped at once, and its files, which are not the catalog's, stay.
+    """
     spark, name = blocks.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks.write.bucketBy(buckets, "block").option("path", scratch(spark, "lm-blocks")).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # resolved from here on
+    spark.sql(f"drop table {name}")
+    return table
 
 
 def train_and_score(documents: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:

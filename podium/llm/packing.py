@@ -7,8 +7,10 @@ for it. A group gets as many sequences as its tokens need; a piece that no seque
 fill the free places, so only a group's last sequence can need padding. Where what is left is no power of
 two, it is the one sequence that is padded.
 
-A group is what one task read, at most `group` pieces: no shuffle, and no task gathers more. Null and empty
-texts have their end id alone. An empty table gives no piece.
+A group is what one task read, of `group` documents and what is left of a batch: no shuffle, and no task gathers more. A task
+that runs again reads the same files in the same order and numbers its sequences alike. Null and empty
+texts have their end id alone. Repeated rows are packed each, and rows of one id share it. Of equally long pieces the first one goes first;
+of equally cheap sequences, the fullest. An empty table gives no piece. Further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -58,32 +60,24 @@ def pack(lengths: list[int], capacity: int) -> list[Piece]:
     total = sum(x[0] for x in left)
     bins = total // capacity  # the last, part-filled one takes what is left at the end
     used = [0] * bins
-    spent = [0.0] * bins
-    heap = [(0.0, b) for b in range(bins)]
+    # open sequences by their free places, each a heap by cost; the least cost with room for n is the least of the heaps from n on
+    rooms: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    rooms[capacity] = [(0.0, b) for b in range(bins)]
+    cheapest = np.full(capacity + 1, np.inf)
+    if bins:
+        cheapest[capacity] = 0.0
     late: list[tuple[int, int, int]] = []
-    roomy = capacity * bins
     for n, k, start in left:
-        skipped = []
-        placed = False
-        while heap:
-            at, b = heapq.heappop(heap)
-            if at != spent[b] or used[b] == capacity:
-                continue
-            if used[b] + n <= capacity:
-                pieces.append(Piece(k, start, n, sequence + b, used[b]))
-                used[b] += n
-                spent[b] += cost(n)
-                roomy -= n
-                heapq.heappush(heap, (spent[b], b))
-                placed = True
-                break
-            skipped.append((at, b))
-            if len(skipped) >= 64:  # the costlier ones are as full; this piece is cut below
-                break
-        for x in skipped:
-            heapq.heappush(heap, x)
-        if not placed:
+        room = n + int(cheapest[n:].argmin())
+        if cheapest[room] == np.inf:
             late.append((n, k, start))
+            continue
+        spent, b = heapq.heappop(rooms[room])
+        cheapest[room] = rooms[room][0][0] if rooms[room] else np.inf
+        pieces.append(Piece(k, start, n, sequence + b, used[b]))
+        used[b] += n
+        heapq.heappush(rooms[room - n], (spent + cost(n), b))
+        cheapest[room - n] = rooms[room - n][0][0] if room > n else np.inf
     free = [b for b in range(bins) if used[b] < capacity]
     tail = 0
     for n, k, start in late:

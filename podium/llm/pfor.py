@@ -13,7 +13,7 @@ block is read alone. Layout, little-endian:
 Files are written by Spark's Parquet writer, one segment a row, in the shared folder: executors see each
 other's files, a lost task is run again, and a segment's row tells its range of documents.
 
-A null or empty text has its end id alone. Repeated ids of documents keep their rows, in a stable order by
+A part is a task of the sorted range, whose rows are the same when it runs again. A null or empty text has its end id alone. Repeated ids of documents keep their rows, in a stable order by
 text. An empty table gives no segment.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import ids_in, ids_out, scratch, small_batches
+from podium.llm.common import bounded_broadcast, ids_in, ids_out, scratch, small_batches, written
 from podium.llm.token_cache import token_cache
 
 BLOCK, MAGIC = 128, b"PFR1"
@@ -133,7 +133,7 @@ def read_block(data: bytes, k: int) -> np.ndarray:
 def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segment_ids: int = 1 << 20, id_column: str = "doc_id", text: str = "text") -> None:
     """Encodes documents in ascending id order and writes segments of about segment_ids ids to path.
 
-    Columns of the files: part (of the order), segment (in its part), n_tokens, data.
+    Columns of the files: part (of the order), start (ids of the part before the segment), n_tokens, data.
     """
     small_batches(documents.sparkSession)
 
@@ -144,14 +144,14 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segm
         docs: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        held = segment = 0
+        held = start = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal segment, held
+            nonlocal start, held
             tokens = np.concatenate(sizes)
             data = pack_segment(np.concatenate(docs), tokens, np.concatenate(parts))
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_tokens": pa.array([int(tokens.sum())], pa.int64()), "data": pa.array([data], pa.binary())})
-            segment, held = segment + 1, 0
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "start": pa.array([start], pa.int64()), "n_tokens": pa.array([int(tokens.sum())], pa.int64()), "data": pa.array([data], pa.binary())})
+            start, held = start + int(tokens.sum()), 0
             for x in (docs, parts, sizes):
                 x.clear()
             return row
@@ -168,22 +168,20 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segm
             yield flush()
 
     ordered = documents.select(id_column, text).repartitionByRange(id_column).sortWithinPartitions(id_column, text)
-    ordered.mapInArrow(run, "part int, segment int, n_tokens long, data binary").write.parquet(path)
+    ordered.mapInArrow(run, "part int, start long, n_tokens long, data binary").write.parquet(path)
 
 
 def read_ids(files: DataFrame) -> DataFrame:
     """From written files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Ids before a segment: those of the earlier parts, one small row a part, and of the earlier segments of its part.
+    Ids before a segment: those of the earlier parts, and those of its own part, which it holds. The parts are one row for each task of
+    the writer, and are broadcast if there are few.
     """
     from pyspark.sql import Window
 
-    sizes = files.select("part", "segment", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
-    # one row a part: as many as the writer had tasks
-    before = parts.withColumn("before", F.sum("part_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
-    within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(F.broadcast(before), "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("first"))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
+    before = F.coalesce(F.sum("part_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = bounded_broadcast(written(parts.select("part", before.alias("before")), "token-parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +193,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": ids_out(doc_ids), "start": pa.array(starts + first, pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return files.join(F.broadcast(places), ["part", "segment"]).select("first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(places, "part").select((F.col("before") + F.col("start")).alias("first"), "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

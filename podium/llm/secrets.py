@@ -150,7 +150,7 @@ def labelled_samples(documents: DataFrame, rows: int = 1000, generated: int = 30
         F.lit(True).alias("is_secret"),
     )
     words = (
-        hash_sample(documents.where("text is not null").select("doc_id", "text"), "doc_id", rows)
+        hash_sample(documents.where("text is not null").select("doc_id", "text"), rows)
         .select(F.regexp_extract_all("text", F.lit("\\b([A-Za-z]{3,12})\\b"), F.lit(1)).alias("w"), F.xxhash64("doc_id").alias("h"))
         .where(F.size("w") >= 4)
         .select("w", "h", F.explode(F.sequence(F.lit(1), F.least(F.size("w") - 3, F.lit(60)))).alias("i"))

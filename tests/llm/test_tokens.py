@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from podium.llm import packing, pfor
+from podium.llm import common, packing, pfor
 from podium.llm.token_cache import TokenCache
 from tests.llm import rows
 
@@ -102,3 +102,43 @@ def test_packing_hard_rows(spark):
     assert {r.doc_id for r in got} == {d for d, *_ in rows.documents()}
     assert {r.doc_tokens for r in got if r.doc_id == 0} == {1}
     assert packing.pack_documents(rows.empty(spark), BYTES).count() == 0
+
+
+def by_search(lengths, capacity):
+    """The method by plain search: the sequence of each piece, or None if no sequence has room."""
+    order = sorted((k for k, n in enumerate(lengths)), key=lambda k: (-lengths[k], k))
+    bins = sum(lengths) // capacity
+    used, spent, at = [0] * bins, [0.0] * bins, {}
+    for k in order:
+        fit = [b for b in range(bins) if used[b] + lengths[k] <= capacity]
+        at[k] = min(fit, key=lambda b: (spent[b], -used[b], b), default=None)
+        if at[k] is not None:
+            used[at[k]] += lengths[k]
+            spent[at[k]] += packing.cost(lengths[k])
+    return at
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pieces_go_to_the_cheapest_sequence_with_room(seed):
+    r = np.random.default_rng(seed)
+    lengths = [700] * 70 * (seed % 2) + [365] * 40 + [300] * 60 + r.integers(1, 1024, 300).tolist()
+    at = by_search(lengths, 1024)
+    pieces = packing.pack(lengths, 1024)
+    whole = {p.document: p.sequence for p in pieces if p.length == lengths[p.document]}
+    assert all(whole[k] == b for k, b in at.items() if b is not None)
+    assert {p.document for p in pieces} == set(range(len(lengths)))
+
+
+def test_segments_of_a_part_follow_each_other(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_ROWS", 20)
+    texts = [(k, rows.prose(k, 40)) for k in range(60)] + [(7, rows.prose(99, 5)), (None, "x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    pfor.write_ids(df, str(tmp_path / "ids"), WORDS, 1, segment_ids=150)
+    files = spark.read.parquet(str(tmp_path / "ids"))
+    assert files.count() > files.select("part").distinct().count()
+    got = sorted(pfor.read_ids(files).collect(), key=lambda r: r.start)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == sorted([k for k, _ in texts if k is not None] + [None], key=lambda k: (k is not None, k))
