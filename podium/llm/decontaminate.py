@@ -11,8 +11,13 @@ m tokens match and k <= m / 4 differ, so m - 2k - 2 of its windows at least are
 compared if it has as many hits as the least of these for the item's size, and none that would be accepted is lost.
 
 Tokens are lower-case words without ASCII punctuation. Items of fewer than LEAST_ITEM tokens match only
-where all their tokens follow each other unchanged; null and empty texts match nothing; equal items each match. The benchmark is cut into slices of bounded size by a hash of
-its text, and each slice is compared with all documents: it can grow without limit, what a task holds cannot.
+where all their tokens follow each other unchanged; null and empty texts match nothing; equal items each match, and so do
+repeated rows of documents. Of equally good stretches the first is given. Further columns stay as they are.
+
+The seeds of the benchmark are a table. Up to HELD_SEEDS of them, which are counted first, each task holds them and joins by
+look-up. Beyond, a bit map of fixed size leaves out the windows of documents that no seed has, the others are joined with the seeds in
+a shuffle, their hits are counted by diagonal, and the diagonals go back to their documents to be compared. Both give the same rows, and
+both read the documents' windows once.
 """
 
 from __future__ import annotations
@@ -20,14 +25,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import WordHashes, mix, small_batches
+from podium.llm.common import Tables, WordHashes, bounded_broadcast, mix, small_batches, unused
 
 MASKS = ("111010011011", "110110101101", "101101110011", "110011101101", "111111110000")
 LEAST_MATCHES, LEAST_SHARE, LEAST_SAME = 12, 0.8, 0.8
@@ -37,8 +41,8 @@ LEAST_ITEM = 8
 DENSE, DENSE_ITEM = "111", 32
 #: Documents are searched together up to so many tokens, so that the hits of frequent words stay few at a time.
 PIECE_TOKENS = 100_000
-#: Items of a slice, and the bits of the table that most windows fail at.
-SLICE_ITEMS, TABLE_BITS = 20_000, 22
+#: Seeds that a task holds (24 bytes each), and the bits of the map that most windows fail at.
+HELD_SEEDS, TABLE_BITS = 1_000_000, 22
 
 #: A-Z to a-z, ASCII punctuation to blanks.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -77,9 +81,14 @@ def least_hits(size: int) -> int:
     return min(m - (len(DENSE) - 1) * (k + 1) for m in range(least, size + 1) for k in range(size - m + 1) if m >= LEAST_SAME * (m + k))
 
 
+def seeds_of(h: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """The seeds of an item, by mask."""
+    return [(mask, seed_hashes(h, mask)) for mask in masks_for(len(h))] if len(h) else []
+
+
 @dataclass
-class Slice:
-    """Seeds of some benchmark items, sorted by hash, and the items' tokens."""
+class Seeds:
+    """Seeds of benchmark items, sorted by hash, and the items' tokens."""
 
     items: list[int]
     tokens: list[np.ndarray]
@@ -91,15 +100,13 @@ class Slice:
     least: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, str | None]]) -> Slice:
-        hashes = WordHashes()
-        split = [(i, hashes(words)) for i, text in items if (words := tokens(text))]
+    def of(cls, items: list[tuple[int, np.ndarray]]) -> Seeds:
+        items = [(i, h) for i, h in items if len(h)]
         masks: dict[str, None] = {}
         keys, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, (_, h) in enumerate(split):
-            for mask in masks_for(len(h)):
+        for k, (_, h) in enumerate(items):
+            for mask, own in seeds_of(h):
                 masks[mask] = None
-                own = seed_hashes(h, mask)
                 keys.append(own)
                 item.append(np.full(len(own), k))
                 place.append(np.arange(len(own)))
@@ -107,7 +114,7 @@ class Slice:
         order = np.argsort(all_keys, kind="stable")
         table = np.zeros(1 << TABLE_BITS, bool)
         table[all_keys >> np.uint64(64 - TABLE_BITS)] = True
-        return cls([i for i, _ in split], [h for _, h in split], list(masks), all_keys[order], all_items[order], all_places[order], table, np.array([least_hits(len(h)) for _, h in split], np.int64))
+        return cls([i for i, _ in items], [h for _, h in items], list(masks), all_keys[order], all_items[order], all_places[order], table, np.array([least_hits(len(h)) for _, h in items], np.int64))
 
     def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places in h, items, and places in these, of windows with equal hashes."""
@@ -131,7 +138,17 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
-def overlaps(h: np.ndarray, ends: np.ndarray, benchmark: Slice) -> list[tuple[int, int, int, int, int, int]]:
+def compared(h: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int, int] | None:
+    """(matches, aligned, start in the document, start in the item) of the best stretch of a diagonal, if it is accepted."""
+    first, last = max(0, diagonal), min(len(h), diagonal + len(item))
+    same = h[first:last] == item[first - diagonal : last - diagonal]
+    a, b = best_stretch(same)
+    matches, aligned = int(same[a:b].sum()), b - a
+    enough = matches == len(item) if len(item) < LEAST_ITEM else matches >= LEAST_MATCHES or matches >= LEAST_SHARE * len(item)
+    return (matches, aligned, first + a, first + a - diagonal) if enough and matches >= LEAST_SAME * aligned else None
+
+
+def overlaps(h: np.ndarray, ends: np.ndarray, benchmark: Seeds) -> list[tuple[int, int, int, int, int, int]]:
     """(document, item, matches, aligned, start in the document, start in the item), the best stretch of each pair; ends: of the documents in h."""
     found, first, at = [], 0, 0
     while first < len(ends):
@@ -142,7 +159,7 @@ def overlaps(h: np.ndarray, ends: np.ndarray, benchmark: Slice) -> list[tuple[in
     return found
 
 
-def overlaps_of_piece(h: np.ndarray, ends: np.ndarray, benchmark: Slice) -> list[tuple[int, int, int, int, int, int]]:
+def overlaps_of_piece(h: np.ndarray, ends: np.ndarray, benchmark: Seeds) -> list[tuple[int, int, int, int, int, int]]:
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     seen = set()
     starts = np.concatenate([[0], ends[:-1]])
@@ -158,67 +175,150 @@ def overlaps_of_piece(h: np.ndarray, ends: np.ndarray, benchmark: Slice) -> list
             if (doc, i, diagonal) in seen:
                 continue
             seen.add((doc, i, diagonal))
-            mine = benchmark.tokens[i]
-            first, last = max(int(starts[doc]), diagonal), min(int(ends[doc]), diagonal + len(mine))
-            same = h[first:last] == mine[first - diagonal : last - diagonal]
-            a, b = best_stretch(same)
-            matches, aligned = int(same[a:b].sum()), b - a
-            whole = len(mine) < LEAST_ITEM
-            enough = matches == len(mine) if whole else matches >= LEAST_MATCHES or matches >= LEAST_SHARE * len(mine)
-            if enough and matches >= LEAST_SAME * aligned:
-                found = (matches, aligned, first + a - int(starts[doc]), first + a - diagonal)
-                if found > best.get((doc, i), (0, 0, 0, 0)):
-                    best[doc, i] = found
+            found = compared(h[starts[doc] : ends[doc]], benchmark.tokens[i], diagonal - int(starts[doc]))
+            if found and found > best.get((doc, i), (0, 0, 0, 0)):
+                best[doc, i] = found
     return [(doc, i, *x) for (doc, i), x in best.items()]
 
 
-def slices(benchmark: DataFrame, item: str = "item_id", text: str = "text", limit: int = SLICE_ITEMS) -> list[list[tuple[int, str | None]]]:
-    """The benchmark in slices of about `limit` items; its size is counted first."""
-    n = benchmark.count()
-    parts = max(1, -(-n // limit))
-    dealt = benchmark.select(item, text, F.pmod(F.xxhash64(item, text), F.lit(parts)).alias("part"))
-    return [[(r[0], r[1]) for r in dealt.where(F.col("part") == k).collect()] for k in range(parts)] if n else []
-
-
 def over_texts(batch: pa.RecordBatch, column: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     words = [tokens(t) for t in batch.column(column).to_pylist()]
     return hashes([w for own in words for w in own]), np.cumsum([len(w) for w in words])
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document and benchmark item that overlap: doc_id, item_id, n_matches, n_aligned, doc_start, item_start (in tokens)."""
-    small_batches(documents.sparkSession)
-    schema = "doc_id long, item_id long, n_matches long, n_aligned long, doc_start long, item_start long"
-    names = [x.split()[0] for x in schema.split(", ")]
-    found = []
-    for part in slices(benchmark):
+def items_of(benchmark: DataFrame, tables: Tables, item: str, text: str) -> DataFrame:
+    """A written table of the items with tokens: number (of the row), item, their hashes, the masks and the number of seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            h = [hashes(tokens(t)) for t in batch.column(1).to_pylist()]
+            masks = [masks_for(len(x)) if len(x) else [] for x in h]
+            seeds = [sum(max(0, len(x) - len(m) + 1) for m in own) for x, own in zip(h, masks, strict=True)]
+            columns = [batch.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in h], pa.binary()), pa.array(masks, pa.list_(pa.string())), pa.array(seeds, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "tokens", "masks", "seeds"])
+
+    rows = benchmark.select(item, text).mapInArrow(run, "item long, tokens binary, masks array<string>, seeds long")
+    return tables.keep(rows.where("octet_length(tokens) > 0").withColumn("number", F.monotonically_increasing_id()), "benchmark-items")
+
+
+def hits_by_join(numbered: DataFrame, row: str, text: str, items: DataFrame, tables: Tables) -> DataFrame:
+    """(row, number, diagonal) that have as many hits as the item asks for: the windows of documents joined with the seeds in a shuffle."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, number, place, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(raw.as_py(), np.uint64)
+                for _, own in seeds_of(h):
+                    for x, values in ((keys, own), (number, np.full(len(own), k)), (place, np.arange(len(own))), (least, np.full(len(own), least_hits(len(h))))):
+                        x.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x), pa.int64()) for x in (number, place, least))], names=["seed", "number", "place", "least"])
+
+    wanted = tables.keep(items.select("number", "tokens").mapInArrow(seeds, "seed long, number long, place long, least long"), "seeds")
+    top = F.shiftrightunsigned("seed", 64 - TABLE_BITS)
+    words = wanted.groupBy(F.shiftright(top, 15).alias("bucket")).agg(F.bitmap_construct_agg(top.bitwiseAND(F.lit(32767))).alias("bits"))
+    table = np.zeros((1 << TABLE_BITS) // 32768 * 4096, np.uint8)
+    for at, bits in words.collect():  # of fixed size
+        table[4096 * at : 4096 * (at + 1)] = np.frombuffer(bits, np.uint8)
+    masks = [r[0] for r in items.select(F.explode("masks")).distinct().collect()]  # a dozen, whatever the benchmark
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = WordHashes(), np.unpackbits(table, bitorder="little").astype(bool)
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist(), np.int64)
+            h, ends = over_texts(batch, 1, hashes)
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            for mask in masks:
+                own = seed_hashes(h, mask)
+                at = np.flatnonzero(known[own >> np.uint64(64 - TABLE_BITS)])
+                doc = np.searchsorted(ends, at, "right")
+                yield pa.RecordBatch.from_arrays([pa.array(own[at].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(at - starts[doc], pa.int64())], names=["seed", "row", "at"])
+
+    hits = numbered.select(row, text).mapInArrow(windows, "seed long, row long, at long").join(wanted, "seed")
+    counted = hits.groupBy("row", "number", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("hits"), F.first("least").alias("least"))
+    return counted.where("hits >= least").select("row", "number", "diagonal")
 
-        def run(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
-            seeds, hashes = Slice.of(part), WordHashes()
-            for batch in batches:
-                h, ends = over_texts(batch, 1, hashes)
-                ids = batch.column(0).to_pylist()
-                rows = [(ids[doc], seeds.items[i], *x) for doc, i, *x in overlaps(h, ends, seeds)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-        found.append(documents.select(id_column, text).mapInArrow(run, schema))
-    return reduce(DataFrame.unionByName, found) if found else documents.sparkSession.range(0).selectExpr(*(f"id as {name}" for name in names))
+FOUND = "n_matches long, n_aligned long, doc_start long, item_start long"
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def overlapping(documents: DataFrame, benchmark: DataFrame, text: str, item: str, tables: Tables) -> DataFrame:
+    """A row for each document and item that overlap, by a shuffle: documents' columns without the text, item_id and where."""
+    row, taken = unused(documents, "row"), unused(documents, "diagonals")
+    numbered = tables.keep(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = tables.keep(hits_by_join(numbered, row, text, benchmark, tables), "diagonals")
+    of = found.join(benchmark.select("number", "item", "tokens"), "number")
+    own = tables.keep(of.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("number", "item", "diagonal", "tokens")).alias(taken)), "diagonals-of-rows")
+    asked = numbered.join(own, row).select(text, taken, *(c for c in documents.columns if c != text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            at, rows = [], []
+            for k, (body, diagonals) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                h, best = hashes(tokens(body)), {}
+                for x in diagonals:
+                    where = compared(h, np.frombuffer(x["tokens"], np.uint64), x["diagonal"])
+                    if where and where > best.get(x["number"], ((0, 0, 0, 0), 0))[0]:
+                        best[x["number"]] = where, x["item"]
+                at += [k] * len(best)
+                rows += [(i, *where) for where, i in best.values()]
+            columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[j] for r in rows], pa.int64()) for j in range(5))], names=[*batch.schema.names[2:], "item_id", *(x.split()[0] for x in FOUND.split(", "))])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in asked.schema.fields[2:])
+    return asked.mapInArrow(run, f"{kinds}item_id long, {FOUND}")
+
+
+def held(items: DataFrame) -> list[tuple[int, np.ndarray]] | None:
+    """The items, if they have so few seeds that a task holds them."""
+    if items.agg(F.coalesce(F.sum("seeds"), F.lit(0))).first()[0] > HELD_SEEDS:
+        return None
+    return [(r[0], np.frombuffer(r[1], np.uint64)) for r in items.select("item", "tokens").collect()]
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """A row for each document and benchmark item that overlap: doc_id, item_id, n_matches, n_aligned, doc_start, item_start (in tokens)."""
+    small_batches(documents.sparkSession)
+    tables = Tables(documents.sparkSession, "contaminated")
+    table = items_of(benchmark, tables, item, text)
+    items, schema = held(table), f"doc_id long, item_id long, {FOUND}"
+    texts = documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    if items is None:
+        return overlapping(texts, table, "text", item, tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, hashes = Seeds.of(items), WordHashes()
+        for batch in batches:
+            h, ends = over_texts(batch, 1, hashes)
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[doc], seeds.items[i], *x) for doc, i, *x in overlaps(h, ends, seeds)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return texts.mapInArrow(run, schema)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """The rows of documents that overlap with no benchmark item, with their own columns."""
     small_batches(documents.sparkSession)
-    at = documents.columns.index(text)
-    for part in slices(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
-            seeds, hashes = Slice.of(part), WordHashes()
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for doc, *_ in overlaps(*over_texts(batch, at, hashes), seeds):
-                    keep[doc] = False
-                yield batch.filter(pa.array(keep))
-
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    tables = Tables(documents.sparkSession, "clean")
+    table = items_of(benchmark, tables, item, "text")
+    items, at = held(table), documents.columns.index(text)
+    if items is None:
+        row = unused(documents, "row")
+        numbered = tables.keep(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+        found = overlapping(numbered.select(F.col(row).alias("found"), F.col(text).alias("text")), table, "text", item, tables)
+        dirty = tables.keep(found.select(F.col("found").alias(row)).distinct(), "dirty")
+        return numbered.join(bounded_broadcast(dirty), row, "left_anti").select(*documents.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, hashes = Seeds.of(items), WordHashes()
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for doc, *_ in overlaps(*over_texts(batch, at, hashes), seeds):
+                keep[doc] = False
+            yield batch.filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)
