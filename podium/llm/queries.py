@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.llm import decontaminate, jaccard_join, language, ngram_lm, packing, pfor, pii, quality, secrets, shards
-from podium.llm.common import scratch, table
+from podium.llm.common import scratch, table, unused
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,7 +62,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     store = shards.ShardStore(spark, scratch(spark, "shards"), documents.schema)
     # sixteen arrivals: what came in the hours of a day, say; all rows arrive
-    store.append(documents.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16))), "__arrival")
+    arrival = unused(documents, "arrival")
+    store.append(documents.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(16))), arrival)
     store.compact()
     return store.read().select(
         "doc_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"),

@@ -5,7 +5,8 @@ logarithm of their bytes to the base of the fan-in; whenever a tier has `fan_in`
 together and written as one run of files of about the target size, which lands in a higher tier. So a row is
 written again once a tier, not once an arrival. A manifest lists the runs of a version; the next version is
 written aside and renamed into place, which fails if another writer was first. Readers of a version see its
-runs alone. Runs that the newest version doesn't name are deleted by vacuum().
+runs alone. The newest `keep` versions (two if not said otherwise) can be read; compact() deletes older ones after each merge, with
+the runs that only they name. A reader of the newest version may go on through keep - 1 further commits.
 
 A job that loses executors runs its lost tasks again; one that fails altogether leaves files that no
 manifest names. Null and empty texts, repeated rows and further columns are stored as they are. An empty
@@ -23,6 +24,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podium.llm.common import unused
+
 
 @dataclass(frozen=True)
 class Run:
@@ -38,8 +41,8 @@ class Conflict(RuntimeError):
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, path: str, schema: object, fan_in: int = 4, target_bytes: int = 64 << 20, base_bytes: int = 1 << 20):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: object, fan_in: int = 4, target_bytes: int = 64 << 20, base_bytes: int = 1 << 20, keep: int = 2):
+        self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
         self.fan_in, self.target_bytes, self.base_bytes = fan_in, target_bytes, base_bytes
         self.java = spark._jvm
         self.fs = self.java.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -66,7 +69,7 @@ class ShardStore:
         version = self.version() if version is None else version
         if version == 0:
             return []
-        stream = self.fs.open(self._path("manifests", f"v{version:010d}.json"))
+        stream = self.fs.open(self._manifest(version))
         try:
             text = self.java.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -90,19 +93,28 @@ class ShardStore:
             raise
 
     def append(self, arrivals: DataFrame, arrival: str) -> int:
-        """Writes each value of the arrival column as a run of small shards, all in one job, and commits them together."""
+        """Writes each value of the arrival column as a run of small shards, all in one job, and commits them together.
+
+        Values may be of any type, and null is one too: folders are named by a hash. Rows of one arrival come together first, and large
+        arrivals are split, so files are as many as their bytes ask for and not one for each task and arrival.
+        """
         version, runs = self.version(), self.runs()
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        arrivals.write.partitionBy(arrival).parquet(folder)
+        folder, own = f"{self.path}/data/{uuid.uuid4().hex}", unused(arrivals, "arrival")
+        named = F.concat(F.lit("a"), F.hex(F.xxhash64(F.col(arrival).isNull(), F.col(arrival).cast("string"))))  # never read back as a number or a date
+        rows = arrivals.withColumn(own, named).select(*(f.name for f in self.schema.fields), own)
+        self.write(rows.hint("rebalance", own), folder, own)
         landed = any(s.isDirectory() and "=" in s.getPath().getName() for s in self.fs.listStatus(self.java.org.apache.hadoop.fs.Path(folder)))
-        counts = {str(r[0]): r[1] for r in self.spark.read.parquet(folder).groupBy(arrival).count().collect()} if landed else {}
+        counts = {r[0]: r[1] for r in self.spark.read.parquet(folder).groupBy(own).count().collect()} if landed else {}
         next_id = 1 + max((r.run_id for r in runs), default=0)
-        for k, value in enumerate(sorted(counts, key=lambda v: (len(v), v))):
-            at = f"{folder}/{arrival}={value}"
+        for k, value in enumerate(sorted(counts)):
+            at = f"{folder}/{own}={value}"
             runs.append(Run(next_id + k, at, counts[value], *self._size(at)))
         self.commit(version, runs)
         return version + 1
 
+    def write(self, rows: DataFrame, folder: str, *by: str) -> None:
+        rows.write.partitionBy(*by).option("compression", "zstd").parquet(folder)
+
     def due(self, runs: list[Run]) -> list[Run]:
         """The smallest runs of the lowest tier that is full."""
         by_tier: dict[int, list[Run]] = {}
@@ -125,26 +137,36 @@ class ShardStore:
             size = sum(r.bytes for r in old)
             at = f"{self.path}/data/{uuid.uuid4().hex}"
             # read partitions are joined, not shuffled: rows move once, from old files to new ones
-            self.spark.read.schema(self.schema).parquet(*(r.path for r in old)).coalesce(max(1, math.ceil(size / self.target_bytes))).write.parquet(at)
+            self.write(self.spark.read.schema(self.schema).parquet(*(r.path for r in old)).coalesce(max(1, math.ceil(size / self.target_bytes))), at)
             gone = {r.run_id for r in old}
             merged = Run(1 + max(r.run_id for r in runs), at, sum(r.rows for r in old), *self._size(at))
             self.commit(version, [r for r in runs if r.run_id not in gone] + [merged])
-            self.vacuum(old)
+            self.vacuum()
             merges += 1
 
-    def vacuum(self, runs: list[Run]) -> None:
-        """Deletes the files of runs that the newest version doesn't name."""
-        named = {r.path for r in self.runs()}
-        for run in runs:
-            if run.path not in named:
-                self.fs.delete(self.java.org.apache.hadoop.fs.Path(run.path), True)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with __run, __tier and __files of the run that holds them."""
-        parts = [
-            self.spark.read.schema(self.schema).parquet(r.path).withColumns({"__run": F.lit(r.run_id).cast("long"), "__tier": F.lit(self.tier(r)), "__files": F.lit(r.files)})
-            for r in self.runs(version)
-        ]
-        if not parts:
-            return self.spark.createDataFrame([], self.schema).withColumns({"__run": F.lit(0).cast("long"), "__tier": F.lit(0), "__files": F.lit(0)})
-        return reduce(DataFrame.unionByName, parts)
+    def vacuum(self) -> None:
+        """Deletes the versions before the newest `keep` ones, and the files of runs that only those name."""
+        newest = self.version()
+        first = max(1, newest - self.keep + 1)
+        named = {r.path for v in range(first, newest + 1) for r in self.runs(v)}
+        for version in range(first - 1, 0, -1):
+            if not self.fs.exists(self._manifest(version)):
+                break
+            for path in {r.path for r in self.runs(version)} - named:
+                self.fs.delete(self.java.org.apache.hadoop.fs.Path(path), True)
+            self.fs.delete(self._manifest(version), False)
+
+    def _manifest(self, version: int) -> object:
+        return self._path("manifests", f"v{version:010d}.json")
+
+    def read(self, version: int | None = None, added: tuple[str, str, str] = ("__run", "__tier", "__files")) -> DataFrame:
+        """The rows of a version, with the run that holds them, its tier and its number of files, under the names of `added`."""
+
+        def of(df: DataFrame, *values: int) -> DataFrame:
+            return df.withColumns({name: F.lit(x).cast(kind) for name, x, kind in zip(added, values, ("long", "int", "int"), strict=True)})
+
+        taken = {f.name.lower() for f in self.schema.fields} & {x.lower() for x in added}
+        if taken:
+            raise ValueError(f"the table has columns of these names, give others: {sorted(taken)}")
+        parts = [of(self.spark.read.schema(self.schema).parquet(r.path), r.run_id, self.tier(r), r.files) for r in self.runs(version)]
+        return reduce(DataFrame.unionByName, parts) if parts else of(self.spark.createDataFrame([], self.schema), 0, 0, 0)

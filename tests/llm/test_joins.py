@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from podium.llm import decontaminate, jaccard_join, shards
+from podium.llm import common, decontaminate, jaccard_join, shards
 from podium.llm.common import WordHashes
 from tests.llm import rows
 
@@ -62,7 +62,7 @@ def test_components_are_those_of_brute_force(spark, monkeypatch, n, percent, sma
 
 
 def test_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     docs = copies(7)
     got = jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == plain_components(docs, 3, 90)
@@ -145,7 +145,11 @@ def test_join_hard_rows(spark):
     assert jaccard_join.components(rows.empty(spark)).count() == 0
 
 
-def test_planted_passages(spark):
+def seeds_of_texts(*items):
+    return decontaminate.Seeds.of([(i, WordHashes()(decontaminate.tokens(t))) for i, t in items])
+
+
+def test_planted_passages(spark, monkeypatch):
     items = [(k, rows.prose(500 + k, 40)) for k in range(30)] + [(90, None), (91, ""), (92, "too short"), (93, rows.prose(7000, 9))]
     r, docs, planted = random.Random(2), [], set()
     for k in range(150):
@@ -165,12 +169,18 @@ def test_planted_passages(spark):
     assert {(x.doc_id, x.item_id) for x in found} == planted
     assert {x.doc_id for x in decontaminate.clean(d, b).collect()} == {k for k, _ in docs} - {k for k, _ in planted}
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0
+    monkeypatch.setattr(decontaminate, "HELD_SEEDS", 0)  # the same by a shuffle
+    assert sorted(decontaminate.contaminated(d, b).collect()) == sorted(found)
+    odd = d.selectExpr("*", "1 as row", "2 as diagonals", "'x' as seed")
+    left = decontaminate.clean(odd, b)
+    assert left.columns == odd.columns
+    assert {x.doc_id for x in left.collect()} == {k for k, _ in docs} - {k for k, _ in planted}
 
 
 @pytest.mark.parametrize("size", [8, 9, 10, 12, 13, 15, 18])
 def test_every_accepted_copy_of_a_short_item_is_found(size):
     item = [f"w{k}" for k in range(size)]
-    seeds, hashes = decontaminate.Slice.of([(1, " ".join(item))]), WordHashes()
+    seeds, hashes = seeds_of_texts((1, " ".join(item))), WordHashes()
     for n in range(size - -(-4 * size // 5) + 1):
         for places in itertools.combinations(range(size), n):
             h = hashes([w.encode() for w in ["before", *("zzz" if k in places else w for k, w in enumerate(item)), "after"]])
@@ -183,20 +193,13 @@ def test_every_accepted_copy_of_a_short_item_is_found(size):
 
 def test_items_of_a_few_tokens_match_whole(monkeypatch):
     monkeypatch.setattr(decontaminate, "PIECE_TOKENS", 6)
-    seeds = decontaminate.Slice.of([(7, "Two words"), (8, "a b c d e"), (9, ""), (10, None), (11, "one")])
+    seeds = seeds_of_texts((7, "Two words"), (8, "a b c d e"), (9, ""), (10, None), (11, "one"))
     texts = ["say two, words", "two other words", "", "a b c d e", "a b c d x", "x a b c", "d e", "One"]
     words = [decontaminate.tokens(t) for t in texts]
     h, ends = WordHashes()([w for own in words for w in own]), np.cumsum([len(w) for w in words])
     assert sorted((doc, seeds.items[i], *x) for doc, i, *x in decontaminate.overlaps(h, ends, seeds)) == [(0, 7, 2, 2, 1, 0), (3, 8, 5, 5, 0, 0), (7, 11, 1, 1, 0, 0)]
 
 
-def test_slices_cover_the_benchmark(spark):
-    b = spark.createDataFrame([(k, rows.prose(k, 20)) for k in range(50)], "item_id long, text string")
-    parts = decontaminate.slices(b, limit=10)
-    assert len(parts) == 5
-    assert sorted(i for p in parts for i, _ in p) == list(range(50))
-
-
 def test_decontamination_hard_rows(spark):
     b = spark.createDataFrame([(1, rows.prose(2, 300))], "item_id long, text string")
     df = rows.table(spark)
@@ -205,26 +208,50 @@ def test_decontamination_hard_rows(spark):
     assert decontaminate.clean(rows.empty(spark), b).count() == 0
 
 
+def same_rows(df, other):
+    return sorted(map(str, map(tuple, df.select(other.columns).collect()))) == sorted(map(str, map(tuple, other.collect())))
+
+
 def test_shards(spark, tmp_path):
     df = rows.table(spark)
     store = shards.ShardStore(spark, str(tmp_path / "s"), df.schema, fan_in=2, target_bytes=3000, base_bytes=1000)
     assert store.read().count() == 0
-    store.append(df.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(5))), "__arrival")
-    first = store.version()
+    # arrivals of any text, null among them, named as a column of the table
+    odd = F.element_at(F.array(*map(F.lit, ["01", "1", "a/b=c%", "__HIVE_DEFAULT_PARTITION__", None])), F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int") + 1)
+    store.append(df.withColumn("came", odd), "came")
+    assert len(store.runs()) == df.select(odd).distinct().count()
+    assert same_rows(store.read(), df)
+    first, open_reader = store.version(), store.read()
     store.compact()
     runs = store.runs()
-    assert sorted(map(str, (r[: len(df.columns)] for r in store.read().collect()))) == sorted(map(str, map(tuple, df.collect())))
+    assert same_rows(store.read(), df)
     assert sum(r.rows for r in runs) == df.count()
     tiers = [store.tier(r) for r in runs]
     assert all(tiers.count(t) < store.fan_in for t in tiers)
     assert store.version() > first
     assert not store.due(runs)
+    assert same_rows(store.read(store.version() - 1), df)
     with pytest.raises(shards.Conflict):
         store.commit(store.version() - 1, [])
     assert store.runs() == runs
     before = store.version()
-    store.append(rows.empty(spark).selectExpr("*").withColumn("__arrival", F.lit(1)), "__arrival")
+    store.append(rows.empty(spark).selectExpr("*", *(f"null as {c}" for c in df.columns[5:])).withColumn("came", F.lit(1)), "came")
     assert (store.version(), store.runs()) == (before + 1, runs)
+    del open_reader
+
+
+def test_a_reader_survives_one_commit(spark, tmp_path):
+    df = rows.table(spark).withColumn("came", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    store = shards.ShardStore(spark, str(tmp_path / "s"), df.drop("came").schema, fan_in=2, base_bytes=1 << 20)
+    store.append(df, "came")
+    reader = store.read()
+    assert store.compact() == 1
+    assert same_rows(reader, df.drop("came"))
+    clash = shards.ShardStore(spark, str(tmp_path / "t"), df.withColumn("__run", F.lit(1)).drop("came").schema)
+    clash.append(df.withColumn("__run", F.lit(1)), "came")
+    with pytest.raises(ValueError, match="__run"):
+        clash.read()
+    assert same_rows(clash.read(added=("run_", "tier_", "files_")), df.withColumn("__run", F.lit(1)).drop("came"))
 
 
 def pipeline_rows():
