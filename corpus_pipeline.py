@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.llm import decontaminate, jaccard_join, packing, quality, secrets
-from podium.llm.common import table, written
+from podium.llm.common import Tables, bounded_broadcast, table, unused, written
 
 WORDS, PERCENT = 5, 80
 
@@ -30,11 +30,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = written(jaccard_join.components(rows, WORDS, PERCENT, "__row").select("__row", "component_id"), "near-copies")
-    order = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row").alias("least"))
-    first = groups.join(order, "__row").groupBy("component_id").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__row"))
-    return rows.join(jaccard_join.bounded_broadcast(written(first, "kept-rows")), "__row", "left_semi").select(*docs.columns)
+    row, tables = unused(docs, "row"), Tables(spark, "near-copies")
+    rows = tables.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = tables.keep(jaccard_join.components(rows, WORDS, PERCENT, row).select(F.col(row).alias("at"), "component_id"), "groups")
+    order = rows.select(F.col(row).alias("at"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col(row).alias("at")).alias("least"))
+    first = groups.join(order, "at").groupBy("component_id").agg(F.min("least").alias("least")).select(F.col("least.at").alias(row))
+    return rows.join(bounded_broadcast(tables.keep(first, "kept-rows")), row, "left_semi").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
