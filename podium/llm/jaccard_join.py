@@ -14,7 +14,7 @@ r"""Documents linked by the Jaccard similarity of their word n-grams, exactly.
     long ones by binary search.
 4.  A signature whose sets, after that, are of more than one component has sets in several blocks that
     were never compared. Those outside its largest component are searched against all of its sets, in pairs of blocks. Signatures
-    of the same sets are searched once.
+    of the same sets are searched once, and a candidate group at once if that is less work than its signatures one by one.
 5.  The links' connected components get their smallest id.
 
 No candidate is capped and no link is lost. Null and empty texts have an empty set, link with nothing and are
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +42,10 @@ from podium.operators.components import connected_components
 
 #: A block has about so many sets, and n-grams, at most.
 BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 21
+#: Buckets of the n-grams' frequencies, their slices, and tasks whose counts are added up first.
+BUCKET_BITS, SLICES, TASKS_TOGETHER = 22, 64, 128
+#: The weight of an n-gram that one text has; one that c texts have weighs a c-th.
+RARE = 1 << 20
 #: The weight of the logarithm in DivideSkip's number of long lists.
 MU = 0.0085
 #: Set to all bits of a content hash and of a second hash of a set.
@@ -63,18 +68,54 @@ def set_hash(grams: np.ndarray) -> int:
     return int(mix(grams).sum(dtype=np.uint64).astype(np.int64))
 
 
+def bucket(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def rarity(documents: DataFrame, n: int, text: str) -> np.ndarray:
+    """The weight of an n-gram for each bucket of hashes, from how many texts have one of the bucket: of one size for any corpus.
+
+    All texts are counted. It says which ranges are weak; any weights give the same links.
+    """
+    small_batches(documents.sparkSession)
+    slice_size = (1 << BUCKET_BITS) // SLICES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        hashes, counts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, bucket(ngram_set(words_of(text), hashes, n)), 1)
+        if counts.any():
+            group = TaskContext.get().partitionId() // TASKS_TOGETHER
+            parts = [counts[k : k + slice_size].astype("<i8").tobytes() for k in range(0, 1 << BUCKET_BITS, slice_size)]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "group": pa.array([group] * SLICES, pa.int32()), "counts": pa.array([zlib.compress(x, 1) for x in parts], pa.binary())})
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in rows.column("counts"))
+        return pa.table({"slice": rows.column("slice")[:1], "group": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    schema = "slice int, group int, counts binary"
+    summed = documents.select(text).mapInArrow(run, schema).groupBy("slice", "group").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for row in summed.collect():  # SLICES rows
+        counts[row.slice * slice_size : (row.slice + 1) * slice_size] = np.frombuffer(zlib.decompress(row.counts), "<i8")
+    return (RARE // np.maximum(counts, 1)).astype("<i4")
+
+
 @dataclass(frozen=True)
 class Scheme:
     """How sets of one class of sizes, and the larger ones they can be linked with, are signed."""
 
-    spare: int  # ranges of fewest n-grams that are left out
+    spare: int  # the weakest ranges, which are left out
     bounds: np.ndarray  # between the ranges
     salts: np.ndarray  # of the ranges
 
 
 class Signatures:
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, weights: np.ndarray | None = None):
+        self.percent, self.weights = percent, weights
         self.first = [1]  # the smallest size of each class
         self.schemes: list[Scheme | None] = []
 
@@ -98,14 +139,16 @@ class Signatures:
         while self.first[-1] <= n:
             self._grow()
         own = bisect_right(self.first, n) - 1
-        total, out = None, [np.zeros(0, np.uint64)]
+        total, strength, out = None, None, [np.zeros(0, np.uint64)]
         for scheme in self.schemes[max(0, own - 1) : own + 1] if n else ():
             if scheme is None:
                 continue
             if total is None:
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ CONTENT), dtype=np.uint64)])
+                # whole numbers: a range is as strong in one set as in another
+                strength = np.arange(n + 1) if self.weights is None else np.concatenate([[0], np.cumsum(self.weights[bucket(grams)], dtype=np.int64)])
             at = np.concatenate([[0], np.searchsorted(grams, scheme.bounds), [n]])
-            full = np.argsort(np.diff(at), kind="stable")[scheme.spare :]
+            full = np.argsort(np.diff(strength[at]), kind="stable")[scheme.spare :]
             out.append(mix(total[at[full + 1]] - total[at[full]] + scheme.salts[full]))
         return np.concatenate(out)
 
@@ -116,9 +159,10 @@ def described(documents: DataFrame, n: int, percent: int, id_column: str, text:
     Signatures are in no table: a batch passes on each of them once, and then what they have in common is all that is left.
     """
     small_batches(documents.sparkSession)
+    packed = zlib.compress(rarity(documents, n, text).tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sign = WordHashes(), Signatures(percent)
+        hashes, sign = WordHashes(), Signatures(percent, np.frombuffer(zlib.decompress(packed), "<i4"))
         for batch in batches:
             ids = batch.column(0).to_pylist()
             sets = [ngram_set(words_of(t), hashes, n) for t in batch.column(1).to_pylist()]
@@ -299,38 +343,53 @@ def sets_of(documents: DataFrame, wanted: DataFrame, n: int, id_column: str, tex
 
 
 def signed(sets: DataFrame, percent: int) -> DataFrame:
-    """(signature, node, label) of sets (node, label, grams)."""
+    """(signature, node, label, component) of sets (node, label, component, grams); without weights, as all of these are neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signatures(percent)
         for batch in batches:
-            own = [sign(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column(2)]
+            own = [sign(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column(3)]
             times = [len(s) for s in own]
-            node, label = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), times) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)), pa.array(node, pa.int64()), pa.array(label, pa.int64())], names=["signature", "node", "label"])
+            of = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), times), pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)), *of], names=["signature", "node", "label", "component"])
 
-    return sets.select("node", "label", "grams").mapInArrow(run, "signature long, node long, label long")
+    return sets.select("node", "label", "component", "grams").mapInArrow(run, "signature long, node long, label long, component long")
 
 
 def across_blocks(documents: DataFrame, nodes: DataFrame, n: int, percent: int, id_column: str, text: str, tables: Tables) -> DataFrame | None:
-    """Links between nodes (node, hash1, label) that share a signature and are not of one label; None if there is no such signature."""
+    """Links between nodes (node, hash1, label, component) that share a signature and are not of one label; None if there is no such signature."""
     hits = tables.keep(signed(sets_of(documents, nodes, n, id_column, text), percent).distinct(), "signed")
-    of = hits.groupBy("signature", "label").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    lists = of.groupBy("signature").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    once = lists.where("labels > 1").groupBy("size", "x", "y").agg(F.min(F.struct("signature", "main")).alias("l"))
     blocks = lambda size: F.ceil(size / F.lit(BLOCK_SETS)).cast("int")
-    open_lists = tables.keep(once.select("l.signature", "l.main.label", blocks(F.col("size")).alias("lows"), blocks(F.col("size") - F.col("l.main.c")).alias("highs")).withColumnRenamed("label", "main"), "open-signatures")
-    if open_lists.isEmpty():
+    size, main = F.col("size"), F.col("main")
+
+    def parts(members: DataFrame, part: str) -> DataFrame:
+        """What is of more than one label in each part: how many, the label of most, and two hashes of all."""
+        of = members.groupBy("component", part, "label").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        return of.groupBy("component", part).agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("labels > 1")
+
+    once = parts(hits, "signature").groupBy("component", "size", "x", "y").agg(F.min(F.struct("signature", "main")).alias("l"))
+    lists = tables.keep(once.select("component", F.col("l.signature").alias("part"), "size", F.col("l.main").alias("main")), "open-signatures")
+    if lists.isEmpty():
         return None
-    own = hits.join(bounded_broadcast(open_lists), "signature")
+    listed = hits.withColumnRenamed("signature", "part")
+    members = tables.keep(listed.join(bounded_broadcast(lists), ["component", "part"]).select("component", "part", "node", "label", "size", "main"), "open-members")
+    # a component whose lists have much in common is less work as a whole
+    whole = members.select("component", F.col("component").alias("part"), "node", "label").distinct()
+    as_whole = parts(whole, "part").select("component", "part", "size", "main")
+    work = as_whole.join(lists.groupBy("component").agg(F.sum("size").alias("listed")), "component")
+    left = size - main["c"]
+    cheap = tables.keep(work.where(size * blocks(left) + left * blocks(size) <= F.col("listed")).select("component", "part", "size", "main"), "whole-components")
+    by_list = members.join(bounded_broadcast(cheap).select("component"), "component", "left_anti")
+    own = whole.join(bounded_broadcast(cheap), ["component", "part"]).unionByName(by_list)
+    own = own.select("part", "node", "label", main["label"].alias("main"), blocks(size).alias("lows"), blocks(left).alias("highs"))
     at = lambda count: F.array(F.pmod(F.xxhash64("node"), F.col(count)).cast("int"))
     every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
-    indexed = own.select("node", F.struct("signature", F.lit(False).alias("asks"), at("lows").alias("low"), every("highs").alias("high")).alias("at"))
-    asking = own.where("label <> main").select("node", F.struct("signature", F.lit(True).alias("asks"), every("lows").alias("low"), at("highs").alias("high")).alias("at"))
+    indexed = own.select("node", F.struct("part", F.lit(False).alias("asks"), at("lows").alias("low"), every("highs").alias("high")).alias("at"))
+    asking = own.where("label <> main").select("node", F.struct("part", F.lit(True).alias("asks"), every("lows").alias("low"), at("highs").alias("high")).alias("at"))
     places = indexed.unionByName(asking).groupBy("node").agg(F.collect_list("at").alias("at"))
     wanted = tables.keep(places.join(nodes.select("node", "hash1"), "node"), "block-places")
     sets = sets_of(documents, wanted, n, id_column, text).select("node", "grams", F.explode("at").alias("at"))
-    sets = sets.select("node", "grams", F.col("at.signature").alias("part"), "at.asks", F.explode("at.low").alias("low"), "at.high")
+    sets = sets.select("node", "grams", "at.part", "at.asks", F.explode("at.low").alias("low"), "at.high")
     return tables.keep(links_in(sets.withColumn("high", F.explode("high")), percent), "links-across")
 
 
@@ -353,10 +412,10 @@ def components(documents: DataFrame, n: int = 3, percent: int = 90, id_column: s
     sets = sets_of(documents, dealt, n, id_column, text).withColumn("low", F.explode("low")).withColumns({"high": F.col("low"), "asks": F.lit(False)})
     links = tables.keep(links_in(sets, percent), "links")
     joined = tables.keep(connected_components(links, tables.keep, drop=tables.drop), "linked")
-    split = dealt.where("blocks > 1").select("node", "hash1")
+    split = dealt.where("blocks > 1").select("node", "hash1", F.col("part").alias("component"))
     if not split.isEmpty():
         label = joined.withColumnRenamed("component", "label")
-        nodes = tables.keep(split.join(label, "node", "left").select("node", "hash1", F.coalesce("label", "node").alias("label")), "split-nodes")
+        nodes = tables.keep(split.join(label, "node", "left").select("node", "hash1", F.coalesce("label", "node").alias("label"), "component"), "split-nodes")
         more = across_blocks(documents, nodes, n, percent, id_column, text, tables)
         if more is not None:
             joined = tables.keep(connected_components(links.unionByName(more), tables.keep, drop=tables.drop), "linked")

@@ -93,7 +93,8 @@ def test_search_is_exact(percent):
 
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_signature(percent):
-    r, sign, linked = np.random.default_rng(9), jaccard_join.Signatures(percent), 0
+    r, linked = np.random.default_rng(9), 0
+    sign = jaccard_join.Signatures(percent, (jaccard_join.RARE // r.integers(1, 50, 1 << jaccard_join.BUCKET_BITS)).astype(np.int32))
     for _ in range(3000):
         a = np.unique(r.integers(0, 2**63, r.integers(1, 150)).astype(np.uint64) * np.uint64(2))
         rate = 1 - (100 - percent) / 100 * r.random()
