@@ -38,10 +38,26 @@ def relay_code(title: Column) -> Column:
 
 
 def category_code(code: Column) -> Column:
-    """Two or three bare digits are a masters' category."""
-    return F.when(code.rlike("^\\d{2,3}$"), F.concat(F.lit("M"), code)).otherwise(code)
+    """Two or three bare digits, with an X or not, are a masters' category; other codes are in capitals."""
+    return F.when(code.rlike("(?i)^\\d{2,3}x?$"), F.concat(F.lit("M"), code)).otherwise(F.upper(code))
+
+
+def relay_category_code(code: Column, known: list[str]) -> Column:
+    """Bare digits are the first known category that begins with them; 80X is the one that ends at 79; null if none is known."""
+    codes = F.array(*map(F.lit, known))
+    ends = F.filter(codes, lambda c: F.endswith(c, F.lit("-79")))
+    begins = F.filter(codes, lambda c: F.startswith(c, F.concat(code, F.lit("-"))))
+    return F.when(code.rlike("(?i)^80x$"), F.get(ends, F.lit(0))).when(code.rlike("(?i)^\\d{2,3}x?$"), F.get(begins, F.lit(0))).otherwise(F.upper(code))
 
 
 def relay_range(base: Column) -> Column:
-    """240 is 240-259 below 280 and of forty years from there; here bands are of forty throughout."""
-    return F.concat(base.cast("string"), F.lit("-"), (base + 39).cast("string"))
+    """The twenty years from a base age: 240-259."""
+    return F.concat(base.cast("string"), F.lit("-"), (base + 19).cast("string"))
+
+
+def relay_band(code: Column) -> Column:
+    """The band of ages of a relay's code: M80 and M100 have twenty years, older ones forty; U80 is 60-79, and other codes have all ages."""
+    plain = F.upper(F.btrim(F.coalesce(code, F.lit(""))))
+    base = F.regexp_extract(plain, "^M(\\d{2,3})$", 1).try_cast("int")
+    band = F.concat(base.cast("string"), F.lit("-"), (base + F.when(base <= 100, 19).otherwise(39)).cast("string"))
+    return F.when(plain == "U80", "60-79").otherwise(F.coalesce(band, F.lit("000-999")))

@@ -31,6 +31,11 @@ def parse_timing(text: Column) -> Column:
     return F.coalesce(by(FIRST), by(SECOND))
 
 
+def convert_timing(text: Column) -> Column:
+    """1:00.66 with an apostrophe behind the minutes; what begins with a letter (NT, DNS, DSQ) stays."""
+    return F.when(text.rlike("^[A-Za-z]"), text).otherwise(F.regexp_replace(text, "^([^:]*):", "$1'"))
+
+
 def parse_timing_staging(text: Column) -> Column:
     """As parse_timing, but 0 for what can't be parsed; backticks are apostrophes, and m'ss has no hundredths."""
     plain = F.btrim(F.translate(F.coalesce(text, F.lit("")), "`’", "''"))

@@ -51,11 +51,11 @@ def insert_script(spark: SparkSession, sf: str) -> DataFrame:
     return new.select("id", ch.insert_statement("customers", {c: F.col(c) for c in ("id", "name", "segment", "nation", "active")}).alias("statement"))
 
 
-@query("U03 U16 K06", d.sql("results laps", """, r as (select distinct mir_id from results where meeting_id = 199805), l as (select mir_id * 1000 + length as id from laps where mir_id in (select mir_id from r))
+@query("U03 U16 K06", d.sql("results laps", """, r as (select distinct mir_id from results where meeting_id = 199805), l as (select mir_id * 4 + length // 25 - 1 as id from laps where mir_id in (select mir_id from r))
     select 1 as step, 'DELETE' as operation, 'laps' as table, id from l union all select 2, 'DELETE', 'results', mir_id from r union all select 3, 'DELETE', 'meetings', 199805"""))
 def purge_changes(spark: SparkSession, sf: str) -> DataFrame:
     r = d.results(spark, sf).where("meeting_id = 199805").select("mir_id").distinct()
-    laps = d.laps(spark, sf).join(r, "mir_id", "left_semi").distinct().select((F.col("mir_id") * 1000 + F.col("length")).alias("id"))
+    laps = d.laps(spark, sf).join(r, "mir_id", "left_semi").distinct().select((F.col("mir_id") * 4 + F.expr("length div 25") - 1).alias("id"))
     meeting = spark.range(1).select(F.lit(199805).alias("id"))
     return ch.deletions([("laps", laps, "id"), ("results", r, "mir_id"), ("meetings", meeting, "id")])
 
@@ -289,20 +289,21 @@ def ranking_export(spark: SparkSession, sf: str) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy("best", "swimmer_id")).cast("long").alias("place"), "swimmer_id", format_timing(F.col("best")).alias("timing"))
 
 
-@query("N13 N15 E14", d.sql("results laps", """select l.mir_id * 1000 + l.length as lap_key, case when s.mir_id is null then 'INSERT' else 'UPDATE' end as operation from laps l left join (select * from laps where length <= 50) s on s.mir_id = l.mir_id and s.length = l.length where l.mir_id in (select mir_id from results where meeting_id = 199712)"""))
+@query("N13 N15 E14", d.sql("results laps", """select l.mir_id, l.length, case when l.length <= 50 and s.mir_id is not null then 'UPDATE' else 'INSERT' end as operation
+    from (select distinct mir_id from results where meeting_id = 199712) m join laps l using (mir_id) left join (select distinct mir_id from laps where length = 25) s on s.mir_id = l.mir_id"""))
 def lap_upserts(spark: SparkSession, sf: str) -> DataFrame:
     laps = d.laps(spark, sf)
     some = laps.join(d.results(spark, sf).where("meeting_id = 199712").select("mir_id"), "mir_id", "left_semi")
     stored = laps.where("length <= 50").select("mir_id", "length", F.lit(True).alias("stored"))
-    return some.join(stored, ["mir_id", "length"], "left").select((F.col("mir_id") * 1000 + F.col("length")).alias("lap_key"), F.when(F.col("stored"), "UPDATE").otherwise("INSERT").alias("operation"))
+    return some.join(stored, ["mir_id", "length"], "left").select("mir_id", "length", F.when(F.col("stored"), "UPDATE").otherwise("INSERT").alias("operation"))
 
 
-@query("N13 N15 E14", d.sql("laps", """select l.mir_id * 1000 + l.length as lap_key, case when s.mir_id is null then 'INSERT' else 'UPDATE' end as operation from laps l left join (select * from laps where length <= 50) s on s.mir_id = l.mir_id and s.length = l.length"""))
+@query("N13 N15 E14", d.sql("laps", """select l.mir_id, l.length, case when s.mir_id is null then 'INSERT' else 'UPDATE' end as operation from laps l left join (select * from laps where length <= 50) s on s.mir_id = l.mir_id and s.length = l.length"""))
 def lap_upserts_all(spark: SparkSession, sf: str) -> DataFrame:
     """lap_upserts of all meetings."""
     laps = d.laps(spark, sf)
     stored = laps.where("length <= 50").select("mir_id", "length", F.lit(True).alias("stored"))
-    return laps.join(stored, ["mir_id", "length"], "left").select((F.col("mir_id") * 1000 + F.col("length")).alias("lap_key"), F.when(F.col("stored"), "UPDATE").otherwise("INSERT").alias("operation"))
+    return laps.join(stored, ["mir_id", "length"], "left").select("mir_id", "length", F.when(F.col("stored"), "UPDATE").otherwise("INSERT").alias("operation"))
 
 
 @query("E08 L08 E07", d.sql("results", """select swimmer_id, mir_id, weight from (select swimmer_id, mir_id, cast(least(1, greatest(0, (mir_id % 100) / 100.0 + case when team_id % 5 = 0 then 0.05 else -0.05 end)) * 1000 as bigint) as weight,

@@ -29,7 +29,13 @@ def parsed_sql(column: str) -> str:
     return f"coalesce({by(first)}, {by(second)})"
 
 
-@query("F01 F07 Q17", d.sql("results", f", texts as (select mir_id, {TIMING_TEXT} as text from results r) select mir_id, {parsed_sql('text')} as hundredths from texts"))
+@query("F07", d.sql("results", f""", texts as (select mir_id, {TIMING_TEXT} as text from results r) select mir_id, case when regexp_matches(text, '^[A-Za-z]') or position(':' in text) = 0 then text
+    else left(text, position(':' in text) - 1) || '''' || substr(text, position(':' in text) + 1) end as timing from texts"""))
+def converted_timings(spark: SparkSession, sf: str) -> DataFrame:
+    return timing_texts(spark, sf).select("mir_id", timing.convert_timing(F.col("text")).alias("timing"))
+
+
+@query("F01 Q17", d.sql("results", f", texts as (select mir_id, {TIMING_TEXT} as text from results r) select mir_id, {parsed_sql('text')} as hundredths from texts"))
 def parse_timings(spark: SparkSession, sf: str) -> DataFrame:
     return timing_texts(spark, sf).select("mir_id", timing.parse_timing(F.col("text")).alias("hundredths"))
 
@@ -203,7 +209,21 @@ for _p, _c in events.NORMAL:
     _normal = f"regexp_replace({_normal}, '(?i){_p}', '{_c}', 'g')"
 
 
-@query("F51 F52 F55 F57 F58", f"""with t as (select p_partkey, {TITLE_SQL} as title from part) select p_partkey, {_normal} as normal, case title when '4x50m Misti' then 'S4X50MX' when '4x100 sl' then 'S4X100SL' end as relay, case when p_partkey % 2 = 0 then 'M' || cast(25 + 5 * (p_partkey % 4) as varchar) else 'U25' end as category, cast(80 + 40 * (p_partkey % 5) as varchar) || '-' || cast(80 + 40 * (p_partkey % 5) + 39 as varchar) as ages from t""")
+_KNOWN = [code for code, *_ in d.RELAY_BANDS] + ["60-79"]
+_CODES = "case p_partkey % 6 when 0 then 'M80' when 1 then 'm120 ' when 2 then '80X' when 3 then '160' when 4 then 'u80' end"
+
+
+@query("F57 F58", f"""with t as (select p_partkey, {_CODES} as code from part) select p_partkey, case when regexp_matches(code, '(?i)^\\d{{2,3}}x?$') then 'M' || code else upper(code) end as category,
+    case when code = '80X' then '60-79' when code = '160' then '160-199' else upper(code) end as relay,
+    case p_partkey % 6 when 0 then '80-99' when 1 then '120-159' when 4 then '60-79' else '000-999' end as band from t""")
+def category_codes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    code = F.when(k == 0, "M80").when(k == 1, "m120 ").when(k == 2, "80X").when(k == 3, "160").when(k == 4, "u80")
+    part = d.table(spark, sf, "part").select("p_partkey", code.alias("code"))
+    return part.select("p_partkey", events.category_code(F.col("code")).alias("category"), events.relay_category_code(F.col("code"), _KNOWN).alias("relay"), events.relay_band(F.col("code")).alias("band"))
+
+
+@query("F51 F52 F55 F58", f"""with t as (select p_partkey, {TITLE_SQL} as title from part) select p_partkey, {_normal} as normal, case title when '4x50m Misti' then 'S4X50MX' when '4x100 sl' then 'S4X100SL' end as relay, case when p_partkey % 2 = 0 then 'M' || cast(25 + 5 * (p_partkey % 4) as varchar) else 'U25' end as category, cast(80 + 40 * (p_partkey % 5) as varchar) || '-' || cast(80 + 40 * (p_partkey % 5) + 19 as varchar) as ages from t""")
 def event_codes(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     code = F.when(k % 2 == 0, (25 + 5 * (k % 4)).cast("string")).otherwise("U25")

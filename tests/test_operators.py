@@ -192,3 +192,26 @@ def test_the_readme_claims_only_upserts_that_are_built():
     coverage = (Path(__file__).parent.parent / "README.md").read_text().split("Without a query")[0]
     claimed = {x.split()[0] for line in coverage.splitlines() if line.startswith("* N01") for x in line[2:].split(". ")[0].split("; ") if "`entity_upserts`" in x}
     assert claimed == {row for row, _ in ENTITIES.values()}
+
+
+def test_result_keys_fit_at_any_size():
+    orders, parts, suppliers = 6_000_000_000, 200_000_000, 10_000_000  # a thousand times a gigabyte
+    key = (orders * 8 + 7) * 8388608 + 8388592
+    assert key * 4 + 3 < 2**63
+    assert parts * 100003 + suppliers < 2**63
+    # order by order, then line, whatever part and supplier
+    assert (5 * 8 + 1) * 8388608 + 8388592 < (5 * 8 + 2) * 8388608
+
+
+def test_relay_bands(spark):
+    from podium.functions import events, timing
+
+    codes = [("M80", "80-99"), ("M100", "100-119"), ("m120", "120-159"), ("M240", "240-279"), ("U80", "60-79"), ("", "000-999"), (None, "000-999"), ("X", "000-999")]
+    df = spark.createDataFrame(codes, "code string, band string").withColumn("got", events.relay_band(F.col("code")))
+    assert [r.got for r in df.collect()] == [b for _, b in codes]
+    known = ["80-119", "160-199", "60-79"]
+    got = spark.createDataFrame([("80X",), ("160",), ("999",), ("abs",)], "c string").select(events.relay_category_code(F.col("c"), known)).collect()
+    assert [r[0] for r in got] == ["60-79", "160-199", None, "ABS"]
+    assert spark.range(1).select(events.relay_range(F.lit(240))).first()[0] == "240-259"
+    timings = spark.createDataFrame([("1:00.66",), ("NT",), ("DSQ-",), ("35.20",)], "t string").select(timing.convert_timing(F.col("t"))).collect()
+    assert [r[0] for r in timings] == ["1'00.66", "NT", "DSQ-", "35.20"]
