@@ -140,7 +140,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, cache = TaskContext.get().partitionId(), token_cache(tokenizer)
+        part, cache = TaskContext.get().partitionId(), token_cache(tokenizer, 600_000)
         docs: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []

@@ -28,9 +28,9 @@ TOGETHER = 2000
 
 
 @lru_cache(maxsize=1)
-def token_cache(path: str) -> TokenCache:
+def token_cache(path: str, limit: int = 300_000) -> TokenCache:
     """The cache of this Python worker, which Spark uses for one task after the other."""
-    return TokenCache(path)
+    return TokenCache(path, limit)
 
 
 class TokenCache:
