@@ -82,12 +82,12 @@ def meeting_merge(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, ["event", "pool"], "full_outer").select("event", "pool", action.alias("action"), (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("expected"))
 
 
-@query("U05 N07 N09 E14", d.sql("badges", """, incoming as (select season, swimmer_id, club, case when swimmer_id % 10 = 0 then swimmer_id * 100 + club end as id from badges where season in (1998, 1999)), stored as (select season, swimmer_id, club, swimmer_id * 100 + club as id from badges where season = 1998)
+@query("U05 N07 N09 E14", d.sql("badges", """, incoming as (select season, swimmer_id, club, case when swimmer_id % 10 = 0 then swimmer_id * 100 + club end as id from badges), stored as (select season, swimmer_id, club, swimmer_id * 100 + club as id from badges where season < 1999)
     select i.season, i.swimmer_id, i.club, coalesce(i.id, s.id) as target_id, case when coalesce(i.id, s.id) is null then 'INSERT' else 'UPDATE' end as operation from incoming i left join stored s on s.season = i.season and s.swimmer_id = i.swimmer_id and s.club = i.club"""))
 def badge_upserts(spark: SparkSession, sf: str) -> DataFrame:
     b, made = d.badges(spark, sf), F.col("swimmer_id") * 100 + F.col("club")
-    incoming = b.where("season in (1998, 1999)").withColumn("id", F.when(F.col("swimmer_id") % 10 == 0, made))
-    return ch.upserts(incoming, b.where("season = 1998").withColumn("id", made), ["season", "swimmer_id", "club"], "id").drop("id")
+    incoming = b.withColumn("id", F.when(F.col("swimmer_id") % 10 == 0, made))
+    return ch.upserts(incoming, b.where("season < 1999").withColumn("id", made), ["season", "swimmer_id", "club"], "id").drop("id")
 
 
 @query("U06 U07", d.sql("results badges", """select r.mir_id, r.hundredths > 0 or r.disqualified as timed, b.club is not null as has_badge from results r left join (select * from badges where club <> 2) b on b.season = r.season and b.swimmer_id = r.swimmer_id and b.club = r.team_id % 5 where not ((r.hundredths > 0 or r.disqualified) and b.club is not null)"""))
@@ -98,16 +98,9 @@ def invalid_rows(spark: SparkSession, sf: str) -> DataFrame:
     return r.join(b, ["season", "swimmer_id", "club"], "left").where(~(timed & has)).select("mir_id", timed.alias("timed"), has.alias("has_badge"))
 
 
-@query("U08 N11", d.sql("results", """, programs as (select event, pool, min(mir_id) as program_id from results where season = 1997 group by 1, 2) select r.mir_id, p.program_id, p.program_id is null as new_program from results r left join programs p on p.event = r.event and p.pool = r.pool where r.season = 1998 and r.swimmer_id % 2 = 0"""))
-def program_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf)
-    programs = r.where("season = 1997").groupBy("event", "pool").agg(F.min("mir_id").alias("program_id"))
-    return r.where("season = 1998 and swimmer_id % 2 = 0").join(programs, ["event", "pool"], "left").select("mir_id", "program_id", F.col("program_id").isNull().alias("new_program"))
-
-
 @query("U08 N11", d.sql("results", """, programs as (select season + 1 as season, event, pool, min(mir_id) as program_id from results group by 1, 2, 3) select r.mir_id, p.program_id, p.program_id is null as new_program from results r left join programs p on p.season = r.season and p.event = r.event and p.pool = r.pool"""))
-def program_lookup_all(spark: SparkSession, sf: str) -> DataFrame:
-    """program_lookup of all results, each in the programs of the season before its own."""
+def program_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Each result in the programs of the season before its own."""
     r = d.results(spark, sf)
     programs = r.groupBy((F.col("season") + 1).alias("season"), "event", "pool").agg(F.min("mir_id").alias("program_id"))
     return r.join(programs, ["season", "event", "pool"], "left").select("mir_id", "program_id", F.col("program_id").isNull().alias("new_program"))
@@ -121,25 +114,17 @@ def badge_merge(spark: SparkSession, sf: str) -> DataFrame:
     return d.results(spark, sf).withColumn("old_club", F.col("team_id") % 5).join(pairs, ["season", "swimmer_id", "old_club"]).select("mir_id", "club", "old_club")
 
 
-@query("U12 J12", d.sql("results", """select distinct case when swimmer_id = 17 then 16 else swimmer_id end as swimmer_id, season, team_id % 5 as club from results where swimmer_id in (16, 17)"""))
+@query("U12 J12", d.sql("results", """, duplicates as (select c_custkey as swimmer_id, c_custkey - 1 as target_id from customer where c_custkey % 16 = 1) select distinct coalesce(target_id, swimmer_id) as swimmer_id, season, team_id % 5 as club from results left join duplicates using (swimmer_id)"""))
 def swimmer_merge(spark: SparkSession, sf: str) -> DataFrame:
-    into = F.when(F.col("swimmer_id") == 17, F.lit(16)).otherwise(F.col("swimmer_id")).cast("long")
-    return d.results(spark, sf).where("swimmer_id in (16, 17)").select(into.alias("swimmer_id"), "season", (F.col("team_id") % 5).alias("club")).distinct()
-
-
-@query("U14 J03 J05", d.sql("results", """, moved as (select mir_id, swimmer_id, event, pool, case when team_id % 5 = 2 then 1 else team_id % 5 end as club, team_id % 5 = 2 as changed from results where meeting_id = 199806)
-    select mir_id, club, changed, row_number() over (partition by swimmer_id, event, pool, club order by changed, mir_id) > 1 as doomed from moved"""))
-def team_in_meeting(spark: SparkSession, sf: str) -> DataFrame:
-    club = F.col("team_id") % 5
-    moved = d.results(spark, sf).where("meeting_id = 199806").select("mir_id", "swimmer_id", "event", "pool", F.when(club == 2, 1).otherwise(club).alias("club"), (club == 2).alias("changed"))
-    nth = F.row_number().over(Window.partitionBy("swimmer_id", "event", "pool", "club").orderBy("changed", "mir_id"))
-    return moved.select("mir_id", "club", "changed", (nth > 1).alias("doomed"))
+    """Badges of all swimmers after each duplicate has given way to its target."""
+    duplicates = d.swimmers(spark, sf).where("swimmer_id % 16 = 1").select("swimmer_id", (F.col("swimmer_id") - 1).alias("target_id"))
+    merged = d.results(spark, sf).join(duplicates, "swimmer_id", "left")
+    return merged.select(F.coalesce("target_id", "swimmer_id").alias("swimmer_id"), "season", (F.col("team_id") % 5).alias("club")).distinct()
 
 
 @query("U14 J03 J05", d.sql("results", """, moved as (select mir_id, meeting_id, swimmer_id, event, pool, case when team_id % 5 = 2 then 1 else team_id % 5 end as club, team_id % 5 = 2 as changed from results)
     select mir_id, club, changed, row_number() over (partition by meeting_id, swimmer_id, event, pool, club order by changed, mir_id) > 1 as doomed from moved"""))
-def team_in_meeting_all(spark: SparkSession, sf: str) -> DataFrame:
-    """team_in_meeting in all meetings."""
+def team_in_meeting(spark: SparkSession, sf: str) -> DataFrame:
     club = F.col("team_id") % 5
     moved = d.results(spark, sf).select("mir_id", "meeting_id", "swimmer_id", "event", "pool", F.when(club == 2, 1).otherwise(club).alias("club"), (club == 2).alias("changed"))
     nth = F.row_number().over(Window.partitionBy("meeting_id", "swimmer_id", "event", "pool", "club").orderBy("changed", "mir_id"))
@@ -161,10 +146,10 @@ def recomputed_categories(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(ages), "age", "left").select("mir_id", F.col("code").alias("category"))
 
 
-@query("U20 G05 G13", d.sql("results", """select mir_id, 'T' || cast(case when team_id = 3 then 4 else team_id end as varchar) || '/' || event as staging_key from results where event = 'PROMO'"""))
+@query("U20 G05 G13", d.sql("results", """select mir_id, 'T' || cast(case when team_id = 3 then 4 else team_id end as varchar) || '/' || event as staging_key from results"""))
 def cascaded_edit(spark: SparkSession, sf: str) -> DataFrame:
     edits = spark.createDataFrame([(3, 4)], "team_id long, new_id long")
-    r = d.results(spark, sf).where("event = 'PROMO'").join(F.broadcast(edits), "team_id", "left")
+    r = d.results(spark, sf).join(F.broadcast(edits), "team_id", "left")
     return r.select("mir_id", F.concat(F.lit("T"), F.coalesce("new_id", "team_id").cast("string"), F.lit("/"), F.col("event")).alias("staging_key"))
 
 
@@ -289,18 +274,8 @@ def ranking_export(spark: SparkSession, sf: str) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy("best", "swimmer_id")).cast("long").alias("place"), "swimmer_id", format_timing(F.col("best")).alias("timing"))
 
 
-@query("N13 N15 E14", d.sql("results laps", """select l.mir_id, l.length, case when l.length <= 50 and s.mir_id is not null then 'UPDATE' else 'INSERT' end as operation
-    from (select distinct mir_id from results where meeting_id = 199712) m join laps l using (mir_id) left join (select distinct mir_id from laps where length = 25) s on s.mir_id = l.mir_id"""))
-def lap_upserts(spark: SparkSession, sf: str) -> DataFrame:
-    laps = d.laps(spark, sf)
-    some = laps.join(d.results(spark, sf).where("meeting_id = 199712").select("mir_id"), "mir_id", "left_semi")
-    stored = laps.where("length <= 50").select("mir_id", "length", F.lit(True).alias("stored"))
-    return some.join(stored, ["mir_id", "length"], "left").select("mir_id", "length", F.when(F.col("stored"), "UPDATE").otherwise("INSERT").alias("operation"))
-
-
 @query("N13 N15 E14", d.sql("laps", """select l.mir_id, l.length, case when s.mir_id is null then 'INSERT' else 'UPDATE' end as operation from laps l left join (select * from laps where length <= 50) s on s.mir_id = l.mir_id and s.length = l.length"""))
-def lap_upserts_all(spark: SparkSession, sf: str) -> DataFrame:
-    """lap_upserts of all meetings."""
+def lap_upserts(spark: SparkSession, sf: str) -> DataFrame:
     laps = d.laps(spark, sf)
     stored = laps.where("length <= 50").select("mir_id", "length", F.lit(True).alias("stored"))
     return laps.join(stored, ["mir_id", "length"], "left").select("mir_id", "length", F.when(F.col("stored"), "UPDATE").otherwise("INSERT").alias("operation"))

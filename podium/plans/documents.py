@@ -9,10 +9,9 @@ from podium.plans import domain as d
 from podium.plans.registry import query
 
 
-@query("F70 A12", d.sql("results", """, e as (select meeting_id, event, pool, min(mir_id) as first, count(*) as n, sum(hundredths) as total from results where season = 1998 group by 1, 2, 3) select meeting_id, string_agg(event || '/' || cast(pool as varchar) || ':' || cast(n as varchar) || '=' || cast(total as varchar), ' ' order by first) as events from e group by 1"""))
+@query("F70 A12", d.sql("results", """, e as (select meeting_id, event, pool, min(mir_id) as first, count(*) as n, sum(hundredths) as total from results group by 1, 2, 3) select meeting_id, string_agg(event || '/' || cast(pool as varchar) || ':' || cast(n as varchar) || '=' || cast(total as varchar), ' ' order by first) as events from e group by 1"""))
 def regrouped_events(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf).where("season = 1998")
-    e = r.groupBy("meeting_id", "event", "pool").agg(F.min("mir_id").alias("first"), F.count("*").alias("n"), F.sum("hundredths").alias("total"))
+    e = d.results(spark, sf).groupBy("meeting_id", "event", "pool").agg(F.min("mir_id").alias("first"), F.count("*").alias("n"), F.sum("hundredths").alias("total"))
     text = F.format_string("%s/%d:%d=%d", "event", F.col("pool"), F.col("n"), F.col("total"))
     return e.select("meeting_id", "first", text.alias("x")).groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "x"))), lambda s: s["x"]), " ").alias("events"))
 

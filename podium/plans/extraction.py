@@ -19,11 +19,11 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-PAGE_SQL = """, p as (select meeting_id, event, pool, swimmer_id, hundredths, mir_id, row_number() over (partition by meeting_id, event, pool order by hundredths, mir_id) as place from results where season = 1996 and hundredths > 0)"""
+PAGE_SQL = """, p as (select meeting_id, event, pool, swimmer_id, hundredths, mir_id, row_number() over (partition by meeting_id, event, pool order by hundredths, mir_id) as place from results where hundredths > 0)"""
 
 
 def programs(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf).where("season = 1996 and hundredths > 0")
+    r = d.results(spark, sf).where("hundredths > 0")
     return r.withColumn("place", F.row_number().over(Window.partitionBy("meeting_id", "event", "pool").orderBy("hundredths", "mir_id")))
 
 
@@ -101,7 +101,6 @@ def layout_results(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("context = 'result'").select("meeting_id", "event", "pool", "layout", f["place"].alias("place"), f["swimmer"].alias("swimmer"), f["timing"].alias("timing"))
 
 
-@query("R07 F37 A01", d.sql("results", """select event, pool, swimmer_id, max_by(team_id, mir_id) as team_id, max_by(hundredths, mir_id) as hundredths, count(*) as rows from results where season = 1998 group by 1, 2, 3"""))
+@query("R07 F37 A01", d.sql("results", """select season, event, pool, swimmer_id, max_by(team_id, mir_id) as team_id, max_by(hundredths, mir_id) as hundredths, count(*) as rows from results group by 1, 2, 3, 4"""))
 def merged_section_rows(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf).where("season = 1998")
-    return r.groupBy("event", "pool", "swimmer_id").agg(F.max_by("team_id", "mir_id").alias("team_id"), F.max_by("hundredths", "mir_id").alias("hundredths"), F.count("*").alias("rows"))
+    return d.results(spark, sf).groupBy("season", "event", "pool", "swimmer_id").agg(F.max_by("team_id", "mir_id").alias("team_id"), F.max_by("hundredths", "mir_id").alias("hundredths"), F.count("*").alias("rows"))

@@ -187,16 +187,9 @@ def paged(df: DataFrame, order: list[str], page: int, per: int) -> DataFrame:
     return rows.withColumns({"total": F.lit(total).cast("long"), "pages": F.lit(pages).cast("long"), "label": F.lit(f"rows {per * (at - 1) + 1}-{min(per * at, total)}")})
 
 
-@query("L06", d.sql("results", """select mir_id, row_number() over (order by disqualified, meeting_id, coalesce(case when pool = 1 then stored_rank end, 9999), event, mir_id) as place from results where season = 1999 and swimmer_id < 200"""))
-def program_order(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf).where("season = 1999 and swimmer_id < 200")
-    order = Window.orderBy("disqualified", "meeting_id", F.coalesce(F.when(F.col("pool") == 1, F.col("stored_rank")), F.lit(9999)), "event", "mir_id")
-    return r.select("mir_id", F.row_number().over(order).cast("long").alias("place"))
-
-
 @query("L06", d.sql("results", """select mir_id, row_number() over (order by disqualified, meeting_id, coalesce(case when pool = 1 then stored_rank end, 9999), event, mir_id) as place from results"""))
-def program_order_all(spark: SparkSession, sf: str) -> DataFrame:
-    """program_order over all results, without one task for all rows."""
+def program_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of all results, without one task for all rows."""
     rank = F.coalesce(F.when(F.col("pool") == 1, F.col("stored_rank")), F.lit(9999))
     return numbered(d.results(spark, sf).withColumn("rank", rank).select("disqualified", "meeting_id", "rank", "event", "mir_id"), ["disqualified", "meeting_id", "rank", "event", "mir_id"], "place").select("mir_id", "place")
 
@@ -210,14 +203,14 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranges.withColumn(name, nth).join(F.broadcast(starts), "__range").withColumn(name, F.col(name) + F.col("__start")).drop("__range", "__start")
 
 
-@query("L07 L08 L02", d.sql("results teams", """select mir_id, name, row_number() over (partition by meeting_id order by (name like '%1%') desc, hundredths desc, mir_id) as place from results join teams using (team_id) where season = 1997"""))
+@query("L07 L08 L02", d.sql("results teams", """select mir_id, name, row_number() over (partition by meeting_id order by (name like '%1%') desc, hundredths desc, mir_id) as place from results join teams using (team_id)"""))
 def bucket_order(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf).where("season = 1997").join(d.teams(spark, sf), "team_id")
+    r = d.results(spark, sf).join(d.teams(spark, sf), "team_id")
     order = Window.partitionBy("meeting_id").orderBy(F.col("name").like("%1%").desc(), F.col("hundredths").desc(), "mir_id")
     return r.select("mir_id", "name", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("L10", """select line, string_agg(cast(s_suppkey as varchar), ' ' order by s_suppkey) as ids from (select s_suppkey, (row_number() over (order by s_suppkey) - 1) // 10 as line from supplier) group by 1""")
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
-    s = d.table(spark, sf, "supplier").select("s_suppkey", F.floor((F.row_number().over(Window.orderBy("s_suppkey")) - 1) / 10).alias("line"))
+    s = numbered(d.table(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], "nth").select("s_suppkey", F.expr("(nth - 1) div 10").alias("line"))
     return s.groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), " ").alias("ids"))
