@@ -87,7 +87,7 @@ class TokenCache:
         for k in range(0, len(together), TOGETHER):
             at = together[k : k + TOGETHER]
             part = [unknown[j] for j in at]
-            ids = np.array(self.tokenizer.encode((" " if self.marks_ends else "").join(part), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.marks_ends else "").join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1 if self.marks_ends else np.append(np.flatnonzero(self.begins[ids])[1:], len(ids))
             if len(ends) != len(part):  # the marks don't tell these apart
                 alone = np.append(alone, at)
