@@ -107,13 +107,14 @@ def purge_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
-@query("A16", d.sql("results", """select coalesce(a.event, b.event) as event, coalesce(a.n, 0) as expected, coalesce(b.n, 0) as actual, coalesce(a.n, 0) <> coalesce(b.n, 0) as differs
-    from (select event, count(*) as n from results where season = 1997 group by 1) a full outer join (select event, count(*) as n from results where season = 1998 and pool = 1 group by 1) b on a.event = b.event"""))
+@query("A16", d.sql("results", """select coalesce(a.season, b.season) as season, coalesce(a.event, b.event) as event, coalesce(a.n, 0) as expected, coalesce(b.n, 0) as actual, coalesce(a.n, 0) <> coalesce(b.n, 0) as differs
+    from (select season + 1 as season, event, count(*) as n from results group by 1, 2) a full outer join (select season, event, count(*) as n from results where pool = 1 group by 1, 2) b on a.season = b.season and a.event = b.event"""))
 def expected_vs_actual(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf)
-    a, b = r.where("season = 1997").groupBy("event").agg(F.count("*").alias("a")), r.where("season = 1998 and pool = 1").groupBy("event").agg(F.count("*").alias("b"))
+    """Of each event, the results of a season's first pool against all of the season before."""
+    r, key = d.results(spark, sf), ["season", "event"]
+    a, b = r.withColumn("season", F.col("season") + 1).groupBy(*key).agg(F.count("*").alias("a")), r.where("pool = 1").groupBy(*key).agg(F.count("*").alias("b"))
     n = {"expected": F.coalesce("a", F.lit(0)), "actual": F.coalesce("b", F.lit(0))}
-    return a.join(b, "event", "full_outer").select("event", *(c.alias(k) for k, c in n.items()), (n["expected"] != n["actual"]).alias("differs"))
+    return a.join(b, key, "full_outer").select(*key, *(c.alias(k) for k, c in n.items()), (n["expected"] != n["actual"]).alias("differs"))
 
 
 @query("A17 U24", d.sql("badges", """select season, count(*) as badges, count(distinct swimmer_id) as swimmers, count(distinct case when club = 0 then swimmer_id end) as of_club,

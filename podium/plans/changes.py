@@ -153,12 +153,13 @@ def cascaded_edit(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("mir_id", F.concat(F.lit("T"), F.coalesce("new_id", "team_id").cast("string"), F.lit("/"), F.col("event")).alias("staging_key"))
 
 
-@query("U22 J11 A16", d.sql("results", """, a as (select swimmer_id, event, pool, arg_min(hundredths, mir_id) as t from results where meeting_id = 199709 group by 1, 2, 3), b as (select swimmer_id, event, pool, arg_min(hundredths, mir_id) as t from results where season = 1998 group by 1, 2, 3)
-    select a.swimmer_id, a.event, a.pool, case when a.t = b.t or b.t = 0 then 'same' when a.t // 100 = b.t // 100 then 'close' else 'conflict' end as band from a join b on a.swimmer_id = b.swimmer_id and a.event = b.event and a.pool = b.pool"""))
+@query("U22 J11 A16", d.sql("results", """, a as (select season, swimmer_id, event, pool, arg_min(hundredths, mir_id) as t from results group by 1, 2, 3, 4)
+    select b.season, a.swimmer_id, a.event, a.pool, case when a.t = b.t or b.t = 0 then 'same' when a.t // 100 = b.t // 100 then 'close' else 'conflict' end as band from a join a b on a.swimmer_id = b.swimmer_id and a.event = b.event and a.pool = b.pool and a.season + 1 = b.season"""))
 def timing_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    r, key = d.results(spark, sf), ["swimmer_id", "event", "pool"]
-    a = r.where("meeting_id = 199709").groupBy(*key).agg(F.min_by("hundredths", "mir_id").alias("a"))
-    b = r.where("season = 1998").groupBy(*key).agg(F.min_by("hundredths", "mir_id").alias("b"))
+    """The first timing of each season against that of the season before."""
+    key = ["season", "swimmer_id", "event", "pool"]
+    b = d.results(spark, sf).groupBy(*key).agg(F.min_by("hundredths", "mir_id").alias("b"))
+    a = b.withColumn("season", F.col("season") + 1).withColumnRenamed("b", "a")
     band = F.when((F.col("a") == F.col("b")) | (F.col("b") == 0), "same").when(F.floor(F.col("a") / 100) == F.floor(F.col("b") / 100), "close").otherwise("conflict")
     return a.join(b, key).select(*key, band.alias("band"))
 
@@ -199,14 +200,17 @@ def duplicate_badges(spark: SparkSession, sf: str) -> DataFrame:
     return b.join(dup, key, "left_semi").join(r, [*key, "club"], "left").select(*key, "club", F.coalesce("results", F.lit(0)).alias("results"))
 
 
-@query("E15 F06", d.sql("results", """, incoming as (select * from results where meeting_id = 199710 and pool = 1), stored as (select * from results where meeting_id in (199710, 199711))
-    select i.mir_id, s.mir_id as stored_id, case when i.event = s.event and i.team_id % 5 = s.team_id % 5 and i.hundredths = s.hundredths then 'perfect' when i.event = s.event and i.team_id % 5 = s.team_id % 5 then 'partial' when i.event = s.event then 'team mismatch' else 'other event' end as tier, abs(i.hundredths - s.hundredths) as gap from incoming i join stored s on s.swimmer_id = i.swimmer_id"""))
+@query("E15 F06", d.sql("results", """, r as (select *, season * 12 + meeting_id % 100 as month from results)
+    select i.mir_id, s.mir_id as stored_id, case when i.event = s.event and i.team_id % 5 = s.team_id % 5 and i.hundredths = s.hundredths then 'perfect' when i.event = s.event and i.team_id % 5 = s.team_id % 5 then 'partial' when i.event = s.event then 'team mismatch' else 'other event' end as tier, abs(i.hundredths - s.hundredths) as gap
+    from r i join r s on s.swimmer_id = i.swimmer_id and (s.month = i.month or s.month = i.month + 1) where i.pool = 1"""))
 def result_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf)
-    i, s = r.where("meeting_id = 199710 and pool = 1").alias("i"), r.where("meeting_id in (199710, 199711)").alias("s")
+    """Each meeting's results of the first pool against the swimmer's stored ones of that meeting and of the next."""
+    r = d.results(spark, sf).withColumn("month", F.col("season") * 12 + F.col("meeting_id") % 100)
+    i, s = r.where("pool = 1").alias("i"), r.withColumn("month", F.explode(F.array("month", F.col("month") - 1))).alias("s")
     same_event, same_team, same_time = F.col("i.event") == F.col("s.event"), F.col("i.team_id") % 5 == F.col("s.team_id") % 5, F.col("i.hundredths") == F.col("s.hundredths")
     tier = F.when(same_event & same_team & same_time, "perfect").when(same_event & same_team, "partial").when(same_event, "team mismatch").otherwise("other event")
-    return i.join(s, F.col("i.swimmer_id") == F.col("s.swimmer_id")).select(F.col("i.mir_id").alias("mir_id"), F.col("s.mir_id").alias("stored_id"), tier.alias("tier"), F.abs(F.col("i.hundredths") - F.col("s.hundredths")).alias("gap"))
+    pairs = i.join(s, (F.col("i.swimmer_id") == F.col("s.swimmer_id")) & (F.col("i.month") == F.col("s.month")))
+    return pairs.select(F.col("i.mir_id").alias("mir_id"), F.col("s.mir_id").alias("stored_id"), tier.alias("tier"), F.abs(F.col("i.hundredths") - F.col("s.hundredths")).alias("gap"))
 
 
 @query("E16", d.sql("relay_swimmers", """select relay_id, string_agg(cast(leg_swimmer as varchar), '>' order by leg_swimmer) as swimmers, count(*) as legs from relay_swimmers group by 1 having count(*) > 1"""))
@@ -302,7 +306,7 @@ def season_fix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ENTITIES = {
-    # entity: (survey row, natural key), over results of 1999 that come in and those of 1996 that are stored
+    # entity: (survey row, natural key), over the last season's results, that come in, and all earlier ones, that are stored
     "calendar": ("N02", ["month", "event"]),
     "event": ("N10", ["month", "pool"]),
     "program": ("N11", ["event", "pool", "gender"]),
@@ -312,25 +316,22 @@ ENTITIES = {
     "relay lap": ("N16", ["relay_team", "pool", "gender"]),
 }
 _key_sql = {"month": "meeting_id % 100", "event": "event", "pool": "pool", "gender": "case when swimmer_id % 2 = 0 then 'F' else 'M' end", "team_id": "team_id", "swimmer_id": "swimmer_id", "relay_team": "team_id % 17"}
-_entity_sql = " union all ".join(
-    f"select '{name}' as entity, count(*) filter (where s.found is null) as inserts, count(*) filter (where s.found is not null) as updates from (select distinct {', '.join(f'{_key_sql[k]} as k{i}' for i, k in enumerate(keys))} from results where season = 1999) n left join (select {', '.join(f'{_key_sql[k]} as k{i}' for i, k in enumerate(keys))}, min(mir_id) as found from results where season = 1996 group by {', '.join(str(i + 1) for i in range(len(keys)))}) s on {' and '.join(f'n.k{i} = s.k{i}' for i in range(len(keys)))}"
-    for name, (_, keys) in ENTITIES.items()
-)
+_entity_sql = ", keyed as (" + " union all ".join(f"select '{name}' as entity, concat_ws('/', {', '.join(_key_sql[k] for k in keys)}) as key, mir_id, season from results" for name, (_, keys) in ENTITIES.items()) + """),
+    last as (select max(season) as season from results), stored as (select entity, key, min(mir_id) as found from keyed where season < (select season from last) group by 1, 2)
+    select n.entity, n.key, found as target_id, case when found is null then 'INSERT' else 'UPDATE' end as operation
+    from (select distinct entity, key from keyed where season = (select season from last)) n left join stored s on n.entity = s.entity and n.key = s.key"""
 
 
 @query("U05 N02 N07 N08 N10 N11 N15 N16", d.sql("results", _entity_sql))
 def entity_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the last season brings of each entity, with the stored row that it updates, if there is one."""
     r = d.results(spark, sf).withColumns({"month": F.col("meeting_id") % 100, "gender": F.when(F.col("swimmer_id") % 2 == 0, "F").otherwise("M"), "relay_team": F.col("team_id") % 17})
-    counts = []
-    for name, (_, key) in ENTITIES.items():
-        incoming = r.where("season = 1999").select(*key).distinct().withColumn("id", F.lit(None).cast("long"))
-        stored = r.where("season = 1996").select(*key, F.col("mir_id").alias("id"))
-        operation = F.col("operation")
-        counts.append(ch.upserts(incoming, stored, key, "id").agg(F.count_if(operation == "INSERT").alias("inserts"), F.count_if(operation == "UPDATE").alias("updates")).select(F.lit(name).alias("entity"), "inserts", "updates"))
-    out = counts[0]
-    for df in counts[1:]:
-        out = out.unionByName(df)
-    return out
+    text = lambda keys: F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
+    own = F.array(*(F.struct(F.lit(name).alias("entity"), text(keys).alias("key")) for name, (_, keys) in ENTITIES.items()))
+    last = F.broadcast(d.results(spark, sf).agg(F.max("season").alias("last")))
+    keyed = r.join(last, F.col("season") <= F.col("last")).select("mir_id", (F.col("season") == F.col("last")).alias("comes"), F.inline(own))
+    incoming = keyed.where("comes").select("entity", "key").distinct().withColumn("id", F.lit(None).cast("long"))
+    return ch.upserts(incoming, keyed.where("not comes").withColumnRenamed("mir_id", "id"), ["entity", "key"], "id").select("entity", "key", "target_id", "operation")
 
 
 @query("Q21 P05 Q13 Q19", d.sql("age_bands results", """select mir_id, event || '/' || cast(swimmer_id as varchar) as key from results where starts_with(event || '/' || cast(swimmer_id as varchar), 'PROMO/1') and season - 1940 not in (select age_begin from age_bands where code = 'U25')"""))

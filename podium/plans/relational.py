@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +25,20 @@ def fact_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     return r.join(s, "swimmer_id").join(t, "team_id").select("mir_id", "swimmer", "team", "event", "hundredths")
 
 
-@query("J03 W09", d.sql("badges", """select season, swimmer_id, club from badges b where swimmer_id in (select distinct swimmer_id from badges where club = 2 and season = 1998)"""))
+@query("J03 W09", d.sql("badges", """select season, swimmer_id, club from badges b where (swimmer_id, club) in (select distinct (swimmer_id, club) from badges where season > (select min(season) from badges))"""))
 def badges_of_club_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The badges, of any season, of those who were of the same club after the first season."""
     b = d.badges(spark, sf)
-    return b.join(b.where("club = 2 and season = 1998").select("swimmer_id").distinct(), "swimmer_id", "left_semi").select("season", "swimmer_id", "club")
+    later = b.join(F.broadcast(b.agg(F.min("season").alias("first"))), F.col("season") > F.col("first"))
+    return b.join(later.select("swimmer_id", "club").distinct(), ["swimmer_id", "club"], "left_semi").select("season", "swimmer_id", "club")
 
 
-@query("J04 U14", d.sql("badges", """select distinct swimmer_id from badges a where club = 0 and season = 1997 and not exists (select 1 from badges b where b.swimmer_id = a.swimmer_id and b.club = 1 and b.season = 1997)"""))
+@query("J04 U14", d.sql("badges", """select season, swimmer_id, club from badges a where not exists (select 1 from badges b where b.swimmer_id = a.swimmer_id and b.season = a.season and b.club = (a.club + 1) % 5)"""))
 def team_move_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    b = d.badges(spark, sf).where("season = 1997")
-    return b.where("club = 0").select("swimmer_id").distinct().join(b.where("club = 1").select("swimmer_id"), "swimmer_id", "left_anti")
+    """Who can move from each club to the next one: the swimmers of a season that have no badge there."""
+    b = d.badges(spark, sf)
+    taken = b.select("season", "swimmer_id", ((F.col("club") + 4) % 5).alias("club"))
+    return b.join(taken, ["season", "swimmer_id", "club"], "left_anti")
 
 
 @query("J05 U15", d.sql("results", """select mir_id, swimmer_id, meeting_id from (select *, row_number() over (partition by swimmer_id, meeting_id, event, pool order by mir_id) as n from results) where n > 1"""))
@@ -123,10 +125,11 @@ def backfilled_teams(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("mir_id", F.coalesce("t", F.first("t", ignorenulls=True).over(others)).alias("team_id"))
 
 
-@query("J18", d.sql("results", """select a.mir_id as source_id, b.mir_id as target_id from results a join results b on a.swimmer_id = b.swimmer_id and a.team_id = b.team_id and a.event = b.event and a.pool = b.pool where a.season = 1996 and b.season = 1997"""))
+@query("J18", d.sql("results", """select a.mir_id as source_id, b.mir_id as target_id from results a join results b on a.swimmer_id = b.swimmer_id and a.team_id = b.team_id and a.event = b.event and a.pool = b.pool and a.season + 1 = b.season"""))
 def destination_rows(spark: SparkSession, sf: str) -> DataFrame:
-    r, key = d.results(spark, sf), ["swimmer_id", "team_id", "event", "pool"]
-    a, b = r.where("season = 1996").select(*key, F.col("mir_id").alias("source_id")), r.where("season = 1997").select(*key, F.col("mir_id").alias("target_id"))
+    """Each season's results with those of the next."""
+    r, key = d.results(spark, sf), ["season", "swimmer_id", "team_id", "event", "pool"]
+    a, b = r.withColumn("season", F.col("season") + 1).select(*key, F.col("mir_id").alias("source_id")), r.select(*key, F.col("mir_id").alias("target_id"))
     return a.join(b, key).select("source_id", "target_id")
 
 
@@ -143,28 +146,31 @@ def eager_children(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("O01 L09 Q20", d.sql("results", " ".join(["select distinct season from ("] + [" union all ".join(f"(select season from results where {c} order by season desc limit 1)" for c in [f"pool = {p} and {x}" for p in (1, 2) for x in ("true", "hundredths > 0", "disqualified", "event like 'A%'", "team_id % 2 = 0", "season < 1999")])] + [")"])))
 def last_seasons(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf)
+    """The branches are conditional maxima of one pass."""
     kinds = ["true", "hundredths > 0", "disqualified", "event like 'A%'", "team_id % 2 = 0", "season < 1999"]
-    return reduce(DataFrame.union, [r.where(f"pool = {p} and {k}").groupBy().agg(F.max("season").alias("season")).where("season is not null") for p in (1, 2) for k in kinds]).distinct()
+    last = d.results(spark, sf).agg(F.array(*(F.max(F.when(F.expr(f"pool = {p} and {k}"), F.col("season"))) for p in (1, 2) for k in kinds)).alias("seasons"))
+    return last.select(F.explode(F.array_distinct(F.array_compact("seasons"))).alias("season"))
 
 
-@query("O02 O04", d.sql("results", """select swimmer_id, max(weight) as weight from (select swimmer_id, 90 as weight from results where season = 1998 and pool = 1 union all select swimmer_id, 80 from results where season = 1999 and pool = 2) group by 1"""))
+@query("O02 O04", d.sql("results", """select season, swimmer_id, max(weight) as weight from (select season, swimmer_id, 90 as weight from results where pool = 1 union all select season, swimmer_id, 80 from results where pool = 2) group by 1, 2"""))
 def union_by_weight(spark: SparkSession, sf: str) -> DataFrame:
-    r = d.results(spark, sf)
-    a, b = r.where("season = 1998 and pool = 1").select("swimmer_id", F.lit(90).alias("weight")), r.where("season = 1999 and pool = 2").select("swimmer_id", F.lit(80).alias("weight"))
-    return a.unionByName(b).groupBy("swimmer_id").agg(F.max("weight").alias("weight"))
+    r, key = d.results(spark, sf), ["season", "swimmer_id"]
+    a, b = (r.where(F.col("pool") == pool).select(*key, F.lit(weight).alias("weight")) for pool, weight in ((1, 90), (2, 80)))
+    return a.unionByName(b).groupBy(*key).agg(F.max("weight").alias("weight"))
 
 
-@query("O03", d.sql("badges", """select swimmer_id from badges where season = 1996 and club = 0 intersect select swimmer_id from badges where season = 1997 and club = 0"""))
+@query("O03", d.sql("badges", """select season, club, swimmer_id from badges intersect select season - 1, club, swimmer_id from badges"""))
 def shared_swimmers(spark: SparkSession, sf: str) -> DataFrame:
-    b = d.badges(spark, sf).where("club = 0")
-    return b.where("season = 1996").select("swimmer_id").intersect(b.where("season = 1997").select("swimmer_id"))
+    """Of each season and club, who stays in the club for the next season."""
+    b = d.badges(spark, sf).select("season", "club", "swimmer_id")
+    return b.intersect(b.withColumn("season", F.col("season") - 1))
 
 
-@query("O04", d.sql("badges", """select swimmer_id from badges where season = 1996 and club = 0 except select swimmer_id from badges where season = 1997 and club = 0"""))
+@query("O04", d.sql("badges", """select season, club, swimmer_id from badges except select season - 1, club, swimmer_id from badges"""))
 def lost_swimmers(spark: SparkSession, sf: str) -> DataFrame:
-    b = d.badges(spark, sf).where("club = 0")
-    return b.where("season = 1996").select("swimmer_id").subtract(b.where("season = 1997").select("swimmer_id"))
+    """Of each season and club, who is not in the club in the next season."""
+    b = d.badges(spark, sf).select("season", "club", "swimmer_id")
+    return b.subtract(b.withColumn("season", F.col("season") - 1))
 
 
 @query("L01 L03", """select o_orderkey, o_orderpriority from orders order by o_totalprice desc, o_orderkey limit 25""")
