@@ -153,12 +153,12 @@ def cascaded_edit(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("mir_id", F.concat(F.lit("T"), F.coalesce("new_id", "team_id").cast("string"), F.lit("/"), F.col("event")).alias("staging_key"))
 
 
-@query("U22 J11 A16", d.sql("results", """, a as (select season, swimmer_id, event, pool, arg_min(hundredths, mir_id) as t from results group by 1, 2, 3, 4)
+@query("U22 J11 A16", d.sql("results", """, a as (select season, swimmer_id, event, pool, min({'m': mir_id, 'h': hundredths}).h as t from results group by 1, 2, 3, 4)
     select b.season, a.swimmer_id, a.event, a.pool, case when a.t = b.t or b.t = 0 then 'same' when a.t // 100 = b.t // 100 then 'close' else 'conflict' end as band from a join a b on a.swimmer_id = b.swimmer_id and a.event = b.event and a.pool = b.pool and a.season + 1 = b.season"""))
 def timing_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """The first timing of each season against that of the season before."""
     key = ["season", "swimmer_id", "event", "pool"]
-    b = d.results(spark, sf).groupBy(*key).agg(F.min_by("hundredths", "mir_id").alias("b"))
+    b = d.results(spark, sf).groupBy(*key).agg(F.min(F.struct("mir_id", "hundredths"))["hundredths"].alias("b"))
     a = b.withColumn("season", F.col("season") + 1).withColumnRenamed("b", "a")
     band = F.when((F.col("a") == F.col("b")) | (F.col("b") == 0), "same").when(F.floor(F.col("a") / 100) == F.floor(F.col("b") / 100), "close").otherwise("conflict")
     return a.join(b, key).select(*key, band.alias("band"))

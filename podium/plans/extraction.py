@@ -101,6 +101,8 @@ def layout_results(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("context = 'result'").select("meeting_id", "event", "pool", "layout", f["place"].alias("place"), f["swimmer"].alias("swimmer"), f["timing"].alias("timing"))
 
 
-@query("R07 F37 A01", d.sql("results", """select season, event, pool, swimmer_id, max_by(team_id, mir_id) as team_id, max_by(hundredths, mir_id) as hundredths, count(*) as rows from results group by 1, 2, 3, 4"""))
+@query("R07 F37 A01", d.sql("results", """select season, event, pool, swimmer_id, l.t as team_id, l.h as hundredths, rows from (select season, event, pool, swimmer_id, max({'m': mir_id, 't': team_id, 'h': hundredths}) as l, count(*) as rows from results group by 1, 2, 3, 4)"""))
 def merged_section_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return d.results(spark, sf).groupBy("season", "event", "pool", "swimmer_id").agg(F.max_by("team_id", "mir_id").alias("team_id"), F.max_by("hundredths", "mir_id").alias("hundredths"), F.count("*").alias("rows"))
+    key = ["season", "event", "pool", "swimmer_id"]
+    last = d.results(spark, sf).groupBy(*key).agg(F.max(F.struct("mir_id", "team_id", "hundredths")).alias("l"), F.count("*").alias("rows"))
+    return last.select(*key, "l.team_id", "l.hundredths", "rows")
