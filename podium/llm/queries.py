@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import decontaminate, jaccard_join, language, ngram_lm, packing, pfor, pii, quality, secrets, shards
+from podium.llm import decontaminate, jaccard_join, language, ngram_lm, packing, pfor, pii, quality, ranked_search, secrets, shards, vector_codes
 from podium.llm.common import scratch, table, unused
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,8 +71,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_errors(*vector_codes.compressed(table(spark, sf_dir, "embeddings")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_lm_scores, op4_ngram_join, op5_token_ids, op6_packing, op7_pii, op8_language, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_lm_scores, op4_ngram_join, op5_token_ids, op6_packing, op7_pii, op8_language, op9_decontamination, op10_sharding, op12_vector_codes, op13_ranked_search)}
 
 
 OP4_SQL = r"""with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -84,5 +92,42 @@ OP4_SQL = r"""with recursive words as (select doc_id, regexp_extract_all(transla
     select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id from documents d left join sizes using (doc_id) left join (select x as doc_id, min(y) as m from walk group by 1) using (doc_id)"""
 
 
+
+
+def op12_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Lloyd's rounds one after another, each from all vectors."""
+    x = "list_transform(embedding, lambda y: cast(floor(4096 * cast(y as double)) as bigint))"
+    floor = lambda k: f"cast((sum(x[{k}]) - ((sum(x[{k}]) % count(*)) + count(*)) % count(*)) // count(*) as bigint)"
+    steps = [
+        f"kept as materialized (select vec_id, label, {x} as v from embeddings where embedding is not null and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0)",
+        "parts as materialized (select vec_id, label, p, v[p * 8 + 1 : p * 8 + 8] as x from kept, range(8) t(p))",
+        "c0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as e, x as c from parts where vec_id in (select vec_id from kept order by vec_id limit 16))",
+    ]
+    for r in range(rounds + 1):
+        distance = "+".join(f"(x[{k}] - c[{k}]) * (x[{k}] - c[{k}])" for k in range(1, 9))
+        steps.append(f"a{r} as materialized (select vec_id, label, parts.p, any_value(x) as x, min(({distance}) * 16 + e) as best from parts join c{r} on parts.p = c{r}.p group by 1, 2, 3)")
+        if r < rounds:
+            steps.append(f"m{r} as materialized (select p, best % 16 as e, [{', '.join(floor(k) for k in range(1, 9))}] as c from a{r} group by 1, 2)")
+            steps.append(f"c{r + 1} as materialized (select p, e, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} using (p, e))")
+    steps += [
+        f"coded as (select vec_id, label, string_agg(printf('%02x', best % 16), '' order by p) as code, cast(sum(best // 16) as bigint) as error from a{rounds} group by 1, 2)",
+        "labels_of as (select label, cast(sum(error) as bigint) as label_error from coded group by 1)",
+        f"books as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from c{rounds})",
+    ]
+    return "with " + ",\n    ".join(steps) + "\n    select vec_id, code, error, label_error, codebooks_sha256 from coded join labels_of on coded.label is not distinct from labels_of.label, books"
+
+
+OP13_SQL = r"""with words as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+    lengths as (select doc_id, count(*) as n from words group by 1),
+    totals as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from lengths),
+    norms as (select doc_id, 100 - 25 + (25 * n * n_docs) // n_terms as m from lengths, totals),
+    postings as (select doc_id, term, count(*) as tf from words group by 1, 2),
+    weights as (select term, cast(floor(1000 * ln(cast(2 * any_value(n_docs) + 2 as double) / (2 * count(*) + 1))) as bigint) as w from postings, totals group by 1),
+    asked as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+    scores as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score from asked join weights using (term) join postings using (term) join norms using (doc_id) group by 1, 2),
+    placed as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from scores where score > 0)
+    select item_id, rank, doc_id, score from placed where rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op12_vector_codes": op12_sql(), "op13_ranked_search": OP13_SQL}
