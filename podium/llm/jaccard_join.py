@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.common import Tables, WordHashes, bounded_broadcast, mix, small_batches, words_of
@@ -154,10 +154,8 @@ class Signatures:
 
 
 def described(documents: DataFrame, n: int, percent: int, id_column: str, text: str) -> DataFrame:
-    """For each row (node, n, hash1, hash2) of its set; and, with n = -1, a row for each node whose signature hash1, a smaller node, has too.
-
-    Signatures are in no table: a batch passes on each of them once, and then what they have in common is all that is left.
-    """
+    """For each row (node, n, hash1, hash2) of its set; with n = -1, a row for each node that a batch has joined to a smaller one, hash1; and, without n, the
+    signatures, each once a batch, with the node that goes on for all that the batch has joined."""
     small_batches(documents.sparkSession)
     packed = zlib.compress(rarity(documents, n, text).tobytes(), 1)
 
@@ -191,22 +189,27 @@ def described(documents: DataFrame, n: int, percent: int, id_column: str, text:
             root = {x: union_root(parent, x) for x in parent}
             edges = np.array([(x, r) for x, r in root.items() if x != r], np.int64).reshape(-1, 2).T
             signer = np.array([root[x] for x in node[start].tolist()], np.int64)
-            # rows that are no signatures are spread over the tasks
-            spread = mix(np.arange(len(ids) + edges.shape[1], dtype=np.uint64) + np.concatenate([first, edges[1]]).view(np.uint64)).view(np.int64)
             none = pa.nulls(len(start), pa.int64())
             parts = {
                 "node": [batch.column(0).cast(pa.int64()), pa.array(edges[0]), pa.array(signer)],
-                "signature": [pa.array(spread), pa.array(signature[start].view(np.int64))],
+                "signature": [pa.nulls(len(ids) + edges.shape[1], pa.int64()), pa.array(signature[start].view(np.int64))],
                 "n": [pa.array(size), pa.array(np.full(edges.shape[1], -1)), none],
                 "hash1": [pa.array(first), pa.array(edges[1]), none],
                 "hash2": [pa.array(second), pa.nulls(edges.shape[1], pa.int64()), none],
             }
             yield pa.RecordBatch.from_pydict({k: pa.concat_arrays(v) for k, v in parts.items()})
 
-    rows = documents.select(id_column, text).mapInArrow(run, "node long, signature long, n long, hash1 long, hash2 long")
-    least = F.first("node").over(Window.partitionBy("signature").orderBy("node"))
-    of = rows.withColumn("least", least).where("n is not null or node <> least")
-    return of.select("node", F.coalesce("n", F.lit(-1)).alias("n"), F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("hash1")).alias("hash1"), "hash2")
+    return documents.select(id_column, text).mapInArrow(run, "node long, signature long, n long, hash1 long, hash2 long")
+
+
+def stars(hits: DataFrame, tables: Tables) -> DataFrame:
+    """(src, dst): each node of hits (signature, node), a written table, and the smallest node that has the same signature, if that is another."""
+    least = F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")
+    shared = tables.keep(hits.groupBy("signature").agg(*least).where("least < most"), "shared-signatures")
+    # most signatures have two nodes: these are an edge without a join
+    pairs = shared.where("size = 2").select(F.col("most").alias("src"), F.col("least").alias("dst"))
+    large = tables.keep(shared.where("size > 2").select("signature", "least"), "large-signatures")
+    return pairs.unionByName(hits.join(bounded_broadcast(large), "signature").where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")))
 
 
 def union_root(parent: list[int] | dict[int, int], x: int) -> int:
@@ -356,9 +359,9 @@ def signed(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("node", "label", "component", "grams").mapInArrow(run, "signature long, node long, label long, component long")
 
 
-def across_blocks(documents: DataFrame, nodes: DataFrame, n: int, percent: int, id_column: str, text: str, tables: Tables) -> DataFrame | None:
-    """Links between nodes (node, hash1, label, component) that share a signature and are not of one label; None if there is no such signature."""
-    hits = tables.keep(signed(sets_of(documents, nodes, n, id_column, text), percent).distinct(), "signed")
+def across_blocks(documents: DataFrame, hits: DataFrame, hashes: DataFrame, n: int, percent: int, id_column: str, text: str, tables: Tables) -> DataFrame | None:
+    """Links between the nodes of hits (signature, node, label, component), a written table, that share a signature and are not of one label; None if there is no
+    such signature. hashes (node, hash1) says which sets are meant."""
     blocks = lambda size: F.ceil(size / F.lit(BLOCK_SETS)).cast("int")
     size, main = F.col("size"), F.col("main")
 
@@ -387,7 +390,7 @@ def across_blocks(documents: DataFrame, nodes: DataFrame, n: int, percent: int,
     indexed = own.select("node", F.struct("part", F.lit(False).alias("asks"), at("lows").alias("low"), every("highs").alias("high")).alias("at"))
     asking = own.where("label <> main").select("node", F.struct("part", F.lit(True).alias("asks"), every("lows").alias("low"), at("highs").alias("high")).alias("at"))
     places = indexed.unionByName(asking).groupBy("node").agg(F.collect_list("at").alias("at"))
-    wanted = tables.keep(places.join(nodes.select("node", "hash1"), "node"), "block-places")
+    wanted = tables.keep(places.join(hashes, "node").select("node", "hash1", "at"), "block-places")
     sets = sets_of(documents, wanted, n, id_column, text).select("node", "grams", F.explode("at").alias("at"))
     sets = sets.select("node", "grams", "at.part", "at.asks", F.explode("at.low").alias("low"), "at.high")
     return tables.keep(links_in(sets.withColumn("high", F.explode("high")), percent), "links-across")
@@ -400,7 +403,8 @@ def components(documents: DataFrame, n: int = 3, percent: int = 90, id_column: s
     key = ["n", "hash1", "hash2"]
     rows = passed.where("n >= 0").select(F.col("node").alias("id"), *key)
     classes = tables.keep(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("first")), "ngram-classes")
-    near = tables.keep(passed.where("n < 0").select(F.col("node").alias("src"), F.col("hash1").alias("dst")).distinct(), "candidate-edges")
+    inside = passed.where("n < 0").select(F.col("node").alias("src"), F.col("hash1").alias("dst"))
+    near = tables.keep(inside.unionByName(stars(passed.where("n is null").select("signature", "node"), tables)).distinct(), "candidate-edges")
     grouped = tables.keep(connected_components(near, tables.keep, drop=tables.drop), "candidate-nodes")
     found = rows.join(bounded_broadcast(grouped).withColumnRenamed("node", "id"), "id").groupBy(*key).agg(F.min("component").alias("component"))
     members = tables.keep(found.join(classes, key).select(F.col("first").alias("node"), *key, "component"), "candidates")
@@ -416,7 +420,8 @@ def components(documents: DataFrame, n: int = 3, percent: int = 90, id_column: s
     if not split.isEmpty():
         label = joined.withColumnRenamed("component", "label")
         nodes = tables.keep(split.join(label, "node", "left").select("node", "hash1", F.coalesce("label", "node").alias("label"), "component"), "split-nodes")
-        more = across_blocks(documents, nodes, n, percent, id_column, text, tables)
+        hits = tables.keep(signed(sets_of(documents, nodes, n, id_column, text), percent).distinct(), "signed")
+        more = across_blocks(documents, hits, nodes.select("node", "hash1"), n, percent, id_column, text, tables)
         if more is not None:
             joined = tables.keep(connected_components(links.unionByName(more), tables.keep, drop=tables.drop), "linked")
     reached = joined.select(F.col("node").alias("first"), F.col("component").alias("reached"))

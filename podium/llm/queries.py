@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import decontaminate, jaccard_join, language, ngram_lm, packing, pfor, pii, quality, ranked_search, secrets, shards, vector_codes
+from podium.llm import decontaminate, jaccard_join, language, minhash, ngram_lm, packing, pfor, pii, quality, ranked_search, secrets, shards, vector_codes
 from podium.llm.common import scratch, table, unused
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_errors(*vector_codes.compressed(table(spark, sf_dir, "embeddings")))
 
@@ -80,16 +84,18 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_lm_scores, op4_ngram_join, op5_token_ids, op6_packing, op7_pii, op8_language, op9_decontamination, op10_sharding, op12_vector_codes, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_lm_scores, op4_ngram_join, op5_token_ids, op6_packing, op7_pii, op8_language, op9_decontamination, op10_sharding, op11_near_copies, op12_vector_codes, op13_ranked_search)}
 
 
-OP4_SQL = r"""with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+JOIN_SQL = r"""with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
     shingles as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [list_aggregate(w, 'string_agg', ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from words),
     sizes as (select doc_id, count(*) as n from shingles group by 1),
     common as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
-    links as (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)),
+    links as (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= PERCENT * (p.n + q.n - c)),
     walk(x, y) as (select x, y from links union select walk.x, links.y from walk join links on links.x = walk.y)
     select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id from documents d left join sizes using (doc_id) left join (select x as doc_id, min(y) as m from walk group by 1) using (doc_id)"""
+OP4_SQL = JOIN_SQL.replace("PERCENT", "90")
+OP11_SQL = f"select *, doc_id = component_id as kept from ({JOIN_SQL.replace('PERCENT', '85')})"
 
 
 
@@ -130,4 +136,4 @@ OP13_SQL = r"""with words as (select doc_id, unnest(regexp_extract_all(translate
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL, "op12_vector_codes": op12_sql(), "op13_ranked_search": OP13_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op11_near_copies": OP11_SQL, "op12_vector_codes": op12_sql(), "op13_ranked_search": OP13_SQL}

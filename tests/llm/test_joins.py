@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from podium.llm import common, decontaminate, jaccard_join, shards
+from podium.llm import common, decontaminate, jaccard_join, minhash, shards
 from podium.llm.common import WordHashes
 from tests.llm import rows
 
@@ -320,3 +320,82 @@ def test_sql_of_the_join(spark):
 
     sf = oracle.folder("sf0.001")
     assert oracle.differences(queries.op4_ngram_join(spark, sf), oracle.connect(sf), queries.OP4_SQL) == ""
+
+
+@pytest.mark.parametrize("chunk", [minhash.CHUNK, 3])
+@pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
+def test_minhash_components_are_those_of_brute_force(spark, monkeypatch, n, percent, chunk):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "STAR_SETS", 2 if chunk == 3 else 256)
+    docs = copies(n * percent)
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as node", "'x' as bands", "2 as id", "3 as kept")
+    got = minhash.components(df, n, percent).collect()
+    plain = plain_components(docs, n, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_minhash_hard_rows(spark):
+    got = minhash.components(rows.table(spark)).collect()
+    assert len(got) == len(rows.documents())
+    by_id = {r.doc_id: r for r in got}
+    assert [(by_id[k].n_shingles, by_id[k].component_id, by_id[k].kept) for k in (0, 1, 2)] == [(0, 0, True), (0, 1, True), (0, 2, True)]
+    assert (by_id[6].component_id, by_id[6].kept, by_id[None].kept) == (5, False, False)
+    assert minhash.components(rows.empty(spark)).count() == 0
+
+
+def test_linked_sets_that_no_center_links(spark):
+    """All share a bucket with a center that none of them is linked with: the stars confirm nothing, the search of the bucket finds the links."""
+    r = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(400)]
+    docs = [(0, " ".join(words[:300]))]
+    for k in range(1, 41):
+        own = words[:300]
+        family = k % 4
+        own[family * 40 : family * 40 + 60] = [f"f{family}x{j}" for j in range(60)]
+        own[r.integers(250, 299)] = f"own{k}"
+        docs.append((k, " ".join(own)))
+    got = minhash.components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == plain_components(docs, 3, 85)
+
+
+@pytest.mark.parametrize("size", [7, 20, 60, 300, 3000])
+def test_bins_agree_as_often_as_sets(size):
+    """Densified bins estimate the similarity without bias, of small sets too; linked sets share a band."""
+    r, sketch, agree, missed = np.random.default_rng(size), minhash.Sketch(), [], 0
+    for _ in range(200):
+        union = np.unique(r.integers(0, 2**64, size, dtype=np.uint64))
+        cut = int(0.15 * size)
+        a, b = (np.sort(np.delete(union, r.choice(size, part, replace=False))) for part in (cut // 2, 0))
+        b = np.sort(np.delete(b, r.choice(len(b), cut - cut // 2, replace=False)))
+        jaccard = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        agree.append((sketch.values(a) == sketch.values(b)).mean() - jaccard)
+        missed += jaccard >= 0.85 and not len(np.intersect1d(sketch(a), sketch(b)))
+    assert abs(np.mean(agree)) < 0.01
+    assert missed == 0
+
+
+def test_a_large_bucket_makes_few_pairs(spark, monkeypatch):
+    """One group of near copies: pairs grow with the texts, not with their square."""
+    monkeypatch.setattr(minhash, "CHUNK", 16)
+    docs = [(k, rows.prose(1, 200) + f" end{k}") for k in range(300)]
+    pairs, keep = [], minhash.Tables.keep
+
+    def counting(self, df, name):
+        table = keep(self, df, name)
+        if name == "candidate-pairs":
+            pairs.append(table.count())
+        return table
+
+    monkeypatch.setattr(minhash.Tables, "keep", counting)
+    got = minhash.components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {x.component_id for x in got.collect()} == {0}
+    assert 299 <= pairs[0] < 20 * 300
+
+
+def test_sql_of_near_copies(spark):
+    from podium.llm import queries
+    from tests import oracle
+
+    sf = oracle.folder("sf0.001")
+    assert oracle.differences(queries.op11_near_copies(spark, sf), oracle.connect(sf), queries.OP11_SQL) == ""
