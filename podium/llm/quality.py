@@ -1,10 +1,12 @@
 r"""Quality rules as weak supervision, in DataFrame functions alone.
 
-Each rule looks at a text's counts and votes good (1), bad (-1) or abstains (0). Expectation-maximisation
-over the table of distinct vote patterns (at most 3 ** rules rows, whatever the corpus) estimates the share
-of good texts and, for each rule, how often it is right on good texts and on texts of each kind of defect; a
-text is kept when its posterior probability of being good is at least one half. Texts and votes stay in
-DataFrame functions; only the small table of patterns reaches the driver.
+Each rule looks at a text's counts and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the table of distinct vote
+patterns (at most 3 ** rules rows, whatever the corpus) estimates the share of good texts and each rule's accuracies: how often
+it votes good on good texts and bad on bad ones. It starts from the number of bad votes and is told nothing of any rule. A
+text is kept when its posterior probability of being good is at least one half, so a bad vote of a rule that mostly disagrees with the others rejects nothing by
+itself, and one of a rule that the others confirm does. Each kind of defect is looked at by two rules or more (symbols, letters and marks; lines, repeats and
+capitals), as a rule that nothing else ever confirms could only be learned to be noise. Rules that look at one defect agree more than two classes
+say: that makes posteriors extreme, and changes few verdicts. Texts and votes stay in DataFrame functions; only the small table of patterns reaches the driver.
 
 Null and empty texts have no words: all counts are 0, and they fail the base rule. Repeated rows are judged
 each on its own. An empty table has an empty result. Further columns stay as they are: the columns of the work get names that the
@@ -14,8 +16,7 @@ table doesn't have, and kept() names the struct so too.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
-from math import prod
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +24,16 @@ from pyspark.sql import functions as F
 from podium.llm.common import unused, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-RULES = ("length", "symbols", "lines", "repeats", "capitals", "word_length", "stops")
+RULES = ("length", "symbols", "lines", "repeats", "capitals", "word_length", "stops", "letters", "marks")
 #: Name of the struct that features() adds, if no other is given.
 ADDED = "__quality"
-ITERATIONS, TOLERANCE = 60, 1e-6
-#: Votes that each rate starts with, at its first guess: a rule that never votes bad keeps a rate strictly inside 0 and 1.
-PRIOR = 10.0
-#: A rule is wrong on at most this share of good texts: it keeps the good class from taking in a frequent defect.
-MOST_WRONG = 0.01
+ITERATIONS, TOLERANCE = 500, 1e-7
+#: Probability of being good that texts of no, one, and more bad votes start with.
+FIRST = (0.95, 0.6, 0.1)
+#: Votes that each rate starts with, and the share of bad ones among them on good and on bad texts: a rule that never votes keeps rates inside 0 and 1.
+PRIOR, PRIOR_BAD = 2.0, (0.1, 0.5)
+#: A rule votes bad on fewer good texts than this: the class of good texts is the one on which all rules are better than chance.
+CHANCE = 0.5
 
 
 #: Up to so many repeated windows a text is searched for each; beyond, its windows are sorted with their places.
@@ -79,6 +82,8 @@ def features(documents: DataFrame, text: str = "text", keep: list[str] | None =
         "n_repeat_words": repeat.cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_capitals": F.regexp_count(body, F.lit("[A-Z]")).cast("long"),
+        "n_letters": (F.length(body) - F.length(F.regexp_replace(body, "\\p{L}+", ""))).cast("long"),
+        "n_marks": F.size(F.filter(words, lambda w: ~w.rlike("\\p{L}"))).cast("long"),
         "n_stops": F.regexp_count(body, F.lit("[.!?](?=[\\x20\\x09-\\x0D]|$)")).cast("long"),
     }
     step = step.select(*keep, F.struct(*(c.alias(k) for k, c in counts.items())).alias(at["counts"]))
@@ -100,37 +105,35 @@ def votes(c: Column) -> dict[str, Column]:
         "repeats": vote(c["n_repeat_words"] * 100 > n * 40, c["n_repeat_words"] * 100 <= n * 20),
         "capitals": vote(c["n_capitals"] * 100 > c["word_chars"] * 35, c["n_capitals"] * 100 <= c["word_chars"] * 15),
         "word_length": vote((c["word_chars"] < n * 2) | (c["word_chars"] > n * 14), (c["word_chars"] >= n * 3) & (c["word_chars"] <= n * 12)),
+        "letters": vote(c["n_letters"] * 100 < c["word_chars"] * 88, c["n_letters"] * 100 >= c["word_chars"] * 94),
+        "marks": vote(c["n_marks"] * 100 > n * 15, c["n_marks"] * 100 <= n * 6),
         "stops": vote((n >= 50) & (c["n_stops"] * 150 < n), c["n_stops"] * 40 >= n),
     }
 
 
 @dataclass(frozen=True)
 class Model:
-    """Latent classes: class 0 is good, and class k + 1 has the defect that rule k looks for.
+    """share: of good texts; bad_on_good[k], bad_on_bad[k]: how often rule k, when it votes, votes bad on good and on bad texts."""
 
-    shares: of the classes; rates[c][k]: how often rule k, when it votes, votes bad on texts of class c
-    (its accuracy is one minus that on good texts, and that itself on the texts of its own defect).
-    """
+    share: float
+    bad_on_good: tuple[float, ...]
+    bad_on_bad: tuple[float, ...]
 
-    shares: tuple[float, ...]
-    rates: tuple[tuple[float, ...], ...]
+    def odds(self) -> list[tuple[float, float]]:
+        """What a bad and a good vote of each rule add to the logarithm of the odds of being good."""
+        return [(log(g / b), log((1 - g) / (1 - b))) for g, b in zip(self.bad_on_good, self.bad_on_bad, strict=True)]
 
     def posterior(self, votes_of: tuple[int, ...]) -> float:
         """Probability of being good, from the votes."""
-        chance = [share * prod(1.0 if v == 0 else r if v < 0 else 1 - r for v, r in zip(votes_of, rates, strict=True)) for share, rates in zip(self.shares, self.rates, strict=True)]
-        return chance[0] / sum(chance)
+        total = log(self.share / (1 - self.share)) + sum(bad if v < 0 else good if v > 0 else 0.0 for v, (bad, good) in zip(votes_of, self.odds(), strict=True))
+        return 1 / (1 + exp(min(-total, 700.0)))
 
-    def looked_up(self, vote_of: dict[str, Column]) -> Column:
-        """The same as a column: an entry of one constant array of all 3 ** rules patterns, so the expression stays small."""
-        every = ",".join(repr(self.posterior(votes_of)) for votes_of in product((-1, 0, 1), repeat=len(RULES)))
-        place = F.lit(0)
-        for rule in RULES:
-            place = place * 3 + vote_of[rule] + 1
-        return F.get(F.split(F.lit(every), ",").cast("array<double>"), place)
-
-
-#: A first guess from which the rates are estimated: bad votes are rare on good texts, and usual on those of the rule's own defect.
-FIRST = Model((0.8, *(0.2 / len(RULES) for _ in RULES)), tuple(tuple(0.01 if c == 0 else 0.8 if c == k + 1 else 0.1 for k in range(len(RULES))) for c in range(len(RULES) + 1)))
+    def posterior_of(self, vote_of: dict[str, Column]) -> Column:
+        """The same as a column."""
+        total = F.lit(log(self.share / (1 - self.share)))
+        for rule, (bad, good) in zip(RULES, self.odds(), strict=True):
+            total = total + F.when(vote_of[rule] < 0, bad).when(vote_of[rule] > 0, good).otherwise(0.0)
+        return 1 / (1 + F.exp(-total))
 
 
 def vote_patterns(described: DataFrame, name: str = ADDED) -> list[tuple[tuple[int, ...], int]]:
@@ -141,34 +144,32 @@ def vote_patterns(described: DataFrame, name: str = ADDED) -> list[tuple[tuple[i
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> Model:
     """Expectation-maximisation over the vote patterns."""
-    model, classes = FIRST, range(len(RULES) + 1)
-    for _ in range(iterations if patterns else 0):
-        mass = [1.0 for _ in classes]
-        bad = [[PRIOR * FIRST.rates[c][k] for k in range(len(RULES))] for c in classes]
-        cast = [[PRIOR for _ in RULES] for _ in classes]
-        for votes_of, n in patterns:
-            chance = [model.shares[c] * prod(1.0 if v == 0 else r if v < 0 else 1 - r for v, r in zip(votes_of, model.rates[c], strict=True)) for c in classes]
-            for c in classes:
-                weight = n * chance[c] / sum(chance)
-                mass[c] += weight
-                for k, v in enumerate(votes_of):
-                    cast[c][k] += weight * (v != 0)
-                    bad[c][k] += weight * (v < 0)
-        rates = [[b / t for b, t in zip(bad[c], cast[c], strict=True)] for c in classes]
-        rates[0] = [min(r, MOST_WRONG) for r in rates[0]]
-        new = Model(tuple(m / sum(mass) for m in mass), tuple(map(tuple, rates)))
-        moved = max(abs(a - b) for a, b in zip(new.shares, model.shares, strict=True))
-        model = new
-        if moved < TOLERANCE:
-            break
-    return model
+    good = [FIRST[min(sum(v < 0 for v in votes_of), 2)] for votes_of, _ in patterns]
+    while True:
+        # the classes' sizes, with one text each, and rates from the votes weighted by the posteriors
+        size = [1.0 + sum(n * p for (_, n), p in zip(patterns, good, strict=True)), 1.0 + sum(n * (1 - p) for (_, n), p in zip(patterns, good, strict=True))]
+        bad = [[PRIOR * share for _ in RULES] for share in PRIOR_BAD]
+        cast = [[PRIOR for _ in RULES] for _ in PRIOR_BAD]
+        for (votes_of, n), p in zip(patterns, good, strict=True):
+            for k, v in enumerate(votes_of):
+                if v:
+                    for c, weight in enumerate((n * p, n * (1 - p))):
+                        cast[c][k] += weight
+                        bad[c][k] += weight * (v < 0)
+        rates = [tuple(b / t for b, t in zip(bad[c], cast[c], strict=True)) for c in range(2)]
+        model = Model(size[0] / sum(size), tuple(min(r, CHANCE) for r in rates[0]), rates[1])
+        new = [model.posterior(votes_of) for votes_of, _ in patterns]
+        iterations -= 1
+        if iterations <= 0 or max((abs(a - b) for a, b in zip(new, good, strict=True)), default=0.0) < TOLERANCE:
+            return model
+        good = new
 
 
 def with_verdict(described: DataFrame, model: Model, name: str = ADDED) -> DataFrame:
     """features() with base_failed, posterior and kept."""
     q = F.col(name)
     failed = (q["n_words"] < 50) | (q["n_repeat_words"] * 100 > q["n_words"] * 50)
-    posterior = model.looked_up({rule: q[f"vote_{rule}"] for rule in RULES})
+    posterior = model.posterior_of({rule: q[f"vote_{rule}"] for rule in RULES})
     return described.withColumn(name, q.withField("base_failed", failed).withField("posterior", posterior).withField("kept", ~failed & (posterior >= 0.5)))
 
 
