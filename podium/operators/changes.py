@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType
 
 from podium.functions.names import sql_literal
+from podium.operators.ranking import numbered
 
 WHOLE = (IntegerType, LongType, ShortType)
 
@@ -76,8 +77,8 @@ def update_statement(table: str, key: Column, changes: Column) -> Column:
 
 
 def script(statements: DataFrame, order: list[str]) -> DataFrame:
-    """Numbered lines between START TRANSACTION and COMMIT; a script is read as a whole, so its order is total."""
-    body = statements.withColumn("line", F.row_number().over(Window.orderBy(*order)).cast("long")).select("line", "statement")
+    """Numbered lines between START TRANSACTION and COMMIT; they are numbered in ranges of the order."""
+    body = numbered(statements, order, "line").select(F.col("line").cast("long").alias("line"), "statement")
     n = body.groupBy().agg(F.count("*").alias("n"))
     first = n.select(F.lit(0).cast("long").alias("line"), F.lit("START TRANSACTION;").alias("statement"))
     last = n.select((F.col("n") + 1).alias("line"), F.lit("COMMIT;").alias("statement"))

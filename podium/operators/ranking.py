@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.sources.shared import Steps
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key."""
@@ -55,6 +57,16 @@ def carried(df: DataFrame, column: str, keys: list[str], order: str, name: str)
     return df.withColumn(name, F.last(column, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def numbered(df: DataFrame, order: list[str], name: str, steps: Steps | None = None, start: int = 0) -> DataFrame:
+    """df with the rows' numbers by order, from start + 1: inside each of its ranges, plus the rows of the ranges before it."""
+    steps = steps or Steps(df.sparkSession, "numbered")
+    ranges = steps.keep(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))  # a row a range
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn(name, nth).join(F.broadcast(starts), "__range").withColumn(name, F.col(name) + F.col("__start") + F.lit(start)).drop("__range", "__start")
+
+
 def greedy_pages(df: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:
     """Pages filled in order: an item opens a new page when it doesn't fit into what is left. One array a key, folded once."""
     items = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("items"))

@@ -296,7 +296,7 @@ def chosen_candidate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("U19 G15 G16", """with recursive step(id, m, n) as (select s_suppkey, s_suppkey, 0 from supplier union all select id, case when m % 3 = 0 and m > 3 then m // 3 else m end, n + 1 from step where n < 20) select id, m as merged_into from step where n = 20""")
 def season_fix(spark: SparkSession, sf: str) -> DataFrame:
-    from podium.operators.resolve import kept
+    from podium.sources.shared import kept
 
     def step(df: DataFrame) -> DataFrame:
         at = F.col("merged_into")

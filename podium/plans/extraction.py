@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +9,7 @@ from podium.functions.layout import Context, Field, Layout
 from podium.plans import domain as d
 from podium.plans.registry import query
 from podium.sources import files, html, layouts
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from podium.sources.shared import scratch
 
 
 PAGE_SQL = """, p as (select meeting_id, event, pool, swimmer_id, hundredths, mir_id, row_number() over (partition by meeting_id, event, pool order by hundredths, mir_id) as place from results where hundredths > 0)"""
@@ -39,7 +32,7 @@ def paged_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("S05 K01 F75", """select p_partkey, p_brand, p_size from part""")
 def sniffed_csv(spark: SparkSession, sf: str) -> DataFrame:
-    path = folder(spark, "csv")
+    path = scratch(spark, "csv")
     d.table(spark, sf, "part").select("p_partkey", "p_brand", "p_size").write.csv(path, sep=";", header=True)
     df = files.read_sniffed_csv(spark, path, ["p_partkey", "p_brand", "p_size"])
     return df.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", F.col("p_size").cast("int").alias("p_size"))
@@ -47,7 +40,7 @@ def sniffed_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("S06 K05", """select o_orderkey % 2 = 0 as "isCancelled", 'M' || cast(o_orderkey as varchar) as name, case when o_orderkey % 3 = 0 then null else 'place' end as place, cast(year(o_orderdate) as integer) as year from orders""")
 def calendar_csv(spark: SparkSession, sf: str) -> DataFrame:
-    path, k = folder(spark, "calendar"), F.col("o_orderkey")
+    path, k = scratch(spark, "calendar"), F.col("o_orderkey")
     rows = d.table(spark, sf, "orders").select(F.lit("u").alias("startURL"), F.lit("1/1").alias("date"), F.when(k % 2 == 0, "Annullata").otherwise("").alias("isCancelled"), F.concat(F.lit(" M"), k.cast("string")).alias("name"), F.when(k % 3 == 0, " ").otherwise("place").alias("place"), F.lit("m").alias("meetingUrl"), F.year("o_orderdate").alias("year"))
     files.write_grid(rows, path, {c: c for c in rows.columns})
     return files.read_calendar(spark, path).select("isCancelled", "name", "place", "year")
@@ -55,7 +48,7 @@ def calendar_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("K08 S03", """select c_custkey, c_name, c_nationkey from customer""")
 def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    path = folder(spark, "json")
+    path = scratch(spark, "json")
     c = d.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
     c.write.json(path)
     return spark.read.schema(c.schema).json(path)

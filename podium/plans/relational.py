@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from podium.operators import relational as rel
 from podium.operators.ranking import first_per
-from podium.operators.resolve import kept
+from podium.operators.ranking import numbered
 from podium.plans import domain as d
 from podium.plans.registry import query
 
@@ -185,12 +185,13 @@ def page_with_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paged(df: DataFrame, order: list[str], page: int, per: int) -> DataFrame:
-    """A page of the ordered rows, with the total, the number of pages, and a label; the page number is clamped."""
-    total = df.count()
-    pages = max(1, -(-total // per))
-    at = min(max(page, 1), pages)
-    rows = df.orderBy(*order).offset(per * (at - 1)).limit(per)
-    return rows.withColumns({"total": F.lit(total).cast("long"), "pages": F.lit(pages).cast("long"), "label": F.lit(f"rows {per * (at - 1) + 1}-{min(per * at, total)}")})
+    """A page of the ordered rows, with the total, the number of pages, and a label; the page number is clamped. Rows are numbered in ranges, so any page costs the same."""
+    rows = numbered(df, order, "__nth")
+    total = rows.agg(F.count("*").alias("total"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / per))
+    label = F.concat(F.lit("rows "), (per * (F.col("at") - 1) + 1).cast("string"), F.lit("-"), F.least(per * F.col("at"), "total").cast("string"))
+    placed = total.withColumn("pages", pages.cast("long")).withColumn("at", F.least(F.greatest(F.lit(page), F.lit(1)), "pages")).withColumn("label", label)
+    return rows.join(F.broadcast(placed), (F.col("__nth") > per * (F.col("at") - 1)) & (F.col("__nth") <= per * F.col("at"))).drop("__nth", "at")
 
 
 @query("L06", d.sql("results", """select mir_id, row_number() over (order by disqualified, meeting_id, coalesce(case when pool = 1 then stored_rank end, 9999), event, mir_id) as place from results"""))
@@ -200,15 +201,6 @@ def program_order(spark: SparkSession, sf: str) -> DataFrame:
     return numbered(d.results(spark, sf).withColumn("rank", rank).select("disqualified", "meeting_id", "rank", "event", "mir_id"), ["disqualified", "meeting_id", "rank", "event", "mir_id"], "place").select("mir_id", "place")
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with the rows' numbers by order, from 1: inside each of its ranges, plus the rows of the ranges before it."""
-    ranges = kept(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))  # a row a range
-    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return ranges.withColumn(name, nth).join(F.broadcast(starts), "__range").withColumn(name, F.col(name) + F.col("__start")).drop("__range", "__start")
-
-
 @query("L07 L08 L02", d.sql("results teams", """select mir_id, name, row_number() over (partition by meeting_id order by (name like '%1%') desc, hundredths desc, mir_id) as place from results join teams using (team_id)"""))
 def bucket_order(spark: SparkSession, sf: str) -> DataFrame:
     r = d.results(spark, sf).join(d.teams(spark, sf), "team_id")

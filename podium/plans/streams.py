@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.plans import domain as d
-from podium.plans.extraction import folder
+from podium.sources.shared import scratch
 from podium.plans.registry import query
 from podium.streaming import usage
 
 
 @query("T05", d.sql("usage_log", "select cast(day as varchar) as day, route, count from usage_log"))
 def stream_daily_usage(spark: SparkSession, sf: str) -> DataFrame:
-    at = folder(spark, "usage")
+    at = scratch(spark, "usage")
     left = usage.run_now(usage.daily_usage(usage.events_stream(spark, sf)), f"{at}/table", f"{at}/checkpoint")
     return left.select(F.col("day").cast("string").alias("day"), "route", "count")
 
 
 @query("T02 T04", """select user_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1""")
 def stream_latest_states(spark: SparkSession, sf: str) -> DataFrame:
-    at = folder(spark, "states")
+    at = scratch(spark, "states")
     return usage.run_now(usage.latest_states(usage.events_stream(spark, sf)), f"{at}/table", f"{at}/checkpoint", "update", ["user_id"])
