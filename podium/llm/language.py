@@ -7,12 +7,12 @@ and the windows' log-probabilities are averaged by their bytes. Since a filter's
 term a byte, prediction looks terms up instead of multiplying.
 
 A null text, or one without a letter, is `und` with score 0, and so is every text where nothing was
-learned. Rows with a null label or text are not learned from.
+learned. Rows with a null label or text are not learned from. Repeated rows count as often as they come; ties of languages go to the first in the alphabet. An
+empty table has an empty result. Long texts are cut into as many windows as they fill. Further columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +22,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import hash_sample, small_batches
+from podium.llm.common import small_batches
 
-LETTER = re.compile(r"[^\W\d_]")
 WIDTHS, FILTERS, DEPTH, WINDOW = (2, 3, 4), 16, 8, 192
 UNKNOWN = "und"
 #: Windows predicted at once: what a step holds is this times WINDOW times FILTERS floats.
 AT_ONCE = 512
+#: Languages that are learned, the most frequent ones, and rows of each that the sample has at least, as far as there are so many.
+MOST_LANGS, LEAST_ROWS = 500, 50
+
+
+def has_letter(text: str | None) -> bool:
+    """Letters are what Unicode calls so; digits, numbers as superscripts or Roman numerals, and marks are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass
@@ -121,13 +127,23 @@ def train(texts: list[str], labels: list[str], steps: int = 300, batch: int = 96
 
 
 def sample(documents: DataFrame, learn: Column, rows: int, chars: int = 600) -> tuple[list[str], list[str]]:
-    """Labelled stretches of about `rows` rows, twice that at most, those of small hashes; a stretch begins at a hashed place of its text."""
-    labelled = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    """Labelled stretches, about as many of each language, those of small hashes: `rows` in all, but LEAST_ROWS of each at least; a stretch begins at a hashed place of its text.
+
+    The driver gets a row a language, of MOST_LANGS languages, and the stretches.
+    """
+    own = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    found = own.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGS).collect()
+    if not found:
+        return [], []
+    each = max(LEAST_ROWS, rows // len(found))
+    # hashes up to the share that gives so many
+    limits = [(r.lang, min(int(-(2**63) + min(1.0, 1.1 * each / r["count"]) * (2**64 - 1)), 2**63 - 1)) for r in found]
+    shares = F.broadcast(documents.sparkSession.createDataFrame(limits, "lang string, most long"))
     at = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    picked = hash_sample(labelled.select("doc_id", F.substr("text", at, F.lit(chars)).alias("part"), "lang"), rows)
-    found = sorted(picked.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.part))
-    found = [(r.part, r.lang) for r in found if LETTER.search(r.part)]
-    return [t for t, _ in found], [y for _, y in found]
+    parts = own.select("doc_id", F.substr("text", at, F.lit(chars)).alias("part"), "lang", F.xxhash64("doc_id", "text", "lang").alias("hashed"))
+    picked = parts.join(shares, "lang").where(F.col("hashed") <= F.col("most")).orderBy("hashed", "doc_id", "part").limit(2 * each * len(found)).collect()
+    stretches = [(r.part, r.lang) for r in sorted(picked, key=lambda r: (r.doc_id is None, r.doc_id, r.part)) if has_letter(r.part)]
+    return [t for t, _ in stretches], [y for _, y in stretches]
 
 
 def predict(documents: DataFrame, network: Network | None, passed: dict[str, Column], text: str = "text") -> DataFrame:
@@ -141,7 +157,7 @@ def predict(documents: DataFrame, network: Network | None, passed: dict[str, Col
         for batch in batches:
             texts = batch.column(len(names))
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = np.array([bool(LETTER.search(t)) if t else False for t in texts.to_pylist()], bool)
+            known = np.array([has_letter(t) for t in texts.to_pylist()], bool)
             if network and known.any():
                 best, score = of_texts(network, terms, texts)
                 for i in np.flatnonzero(known):

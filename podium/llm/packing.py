@@ -98,8 +98,8 @@ def pack(lengths: list[int], capacity: int) -> list[Piece]:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, group: int = 8192, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a piece; sequence_id holds the task above bit 40."""
+def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, group: int = 8192, group_ids: int = 1 << 23, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a piece; sequence_id holds the task above bit 40. A task packs up to `group` documents together, or as many as have `group_ids` ids, which bounds what it holds."""
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +109,10 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capaci
         end = np.array([end_id], "<u4").tobytes()
         docs: list[int] = []
         ids: list[bytes] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal first
+            nonlocal first, held
             lengths = [len(x) // 4 for x in ids]
             pieces = pack(lengths, capacity)
             columns = {
@@ -127,6 +128,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capaci
             first += 1 + max(p.sequence for p in pieces)
             docs.clear()
             ids.clear()
+            held = 0
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
@@ -134,7 +136,8 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capaci
             found, sizes = cache.ids_of_all(batch.column(1).to_pylist())
             raw, ends = found.astype("<u4").tobytes(), 4 * np.cumsum(sizes)
             ids += [raw[b - 4 * n : b] + end for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            if len(docs) >= group:
+            held += len(found) + len(sizes)
+            if len(docs) >= group or held >= group_ids:
                 yield flush()
         if docs:
             yield flush()

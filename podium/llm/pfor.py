@@ -133,7 +133,7 @@ def read_block(data: bytes, k: int) -> np.ndarray:
 
 
 def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segment_ids: int = 1 << 20, id_column: str = "doc_id", text: str = "text") -> None:
-    """Encodes documents in ascending id order and writes segments of about segment_ids ids to path.
+    """Encodes documents in ascending order of ids, equal ones of hashes of their texts, and writes segments of about segment_ids ids to path.
 
     Columns of the files: part (of the order), start (ids of the part before the segment), n_tokens, data.
     """
@@ -169,7 +169,9 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, segm
         if docs:
             yield flush()
 
-    ordered = documents.select(id_column, text).repartitionByRange(id_column).sortWithinPartitions(id_column, text)
+    # rows of one id are spread by their texts
+    rows = documents.select(F.col(id_column).alias("id"), F.col(text).alias("body"), F.xxhash64(text).alias("hashed"))
+    ordered = rows.repartitionByRange("id", "hashed").sortWithinPartitions("id", "hashed", "body").select("id", "body")
     ordered.mapInArrow(run, "part int, start long, n_tokens long, data binary").write.parquet(path)
 
 

@@ -128,3 +128,20 @@ def test_terms_are_the_convolution():
     hidden = np.maximum(np.concatenate(peaks, 1) + network.bias, 0)
     want = language.log_softmax(hidden @ network.out + network.out_bias)
     assert np.allclose(network.log_probabilities(window, network.terms()), want, atol=1e-4)
+
+
+def test_what_is_no_letter_is_undetermined(spark):
+    texts = ["²½", "Ⅷ 12", "1_2 ...", "ª", "x²", "中", "\u0301", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    network = language.train(["abc def", "ghi jkl"] * 20, ["aa", "bb"] * 20, steps=5)
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, network, {"doc_id": F.col("doc_id")}).collect()}
+    assert {k for k, x in got.items() if x == "und"} == {0, 1, 2, 6, 7}
+
+
+def test_rare_languages_are_learned(spark):
+    """One text in two hundred is of a third language; the sample has as many of it as there are."""
+    docs = [(k, t, "cc" if k % 200 == 0 else "aa" if k % 2 else "bb") for k, (_, t, _) in enumerate(labelled(2000))]
+    _, langs = language.sample(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True), 300)
+    assert langs.count("cc") == 10
+    assert 60 < langs.count("aa") < 160
+    assert language.sample(spark.createDataFrame([], "doc_id long, text string, lang string"), F.lit(True), 300) == ([], [])

@@ -39,6 +39,24 @@ def test_ids_of_any_text(text):
 CACHES, LIBRARIES = ({p: f(p) for p in (WORDS, BYTES)} for f in (TokenCache, Tokenizer.from_file))
 
 
+def test_a_hot_id_is_spread_over_parts(spark, tmp_path):
+    """A third of the rows share an id: they come to several tasks, and starts stay right."""
+    docs = [(5 if k % 3 == 0 else k, f"{rows.prose(k, 30)}") for k in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pfor.write_ids(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), str(tmp_path / "ids"), WORDS, 1, segment_ids=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(str(tmp_path / "ids"))
+    of_five = {r.part for r in files.collect() if 5 in pfor.unpack_segment(r.data)[0]}
+    assert len(of_five) > 1
+    got, at = pfor.read_ids(files).orderBy("start").collect(), 0
+    assert [r.doc_id for r in got] == sorted(d for d, _ in docs)
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=700))
 def test_blocks_round_trip(ids):
@@ -104,6 +122,25 @@ def test_packing_hard_rows(spark):
     assert packing.pack_documents(rows.empty(spark), BYTES).count() == 0
 
 
+def test_packing_is_bounded_by_ids(spark):
+    """Long texts are packed in groups of few; the pieces are whole all the same."""
+    docs = [(k, rows.prose(k, 700)) for k in range(12)] + [(99, rows.prose(99, 40_000))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    got = packing.pack_documents(df, BYTES, group_ids=3000).collect()
+    assert len({r.sequence_id >> 40 for r in got}) == 1
+    of: dict[int, list] = {}
+    for r in got:
+        of.setdefault(r.doc_id, []).append(r)
+    for pieces in of.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at
+            at += r.length
+        assert at == pieces[0].doc_tokens
+    assert {d for d, _ in docs} == set(of)
+
+
 def by_search(lengths, capacity):
     """The method by plain search: the sequence of each piece, or None if no sequence has room."""
     order = sorted((k for k, n in enumerate(lengths)), key=lambda k: (-lengths[k], k))
