@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 MONTHS = ["gen", "feb", "mar", "apr", "mag", "giu", "lug", "ago", "set", "ott", "nov", "dic"]
 
 
+#: What a free text is cut into: numbers, words, and what separates one date of a list or range from the next.
+PIECE = "\\d+|\\p{L}+|[,;]|\\.{2,}"
+
+
 def month_number(c: Column) -> Column:
     """01 to 12 by the first three letters; null otherwise."""
     at = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(c, 1, 3)))
@@ -16,17 +20,36 @@ def month_number(c: Column) -> Column:
 
 
 def iso_date(day: Column, month: Column, year: Column) -> Column:
-    """yyyy-mm-dd as text; null if the day or the month is blank. A month of two digits passes."""
-    mm = F.when(month.rlike("\\d{2}"), month).otherwise(month_number(month))
-    blank = day.isNull() | month.isNull() | (F.btrim(day) == "") | (F.btrim(month) == "")
-    return F.when(~blank, F.concat(year.cast("string"), F.lit("-"), mm, F.lit("-"), F.lpad(day, 2, "0")))
+    """yyyy-mm-dd as text. The month is a name, or a number that is left as it is; null if the day or the month is blank."""
+    known = F.coalesce(F.when(month.rlike("\\d{2}"), month), month_number(month))
+    parts = F.array(year.cast("string"), known, F.lpad(F.btrim(day), 2, "0"))
+    there = F.forall(F.array(day, month), lambda x: F.coalesce(F.btrim(x) != "", F.lit(False)))
+    return F.when(there & known.isNotNull(), F.array_join(parts, "-"))
+
+
+def is_day(piece: Column) -> Column:
+    return piece.rlike("^\\d{1,2}$")
+
+
+def is_month(piece: Column) -> Column:
+    return is_day(piece) | piece.rlike("^\\p{L}{3,}$")
+
+
+def is_year(piece: Column) -> Column:
+    return piece.rlike("^\\d{2,4}$")
 
 
 def european_parts(c: Column) -> Column:
-    """day, month and year of the first date in a free text; null parts if there is none."""
-    pattern = "(?i)(\\d{1,2})[-./\\s](\\d{1,2}|[a-z]{3,})[-./\\s](\\d{2,4})"
-    part = [F.regexp_extract(c, pattern, k) for k in (1, 2, 3)]
-    return F.struct(*(F.when(p != "", p).alias(name) for p, name in zip(part, ("day", "month", "year"), strict=True)))
+    """day, month and year of the first whole date in a free text; null parts if there is none.
+
+    The text is cut into pieces, and a date is a day, a month and a year that follow each other. Of a list or a range of days that share a
+    month ("7,8,10 Mar 2014", "8..11 Feb 2010") that is the last day: commas and dots between days are pieces too, so no date goes over them.
+    """
+    pieces = F.regexp_extract_all(c, F.lit(f"({PIECE})"), F.lit(1))
+    places = F.sequence(F.lit(0), F.greatest(F.size(pieces) - 3, F.lit(0)))
+    whole = F.filter(places, lambda i: is_day(F.get(pieces, i)) & is_month(F.get(pieces, i + 1)) & is_year(F.get(pieces, i + 2)))
+    at = F.get(whole, F.lit(0))
+    return F.struct(F.get(pieces, at).alias("day"), F.get(pieces, at + 1).alias("month"), F.get(pieces, at + 2).alias("year"))
 
 
 def days_of(days: Column, year: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators on small tables, where each case has a known result."""
 
 import datetime
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import dates, events, names, timing
 from podium.functions.layout import Context, Field, Layout, read_page
-from podium.functions.similarity import jaro_winkler_of
+from podium.functions.similarity import winkler
 from podium.operators import changes, ranking, relational, resolve
 from podium.operators.components import connected_components
 from podium.sources import files, html
@@ -51,7 +52,20 @@ def test_keys_keep_their_bars(spark):
 def test_dates(spark):
     assert one(spark, dates.iso_date(F.lit("5"), F.lit("Settembre"), F.lit("2023"))) == "2023-09-05"
     assert one(spark, dates.iso_date(F.lit(" "), F.lit("set"), F.lit("2023"))) is None
-    assert tuple(one(spark, dates.european_parts(F.lit("lun 15 Sett 2023")))) == ("15", "Sett", "2023")
+    assert one(spark, dates.iso_date(F.lit("5"), F.lit("zzz"), F.lit("2023"))) is None
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("lun 15 Sett 2023", ("15", "Sett", "2023")), ("mer, 15/4/2001", ("15", "4", "2001")), ("25-12-1965", ("25", "12", "1965")), ("5 7 2023", ("5", "7", "2023")),
+        ("15-16 Sett 2023", ("16", "Sett", "2023")), ("17/18 Dic 2024", ("18", "Dic", "2024")), ("lun 15, mar 16 Sett 2023", ("16", "Sett", "2023")), ("lun 15..mar 16 Sett 2023", ("16", "Sett", "2023")),
+        ("4-5/Mar/2008", ("5", "Mar", "2008")), ("7,8,10 Mar 2014", ("10", "Mar", "2014")), ("7,8,10,11 Marzo 2014", ("11", "Marzo", "2014")), ("8...11 Feb 2010", ("11", "Feb", "2010")),
+        ("rinviata", (None, None, None)), ("", (None, None, None)), (None, (None, None, None)), ("12 ore 9", (None, None, None)),
+    ],
+)
+def test_european_dates(spark, text, want):
+    assert tuple(one(spark, dates.european_parts(F.lit(text).cast("string")))) == want
 
 
 def test_relay_codes(spark):
@@ -62,7 +76,7 @@ def test_relay_codes(spark):
 
 @pytest.mark.parametrize(("a", "b", "want"), [("martha", "marhta", 0.9611111111111111), ("", "", 0.0), ("a", "", 0.0), ("same", "same", 1.0)])
 def test_jaro_winkler(a, b, want):
-    assert jaro_winkler_of(a, b) == pytest.approx(want)
+    assert winkler([a], [b])[0] == pytest.approx(want)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -215,3 +229,55 @@ def test_relay_bands(spark):
     assert spark.range(1).select(events.relay_range(F.lit(240))).first()[0] == "240-259"
     timings = spark.createDataFrame([("1:00.66",), ("NT",), ("DSQ-",), ("35.20",)], "t string").select(timing.convert_timing(F.col("t"))).collect()
     assert [r[0] for r in timings] == ["1'00.66", "NT", "DSQ-", "35.20"]
+
+
+def plain_jaro_winkler(a, b):
+    """By the definition, character by character."""
+    reach, taken, mine = max(0, max(len(a), len(b)) // 2 - 1), set(), []
+    for i, c in enumerate(a):
+        at = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == c), None)
+        if at is not None:
+            taken.add(at)
+            mine.append(c)
+    m = len(mine)
+    if not m:
+        return 0.0
+    moved = sum(x != b[j] for x, j in zip(mine, sorted(taken), strict=True)) // 2
+    plain = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+    return plain + prefix * 0.1 * (1 - plain) if plain > 0.7 else plain
+
+
+def test_similarities_of_a_batch_are_those_of_its_pairs():
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdeé ") for _ in range(r.randint(0, 14))) for _ in range(600)]
+    a, b = texts[:300], texts[300:]
+    assert max(abs(x - plain_jaro_winkler(p, q)) for x, p, q in zip(winkler(a, b), a, b, strict=True)) < 1e-12
+
+
+@pytest.mark.parametrize("least", [0.8, 0.89, 0.95])
+@pytest.mark.parametrize("block", [[], ["g"]])
+def test_the_index_of_names_loses_none(spark, least, block):
+    r = random.Random(int(least * 100))
+    names = ["".join(r.choice("abcdefghilmnorstu ") for _ in range(r.randint(3, 16))) for _ in range(120)]
+    for k in range(0, 120, 2):
+        own = list(names[k])
+        own[r.randrange(len(own))] = r.choice("abcxyz")
+        names[k + 1] = "".join(own)
+    names += [names[0], names[1], "", "a", "ab", "ba", "é", "aa"]
+    df = spark.createDataFrame([(k, n, k % 2) for k, n in enumerate(names)] + [(999, None, 0)], "id long, name string, g int")
+    got = {(x.query_id, x.row_id): x.weight for x in resolve.candidates(df, df, block, least).collect()}
+    want = {(i, j): w for i, a in enumerate(names) for j, b in enumerate(names) if i != j and (not block or i % 2 == j % 2) and (w := plain_jaro_winkler(a, b)) >= least}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_the_index_compares_few_names(spark, monkeypatch):
+    """Names of which few are alike: what is compared grows with the names, not with their square."""
+    r, compared = random.Random(5), {}
+    for size in (400, 1600):
+        names = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(size)]
+        df = spark.createDataFrame([(n,) for n in names], "name string")
+        bags = df.select(resolve.bag(F.col("name")).alias("bag")).distinct()
+        compared[size] = resolve.similar_bags(bags, [], 0.95).count()
+    assert compared[1600] < 6 * compared[400] < 6 * 2 * 400
