@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.llm.common import Tables, WordHashes, bounded_broadcast, mix, small_batches, words_of
@@ -42,6 +42,8 @@ from podium.operators.components import connected_components
 
 #: A block has about so many sets, and n-grams, at most.
 BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 21
+#: Signatures that a task joins before it passes them on.
+CHUNK_SIGNATURES = 1 << 21
 #: Buckets of the n-grams' frequencies, their slices, and tasks whose counts are added up first.
 BUCKET_BITS, SLICES, TASKS_TOGETHER = 22, 64, 128
 #: The weight of an n-gram that one text has; one that c texts have weighs a c-th.
@@ -154,62 +156,71 @@ class Signatures:
 
 
 def described(documents: DataFrame, n: int, percent: int, id_column: str, text: str) -> DataFrame:
-    """For each row (node, n, hash1, hash2) of its set; with n = -1, a row for each node that a batch has joined to a smaller one, hash1; and, without n, the
-    signatures, each once a batch, with the node that goes on for all that the batch has joined."""
+    """For each row (node, n, hash1, hash2) of its set; and, with n = -1, a row for each node whose signature hash1, a smaller node, has too.
+
+    Signatures are in no table: they are shuffled once, and what they have in common is all that is left. A task joins some CHUNK_SIGNATURES of them
+    itself and passes each on once, with one node for all that it has joined. So a signature that a third of all sets have comes to a
+    task once for thousands of sets, and its rows are fewer than those of the task's other signatures.
+    """
     small_batches(documents.sparkSession)
     packed = zlib.compress(rarity(documents, n, text).tobytes(), 1)
+    names = ["node", "signature", "n", "hash1", "hash2"]
+
+    def spread(salt: np.ndarray) -> pa.Array:
+        """Rows that are no signatures are spread over the tasks."""
+        return pa.array(mix(np.arange(len(salt), dtype=np.uint64) + salt.view(np.uint64)).view(np.int64))
+
+    def joined(nodes: list[int], signed: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        signature = np.concatenate([np.zeros(0, np.uint64), *signed])
+        node = np.repeat(np.array(nodes, np.int64), [len(s) for s in signed])
+        order = np.lexsort((node, signature))
+        signature, node = signature[order], node[order]
+        start = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]])) if len(node) else np.zeros(0, np.int64)
+        near = np.repeat(node[start], np.diff(np.append(start, len(node))))
+        # what a chunk has connected has one edge a node, and signs as its smallest node
+        parent = {x: x for x in nodes}
+        for a, b in np.unique(np.stack([node[node != near], near[node != near]], axis=1), axis=0).tolist():
+            a, b = union_root(parent, a), union_root(parent, b)
+            parent[max(a, b)] = min(a, b)
+        root = {x: union_root(parent, x) for x in parent}
+        src, dst = np.array([(x, r) for x, r in root.items() if x != r], np.int64).reshape(-1, 2).T
+        none = pa.nulls(len(src), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(src), spread(np.ascontiguousarray(dst)), pa.array(np.full(len(src), -1)), pa.array(dst), none], names=names)
+        for k in range(0, len(start), 1 << 17):
+            part = start[k : k + (1 << 17)]
+            none = pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([root[x] for x in node[part].tolist()], pa.int64()), pa.array(signature[part].view(np.int64)), none, none, none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sign = WordHashes(), Signatures(percent, np.frombuffer(zlib.decompress(packed), "<i4"))
+        seen: set[tuple[int, int, int]] = set()
+        nodes: list[int] = []
+        signed: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
             sets = [ngram_set(words_of(t), hashes, n) for t in batch.column(1).to_pylist()]
             size = np.array([len(s) for s in sets], np.int64)
             first = np.array([set_hash(s) for s in sets], np.int64)
             second = np.array([set_hash(s ^ SECOND) for s in sets], np.int64)
-            seen: set[tuple[int, int, int]] = set()
-            nodes, signed = [], []
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), spread(first), pa.array(size), pa.array(first), pa.array(second)], names=names)
             for node, s, *key in zip(ids, sets, size.tolist(), first.tolist(), second.tolist(), strict=True):
                 if node is None or not len(s) or tuple(key) in seen:
                     continue
                 seen.add(tuple(key))
                 nodes.append(node)
                 signed.append(sign(s))
-            signature = np.concatenate([np.zeros(0, np.uint64), *signed])
-            node = np.repeat(np.array(nodes, np.int64), [len(s) for s in signed])
-            order = np.lexsort((node, signature))
-            signature, node = signature[order], node[order]
-            start = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]])) if len(node) else np.zeros(0, np.int64)
-            near = np.repeat(node[start], np.diff(np.append(start, len(node))))
-            # what a batch has connected has one edge a node, and signs as its smallest node
-            parent = {x: x for x in nodes}
-            for a, b in np.unique(np.stack([node[node != near], near[node != near]], axis=1), axis=0).tolist():
-                a, b = union_root(parent, a), union_root(parent, b)
-                parent[max(a, b)] = min(a, b)
-            root = {x: union_root(parent, x) for x in parent}
-            edges = np.array([(x, r) for x, r in root.items() if x != r], np.int64).reshape(-1, 2).T
-            signer = np.array([root[x] for x in node[start].tolist()], np.int64)
-            none = pa.nulls(len(start), pa.int64())
-            parts = {
-                "node": [batch.column(0).cast(pa.int64()), pa.array(edges[0]), pa.array(signer)],
-                "signature": [pa.nulls(len(ids) + edges.shape[1], pa.int64()), pa.array(signature[start].view(np.int64))],
-                "n": [pa.array(size), pa.array(np.full(edges.shape[1], -1)), none],
-                "hash1": [pa.array(first), pa.array(edges[1]), none],
-                "hash2": [pa.array(second), pa.nulls(edges.shape[1], pa.int64()), none],
-            }
-            yield pa.RecordBatch.from_pydict({k: pa.concat_arrays(v) for k, v in parts.items()})
-
-    return documents.select(id_column, text).mapInArrow(run, "node long, signature long, n long, hash1 long, hash2 long")
-
-
-def stars(hits: DataFrame, tables: Tables) -> DataFrame:
-    """(src, dst): each node of hits (signature, node), a written table, and the smallest node that has the same signature, if that is another."""
-    least = F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")
-    shared = tables.keep(hits.groupBy("signature").agg(*least).where("least < most"), "shared-signatures")
-    # most signatures have two nodes: these are an edge without a join
-    pairs = shared.where("size = 2").select(F.col("most").alias("src"), F.col("least").alias("dst"))
-    large = tables.keep(shared.where("size > 2").select("signature", "least"), "large-signatures")
-    return pairs.unionByName(hits.join(bounded_broadcast(large), "signature").where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")))
+                held += len(signed[-1])
+            if held >= CHUNK_SIGNATURES:
+                yield from joined(nodes, signed)
+                seen, nodes, signed, held = set(), [], [], 0
+        if nodes:
+            yield from joined(nodes, signed)
+
+    rows = documents.select(id_column, text).mapInArrow(run, "node long, signature long, n long, hash1 long, hash2 long")
+    least = F.first("node").over(Window.partitionBy("signature").orderBy("node"))
+    of = rows.withColumn("least", least).where("n is not null or node <> least")
+    return of.select("node", F.coalesce("n", F.lit(-1)).alias("n"), F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("hash1")).alias("hash1"), "hash2")
 
 
 def union_root(parent: list[int] | dict[int, int], x: int) -> int:
@@ -403,8 +414,7 @@ def components(documents: DataFrame, n: int = 3, percent: int = 90, id_column: s
     key = ["n", "hash1", "hash2"]
     rows = passed.where("n >= 0").select(F.col("node").alias("id"), *key)
     classes = tables.keep(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("first")), "ngram-classes")
-    inside = passed.where("n < 0").select(F.col("node").alias("src"), F.col("hash1").alias("dst"))
-    near = tables.keep(inside.unionByName(stars(passed.where("n is null").select("signature", "node"), tables)).distinct(), "candidate-edges")
+    near = tables.keep(passed.where("n < 0").select(F.col("node").alias("src"), F.col("hash1").alias("dst")).distinct(), "candidate-edges")
     grouped = tables.keep(connected_components(near, tables.keep, drop=tables.drop), "candidate-nodes")
     found = rows.join(bounded_broadcast(grouped).withColumnRenamed("node", "id"), "id").groupBy(*key).agg(F.min("component").alias("component"))
     members = tables.keep(found.join(classes, key).select(F.col("first").alias("node"), *key, "component"), "candidates")
