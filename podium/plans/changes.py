@@ -278,7 +278,8 @@ def ranking_export(spark: SparkSession, sf: str) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy("best", "swimmer_id")).cast("long").alias("place"), "swimmer_id", format_timing(F.col("best")).alias("timing"))
 
 
-@query("N13 N15 E14", d.sql("laps", """select l.mir_id, l.length, case when s.mir_id is null then 'INSERT' else 'UPDATE' end as operation from laps l left join (select * from laps where length <= 50) s on s.mir_id = l.mir_id and s.length = l.length"""))
+@query("N13 N15 E14", d.sql("results", """, l as materialized (select mir_id, unnest([25, 50, 75, 100]) as length from results where hundredths > 0), s as materialized (select mir_id, length, true as stored from l where length <= 50)
+    select mir_id, length, case when stored then 'UPDATE' else 'INSERT' end as operation from l left join s using (mir_id, length)"""))
 def lap_upserts(spark: SparkSession, sf: str) -> DataFrame:
     laps = d.laps(spark, sf)
     stored = laps.where("length <= 50").select("mir_id", "length", F.lit(True).alias("stored"))

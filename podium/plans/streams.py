@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from podium.plans import domain as d
 from podium.sources.shared import scratch
 from podium.plans.registry import query
-from podium.streaming import usage
+from podium.streaming import queues, usage
 
 
 @query("T05", d.sql("usage_log", "select cast(day as varchar) as day, route, count from usage_log"))
@@ -22,3 +22,14 @@ def stream_daily_usage(spark: SparkSession, sf: str) -> DataFrame:
 def stream_latest_states(spark: SparkSession, sf: str) -> DataFrame:
     at = scratch(spark, "states")
     return usage.run_now(usage.latest_states(usage.events_stream(spark, sf)), f"{at}/table", f"{at}/checkpoint", "update", ["user_id"])
+
+
+@query("T04 T03", """with e as (select user_id, event_id, event_type, epoch_us(ts) as us from events), p as (select *, lag(us) over w as before, lag(event_type) over w as type_before from e window w as (partition by user_id order by us, event_id)),
+    s as (select *, sum(case when before is null or us - before > 21600000000 or type_before = 'purchase' then 1 else 0 end) over (partition by user_id order by us, event_id) as segment from p),
+    n as (select *, (row_number() over (partition by user_id, segment order by us, event_id) - 1) // 5 as chunk from s),
+    jobs as (select user_id as queue, min(us) as started, max(us) as last_run, cast(count(*) as integer) as process_runs, cast(count(*) filter (where event_type = 'error') as integer) as failures, bool_or(event_type = 'purchase') as done from n group by user_id, segment, chunk)
+    select *, case when done then 'done' when process_runs = 5 then 'given up' else 'idle' end as ended from jobs where done or process_runs = 5 or last_run + 21600000000 < (select (max(us) // 1000 - 3600000) * 1000 from e)""")
+def stream_queue_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs of each user's queue, as a stream with state and timers ends them; what is open still isn't there."""
+    at = scratch(spark, "queue")
+    return queues.append_now(queues.runs(usage.events_stream(spark, sf), "user_id", "event_type = 'purchase'", "event_type = 'error'"), f"{at}/table", f"{at}/checkpoint")

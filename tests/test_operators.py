@@ -14,7 +14,7 @@ from podium.functions.similarity import winkler
 from podium.operators import changes, ranking, relational, resolve
 from podium.operators.components import connected_components
 from podium.sources import files, html
-from podium.streaming import usage
+from podium.streaming import queues, usage
 
 
 def one(spark, column):
@@ -281,3 +281,59 @@ def test_the_index_compares_few_names(spark, monkeypatch):
         bags = df.select(resolve.bag(F.col("name")).alias("bag")).distinct()
         compared[size] = resolve.similar_bags(bags, [], 0.95).count()
     assert compared[1600] < 6 * compared[400] < 6 * 2 * 400
+
+
+QUEUED = "event_id long, user_id long, event_type string, ts timestamp"
+
+
+def queue_files(spark, folder):
+    """Five files of events in the order of time; an hour between events of a queue, a day between some."""
+    r = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    events = sorted((start + datetime.timedelta(hours=r.randint(0, 200), seconds=k), r.randrange(6), r.choice(["purchase", "error", "view", "error"])) for k in range(400))
+    rows = [(k, user, kind, at) for k, (at, user, kind) in enumerate(events)]
+    for k in range(5):
+        spark.createDataFrame(rows[k * 80 : k * 80 + 80], QUEUED).coalesce(1).write.parquet(f"{folder}/{k}")
+    return rows
+
+
+def plain_jobs(rows, open_after):
+    jobs, out = {}, []
+    for _, user, kind, at in rows:
+        job = jobs.get(user)
+        if job and at - job[1] > queues.IDLE:
+            out.append((user, job[2], job[3], False, "idle"))
+            job = None
+        started, _, runs, failures = job or (at, at, 0, 0)
+        job = (started, at, runs + 1, failures + (kind == "error"))
+        if kind == "purchase" or job[2] >= queues.MOST_RUNS:
+            out.append((user, job[2], job[3], kind == "purchase", "done" if kind == "purchase" else "given up"))
+            job = None
+        jobs[user] = job
+    out += [(user, job[2], job[3], False, "idle") for user, job in jobs.items() if job and job[1] + queues.IDLE < open_after]
+    return sorted(out)
+
+
+def test_a_queue_that_is_killed_processes_nothing_twice(spark, tmp_path):
+    rows = queue_files(spark, tmp_path / "in")
+    stream = spark.readStream.schema(QUEUED).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    ended = queues.runs(stream, "user_id", "event_type = 'purchase'", "event_type = 'error'")
+    want = plain_jobs(rows, rows[-1][3] - datetime.timedelta(hours=1))
+
+    def jobs_of(df):
+        return sorted((r.queue, r.process_runs, r.failures, r.done, r.ended) for r in df.collect())
+
+    assert jobs_of(queues.append_now(ended, str(tmp_path / "whole"), str(tmp_path / "whole-state"))) == want
+    # killed in the middle of the third batch, after its files are written
+    before = spark.conf.get(queues.PROVIDER)
+    spark.conf.set(queues.PROVIDER, queues.ROCKS)
+
+    def dying(batch, number):
+        batch.write.mode("overwrite").parquet(str(tmp_path / "killed" / f"batch={number}"))
+        if number == 2:
+            raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        ended.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "killed-state")).trigger(availableNow=True).foreachBatch(dying).start().awaitTermination()
+    spark.conf.set(queues.PROVIDER, before)
+    assert jobs_of(queues.append_now(ended, str(tmp_path / "killed"), str(tmp_path / "killed-state"))) == want
