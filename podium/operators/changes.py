@@ -5,7 +5,6 @@ A change is (step, operation, table, id, column, value). Nothing is written in p
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -99,13 +98,3 @@ def applied(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     joined = stored.join(pivot, key, "left")
     kinds = {f.name: f.dataType for f in stored.schema}
     return joined.select(*(F.coalesce(F.try_element_at("__new", F.lit(c)).cast(kinds[c]), F.col(c)).alias(c) if c != key else F.col(c) for c in stored.columns))
-
-
-def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame, str], DataFrame], most: int = 50) -> DataFrame:
-    """step, again and again, until no row changes; keep(df, name) cuts each round's lineage. More than `most` rounds are an error."""
-    for _ in range(most):
-        after = keep(step(df), "round")
-        if after.exceptAll(df).isEmpty():
-            return after
-        df = after
-    raise RuntimeError(f"not stable after {most} rounds")

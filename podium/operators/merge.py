@@ -11,6 +11,7 @@ and nothing of that root is merged unless it is forced. A relay that would have
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,3 +97,41 @@ def merge_swimmers(pairs: DataFrame, badges: DataFrame, results: DataFrame, laps
     swimmers = roots.select(*change(6, "swimmers", F.lit("DELETE"), "source"))
     changes = of_twins.unionByName(of_moved).unionByName(result_changes).unionByName(leg_changes).unionByName(badge_changes).unionByName(swimmers)
     return Merge(roots, conflicts, held, changes)
+
+
+@dataclass(frozen=True)
+class Branch:
+    """A level of a tree of tables: its rows' parent column, what tells rows of one parent apart, and whole numbers that a merged row takes over."""
+
+    name: str
+    parent: str
+    natural: tuple[str, ...]
+    values: tuple[str, ...] = ()
+
+
+def merge_trees(roots: DataFrame, branches: list[Branch], tables: dict[str, DataFrame], steps: Steps) -> DataFrame:
+    """(step, table, operation, id, column, value): the changes by which each source of roots (source, root) becomes its root, level by level from the top.
+
+    A row under a source goes under the root. If the root has a row of the same natural key there (the least, if it has several), the two are one: the row is deleted, its children go
+    on to that row, and its values win where they are above 0 (of several rows the one of the largest id). Else it moves with all below it. Deletes come after all levels, the lowest first.
+    """
+    to = roots.select(F.col("source").alias("__id"), F.col("root").alias("__to"))
+    out, merged = [], []
+    for step, b in enumerate(branches, 1):
+        parent = F.col(b.parent)
+        rows = tables[b.name].join(to, parent == F.col("__id"), "left").withColumn("__new", F.coalesce("__to", b.parent)).drop("__id", "__to")
+        stays = rows.where(F.col("__new") == parent).groupBy(F.col(b.parent).alias("__new"), *b.natural).agg(F.min("id").alias("__twin"))
+        moved = steps.keep(rows.where(F.col("__new") != parent).join(stays, ["__new", *b.natural], "left"), f"moved-{b.name}")
+        change = lambda df, operation, key, column, value, step=step, b=b: df.select(F.lit(step).alias("step"), F.lit(b.name).alias("table"), F.lit(operation).alias("operation"), F.col(key).alias("id"), F.lit(column).cast("string").alias("column"), value.cast("long").alias("value"))
+        out.append(change(moved.where("__twin is null"), "UPDATE", "id", b.parent, F.col("__new")))
+        twins = moved.where("__twin is not null")
+        for value in b.values:
+            won = twins.where(F.col(value) > 0).groupBy("__twin").agg(F.max_by(value, "id").alias("__won"))
+            held = tables[b.name].select(F.col("id").alias("__twin"), F.col(value).alias("__held"))
+            out.append(change(won.join(held, "__twin").where(~F.col("__won").eqNullSafe(F.col("__held"))), "UPDATE", "__twin", value, F.col("__won")))
+        merged.append((b.name, twins))
+        to = twins.select(F.col("id").alias("__id"), F.col("__twin").alias("__to"))
+    none = F.lit(None)
+    for k, (name, twins) in enumerate(reversed(merged), len(branches) + 1):
+        out.append(twins.select(F.lit(k).alias("step"), F.lit(name).alias("table"), F.lit("DELETE").alias("operation"), "id", none.cast("string").alias("column"), none.cast("long").alias("value")))
+    return reduce(DataFrame.unionByName, out)

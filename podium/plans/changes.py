@@ -9,8 +9,10 @@ from podium.functions.timing import format_timing
 from podium.operators import changes as ch
 from podium.operators import relational as rel
 from podium.operators.ranking import first_per
+from podium.operators import season
 from podium.plans import domain as d
 from podium.plans.registry import query
+from podium.sources.shared import Steps
 
 STORED = "select c_custkey as id, case when c_custkey % 5 > 0 then c_name end as name, case when c_custkey % 4 = 0 then null else c_mktsegment end as segment, c_nationkey as nation, c_custkey % 2 = 0 as active from customer where c_custkey % 3 > 0"
 INCOMING = "select c_custkey as id, case when c_custkey % 7 = 0 then ' ' else c_name end as name, case when c_custkey % 2 = 0 then 'SPORT' else c_mktsegment end as segment, case when c_custkey % 6 = 0 then 0 else c_nationkey end as nation, c_custkey % 5 = 0 as active from customer"
@@ -295,15 +297,32 @@ def chosen_candidate(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("swimmer_id", "mir_id", F.round(weight * 1000).cast("long").alias("weight"))
 
 
-@query("U19 G15 G16", """with recursive step(id, m, n) as (select s_suppkey, s_suppkey, 0 from supplier union all select id, case when m % 3 = 0 and m > 3 then m // 3 else m end, n + 1 from step where n < 20) select id, m as merged_into from step where n = 20""")
-def season_fix(spark: SparkSession, sf: str) -> DataFrame:
-    from podium.sources.shared import kept
+def _season_fix_sql(rounds: int = 12) -> str:
+    parts = ["b as materialized (select season, swimmer_id, team_id, count(*) as n from results group by all)", "alias_0 as materialized (select distinct season, team_id, team_id as root from b)"]
+    for k in range(rounds):
+        parts += [
+            f"g_{k} as materialized (select season, swimmer_id, root, sum(n) as n from b join alias_{k} using (season, team_id) group by all)",
+            f"e_{k} as materialized (select distinct season, min(root) as x, max(root) as y from g_{k} group by season, swimmer_id having count(*) = 2 and min(n) <= 1 and min(root) % {CLUBS} = max(root) % {CLUBS})",
+            f"s_{k} as (select season, x, y from e_{k} union select season, y, x from e_{k})",
+            f"w_{k}(season, x, y) as (select season, x, y from s_{k} union select w.season, w.x, s.y from w_{k} w join s_{k} s on s.season = w.season and s.x = w.y)",
+            f"r_{k} as (select season, x as root, least(x, min(y)) as next from w_{k} group by season, x)",
+            f"alias_{k + 1} as materialized (select a.season, team_id, coalesce(next, a.root) as root from alias_{k} a left join r_{k} using (season, root))",
+        ]
+    return d.sql("results", ", " + ", ".join(parts) + f""" select season, swimmer_id, team_id, survivor from (select *, first_value(team_id) over (partition by season, swimmer_id, root order by n desc, team_id) as survivor from b join alias_{rounds} using (season, team_id)) where team_id <> survivor""")
+
 
-    def step(df: DataFrame) -> DataFrame:
-        at = F.col("merged_into")
-        return df.select("id", F.when((at % 3 == 0) & (at > 3), F.expr("merged_into div 3")).otherwise(at).alias("merged_into"))
+#: Teams are of so many clubs, by the remainder of their id.
+CLUBS = 5
 
-    return ch.until_stable(d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("merged_into")), step, kept)
+
+@query("U19 U11 U23 G15 G16", _season_fix_sql())
+def season_fix(spark: SparkSession, sf: str) -> DataFrame:
+    """Badges that go in each season, once check and merge have come to an end."""
+    b = d.results(spark, sf).groupBy("season", "swimmer_id", "team_id").agg(F.count("*").alias("n"))
+    steps = Steps(spark, "season-fix")
+    b = steps.keep(b, "counted")
+    teams, _ = season.joined_teams(b, CLUBS, steps)
+    return season.badge_merges(b, teams)
 
 
 ENTITIES = {

@@ -223,3 +223,19 @@ def test_numbers_are_dense(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v")).repartition(8)
     got = {r.v: r.n for r in numbered(df, ["v"], "n", start=10).collect()}
     assert got == {v: v + 11 for v in range(1000)}
+
+
+def test_trees_are_merged_level_by_level(spark):
+    branches = [merge.Branch("session", "meeting_id", ("day",)), merge.Branch("event", "session_id", ("kind",)), merge.Branch("result", "event_id", ("swimmer",), ("time",))]
+    tables = {
+        "session": spark.createDataFrame([(10, 1, "mon"), (20, 2, "mon"), (21, 2, "tue"), (30, 3, "mon")], "id long, meeting_id long, day string"),
+        "event": spark.createDataFrame([(100, 10, "a"), (200, 20, "a"), (201, 20, "b"), (202, 21, "a"), (300, 30, "a")], "id long, session_id long, kind string"),
+        "result": spark.createDataFrame([(1, 100, "x", 50), (2, 200, "x", 51), (3, 200, "y", 60), (4, 201, "x", 70), (5, 202, "x", 80), (6, 300, "x", 0), (7, 300, "z", 9)], "id long, event_id long, swimmer string, time long"),
+    }
+    roots = merge.closure(spark.createDataFrame([(3, 2), (2, 1)], "source long, target long"), Steps(spark, "t"))
+    got = {tuple(r)[1:] for r in merge.merge_trees(roots, branches, tables, Steps(spark, "t")).collect()}
+    assert got == {
+        ("session", "DELETE", 20, None, None), ("session", "DELETE", 30, None, None), ("session", "UPDATE", 21, "meeting_id", 1),
+        ("event", "DELETE", 200, None, None), ("event", "DELETE", 300, None, None), ("event", "UPDATE", 201, "session_id", 10),
+        ("result", "DELETE", 2, None, None), ("result", "DELETE", 6, None, None), ("result", "UPDATE", 3, "event_id", 100), ("result", "UPDATE", 7, "event_id", 100), ("result", "UPDATE", 1, "time", 51),
+    }
