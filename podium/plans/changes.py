@@ -148,7 +148,7 @@ def recomputed_categories(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(ages), "age", "left").select("mir_id", F.col("code").alias("category"))
 
 
-@query("U20 G05 G13", d.sql("results", """select mir_id, 'T' || cast(case when team_id = 3 then 4 else team_id end as varchar) || '/' || event as staging_key from results"""))
+@query("U20", d.sql("results", """select mir_id, 'T' || cast(case when team_id = 3 then 4 else team_id end as varchar) || '/' || event as staging_key from results"""))
 def cascaded_edit(spark: SparkSession, sf: str) -> DataFrame:
     edits = spark.createDataFrame([(3, 4)], "team_id long, new_id long")
     r = d.results(spark, sf).join(F.broadcast(edits), "team_id", "left")
@@ -221,7 +221,7 @@ def relay_report(spark: SparkSession, sf: str) -> DataFrame:
     return g.where("legs > 1").select("relay_id", F.array_join(F.transform("x", lambda v: v.cast("string")), ">").alias("swimmers"), "legs")
 
 
-@query("E17 G06 G07 G08", """select s_suppkey, coalesce(n_nationkey, -1) as city_id, n_nationkey is null as new_city from supplier left join (select * from nation where n_regionkey <> 2) on n_nationkey = s_nationkey""")
+@query("E17", """select s_suppkey, coalesce(n_nationkey, -1) as city_id, n_nationkey is null as new_city from supplier left join (select * from nation where n_regionkey <> 2) on n_nationkey = s_nationkey""")
 def find_or_prepare(spark: SparkSession, sf: str) -> DataFrame:
     cities = d.table(spark, sf, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_nationkey"))
     joined = d.table(spark, sf, "supplier").join(cities, "s_nationkey", "left")
@@ -288,7 +288,7 @@ def lap_upserts(spark: SparkSession, sf: str) -> DataFrame:
     return laps.join(stored, ["mir_id", "length"], "left").select("mir_id", "length", F.when(F.col("stored"), "UPDATE").otherwise("INSERT").alias("operation"))
 
 
-@query("E08 L08 E07", d.sql("results", """select swimmer_id, mir_id, weight from (select swimmer_id, mir_id, cast(least(1, greatest(0, (mir_id % 100) / 100.0 + case when team_id % 5 = 0 then 0.05 else -0.05 end)) * 1000 as bigint) as weight,
+@query("E08 L08", d.sql("results", """select swimmer_id, mir_id, weight from (select swimmer_id, mir_id, cast(least(1, greatest(0, (mir_id % 100) / 100.0 + case when team_id % 5 = 0 then 0.05 else -0.05 end)) * 1000 as bigint) as weight,
     row_number() over (partition by swimmer_id order by (team_id % 5 = 0) desc, (pool = 1) desc, mir_id % 100 desc, mir_id) as n from results) where n = 1"""))
 def chosen_candidate(spark: SparkSession, sf: str) -> DataFrame:
     r, team = d.results(spark, sf), F.col("team_id") % 5 == 0

@@ -79,7 +79,7 @@ LAYOUTS = [
 ]
 
 
-@query("R01 R02 R03 R04 R05 R06 R09 G09 X02", d.sql("results", PAGE_SQL + """, t as (select *, cast(hundredths // 6000 as varchar) || '''' || lpad(cast(hundredths // 100 % 60 as varchar), 2, '0') || '"' || lpad(cast(hundredths % 100 as varchar), 2, '0') as timing, meeting_id % 2 = 0 as placed from p)
+@query("R01 R02 R09 X02", d.sql("results", PAGE_SQL + """, t as (select *, cast(hundredths // 6000 as varchar) || '''' || lpad(cast(hundredths // 100 % 60 as varchar), 2, '0') || '"' || lpad(cast(hundredths % 100 as varchar), 2, '0') as timing, meeting_id % 2 = 0 as placed from p)
     select meeting_id, event, pool, case when placed then 'placed' else 'plain' end as layout, case when placed then cast(place as varchar) end as place, cast(swimmer_id as varchar) as swimmer, timing from t"""))
 def layout_results(spark: SparkSession, sf: str) -> DataFrame:
     from podium.functions.timing import format_timing

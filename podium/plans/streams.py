@@ -14,7 +14,7 @@ from podium.streaming import queues, usage
 @query("T05", d.sql("usage_log", "select cast(day as varchar) as day, route, count from usage_log"))
 def stream_daily_usage(spark: SparkSession, sf: str) -> DataFrame:
     at = scratch(spark, "usage")
-    left = usage.run_now(usage.daily_usage(usage.events_stream(spark, sf)), f"{at}/table", f"{at}/checkpoint")
+    left = usage.run_now(usage.daily_usage(usage.events_stream(spark, sf)), f"{at}/table", f"{at}/checkpoint", "update", ["day", "route"])
     return left.select(F.col("day").cast("string").alias("day"), "route", "count")
 
 

@@ -28,20 +28,22 @@ def latest_states(events: DataFrame) -> DataFrame:
 def run_now(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete", key: list[str] | None = None) -> DataFrame:
     """Runs the stream over all that is there, and returns the table it leaves.
 
-    Complete results replace the table; updates are merged into it by key, the newer row wins. Each batch is written to
+    Complete results replace the table; of updates each batch writes what it has changed, and the newest row of a key counts. Each batch is written to
     a path of its own, so that a batch that is run again after a failure replaces only itself.
     """
     spark = stream.sparkSession
 
     def land(batch: DataFrame, number: int) -> None:
-        if mode == "update" and number:
-            old = spark.read.schema(batch.schema).parquet(f"{table}/batch={number - 1}")
-            batch = old.join(batch.select(*key), key, "left_anti").unionByName(batch)
         batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(land).start().awaitTermination()
     last = last_batch(spark, table)
-    return spark.read.parquet(f"{table}/batch={last}") if last is not None else spark.createDataFrame([], stream.schema)
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
+    if mode != "update":
+        return spark.read.parquet(f"{table}/batch={last}")
+    newest = spark.read.parquet(table).groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+    return newest.select("row.*")
 
 
 def last_batch(spark: SparkSession, table: str) -> int | None:
