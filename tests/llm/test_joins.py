@@ -192,6 +192,26 @@ def test_every_accepted_copy_of_a_short_item_is_found(size):
             assert bool(decontaminate.overlaps(h, np.array([len(h)]), seeds)) == accepted, places
 
 
+@pytest.mark.parametrize(("quoted", "changed", "least"), [(15, 3, 0.85), (20, 4, 0.9), (25, 5, 0.95), (40, 8, 0.99), (40, 0, 1.0)])
+def test_recall_of_long_items(quoted, changed, least):
+    """Of an item of forty tokens a part is quoted, with substitutions anywhere in it: the share of accepted copies that the seeds find."""
+    item = [f"w{k}" for k in range(40)]
+    seeds, hashes, r = seeds_of_texts((1, " ".join(item))), WordHashes(), random.Random(quoted)
+    found = accepted = 0
+    for _ in range(1000):
+        at, places = r.randint(0, 40 - quoted), set(r.sample(range(quoted), changed))
+        words = ["zzz" if k in places else w for k, w in enumerate(item[at : at + quoted])]
+        same = np.array([k not in places for k in range(quoted)])
+        a, b = decontaminate.best_stretch(same)
+        matches = int(same[a:b].sum())
+        if matches >= 12 and 5 * matches >= 4 * (b - a):
+            accepted += 1
+            h = hashes([w.encode() for w in ["before", *words, "after"]])
+            found += bool(decontaminate.overlaps(h, np.array([len(h)]), seeds))
+    assert accepted > 100
+    assert found >= least * accepted, (found, accepted)
+
+
 def test_items_of_a_few_tokens_match_whole(monkeypatch):
     monkeypatch.setattr(decontaminate, "PIECE_TOKENS", 6)
     seeds = seeds_of_texts((7, "Two words"), (8, "a b c d e"), (9, ""), (10, None), (11, "one"))
