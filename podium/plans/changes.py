@@ -133,11 +133,17 @@ def team_in_meeting(spark: SparkSession, sf: str) -> DataFrame:
     return moved.select("mir_id", "club", "changed", (nth > 1).alias("doomed"))
 
 
-@query("U17", d.sql("age_bands", """select 2002 as season, code, age_begin, age_end from age_bands where code not in ('M25', 'M40', 'M95')"""))
+@query("U17", d.sql("results", """, own as (select distinct season, 'M' || cast((season - 1940 - swimmer_id % 65) // 5 * 5 as varchar) as code, (season - 1940 - swimmer_id % 65) // 5 * 5 as age_begin from results where season - 1940 - swimmer_id % 65 >= 25)
+    select cast(o.season + 1 as integer) as season, o.code, cast(o.age_begin as integer) as age_begin, cast(o.age_begin + 4 as integer) as age_end from own o where o.season < (select max(season) from results) and not exists (select 1 from own n where n.season = o.season + 1 and n.code = o.code)"""))
 def category_clone(spark: SparkSession, sf: str) -> DataFrame:
-    source = d.bands(spark, d.AGE_BANDS)
-    there = spark.createDataFrame([("M25",), ("M40",), ("M95",)], "code string")
-    return source.join(F.broadcast(there), "code", "left_anti").select(F.lit(2002).alias("season"), "code", "age_begin", "age_end")
+    """Categories that each season lacks and the one before it has, as rows to insert."""
+    r = d.results(spark, sf)
+    age = F.expr("(season - 1940 - swimmer_id % 65) div 5 * 5").cast("int")
+    own = r.where("season - 1940 - swimmer_id % 65 >= 25").select("season", age.alias("age_begin")).distinct()
+    last = F.broadcast(r.agg(F.max("season").alias("last")))
+    next_season = own.select((F.col("season") + 1).cast("int").alias("season"), "age_begin").join(last, F.col("season") <= F.col("last")).drop("last")
+    missing = next_season.join(own, ["season", "age_begin"], "left_anti")
+    return missing.select("season", F.concat(F.lit("M"), F.col("age_begin").cast("string")).alias("code"), "age_begin", (F.col("age_begin") + 4).alias("age_end"))
 
 
 @query("U18 J14 Q12", d.sql("swimmers results age_bands", """, year as (select r.mir_id, coalesce(s.year_of_birth, 1900) as yob, r.season from results r left join (select * from swimmers where swimmer_id % 4 > 0) s using (swimmer_id))
