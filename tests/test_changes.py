@@ -78,28 +78,36 @@ def test_a_commit_fills_five_levels(spark, store):
     assert rows_of(store.read("result", 1)) == [(None, 50, 1, 7, 100, False)]
 
 
-@pytest.mark.parametrize(
-    ("name", "row", "reason"),
-    [
-        ("result", ("r9", None, None, "nowhere", None, "red", 1, True), "session_id not found: nowhere"),
-        ("result", ("r9", 777, None, "s1", None, "red", 1, True), "id 777 is not stored"),
-        ("result", ("r9", None, None, "s1", None, "blue", 1, True), "team without affiliation"),
-        ("result", ("r9", None, None, None, None, "red", 1, True), "session_id is missing"),
-        ("affiliation", ("red", 3, None, "red", 1999), "id 3 has other links"),
-        ("meeting", ("m9", None, "  "), "name is missing"),
-        ("meeting", (None, None, "x"), "no key"),
-    ],
-)
-def test_a_fault_leaves_nothing(spark, store, name, row, reason):
+FAULTY = [
+    ("result", ("r5", None, None, "nowhere", None, "red", 1, True), "session_id not found: nowhere"),
+    ("result", ("r6", 777, None, "s1", None, "red", 1, True), "id 777 is not stored"),
+    ("result", ("r7", None, None, "s1", None, "blue", 1, True), "team without affiliation"),
+    ("result", ("r8", None, None, None, None, "red", 1, True), "session_id is missing"),
+    ("affiliation", ("red too", 3, None, "red", 1999), "id 3 has other links"),
+    ("meeting", ("m9", None, "  "), "name is missing"),
+    ("meeting", (None, None, "x"), "no key"),
+]
+
+
+def test_faults_leave_nothing(spark, store):
     rows = staged(spark)
-    rows[name] = rows[name].unionByName(spark.createDataFrame([row], STAGED[name]))
+    for name, row, _ in FAULTY:
+        rows[name] = rows[name].unionByName(spark.createDataFrame([row], STAGED[name]))
     before = {k: rows_of(store.read(k)) for k in STORED}
-    with pytest.raises(commit.Refused, match=reason):
+    with pytest.raises(commit.Refused, match="7 faults") as refused:
         commit.commit(ENTITIES, rows, store)
+    assert {tuple(r) for r in refused.value.faults.collect()} == {(name, row[0], reason) for name, row, reason in FAULTY}
     assert store.version() == 1
     assert {k: rows_of(store.read(k)) for k in STORED} == before
 
 
+def test_a_fault_in_the_last_table_leaves_nothing(spark, store):
+    rows = staged(spark, result=[("r1", None, None, "s1", None, "red", 0, False), FAULTY[2][1]])
+    with pytest.raises(commit.Refused, match="result r7: team without affiliation"):
+        commit.commit(ENTITIES, rows, store)
+    assert (store.version(), store.read("meeting").first().name) == (1, "old")
+
+
 def test_a_slower_writer_is_refused(spark, store):
     base = store.version()
     store.publish({"team": store.read("team")}, base)
