@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules whose queries are registered.
-MODULES = ("relational", "aggregates", "windows", "scalars", "documents", "changes", "resolution", "extraction", "streams", "commits", "merges", "nested", "sections")
+MODULES = ("relational", "aggregates", "windows", "scalars", "documents", "changes", "resolution", "extraction", "streams", "commits", "merges", "nested", "sections", "headers")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

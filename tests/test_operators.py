@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from podium.functions import dates, events, names, timing
+from podium.functions import dates, events, headers, names, timing
 from podium.functions.layout import Context, Field, Layout, read_page
 from podium.functions.similarity import winkler
 from podium.operators import changes, ranking, relational, resolve
@@ -337,3 +337,25 @@ def test_a_queue_that_is_killed_processes_nothing_twice(spark, tmp_path):
         ended.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "killed-state")).trigger(availableNow=True).foreachBatch(dying).start().awaitTermination()
     spark.conf.set(queues.PROVIDER, before)
     assert jobs_of(queues.append_now(ended, str(tmp_path / "killed"), str(tmp_path / "killed-state"))) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("Femminile 50 SL", "F"), ("  maschi", "M"), ("F - 100 DO", "F"), ("Misti 4x50", "X"), ("MIX", "X"), ("Master 80F", "F"), ("M95M", "M"), ("Master 120X", None), ("50 SL", None), ("", None), (None, None)])
+def test_genders_of_headings(spark, text, want):
+    assert one(spark, headers.header_gender(F.lit(text).cast("string"))) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("DE LUCA ANNA MARIA PIA", ("DE LUCA ANNA", "MARIA PIA")), ("ROSSI DE PAOLA", ("ROSSI DE", "PAOLA")), ("DELLA TORRE CARLO", ("DELLA TORRE", "CARLO")), ("ROSSI ANNA", ("ROSSI", "ANNA")), (" ROSSI ", ("ROSSI", "")), ("", ("", "")), (None, ("", ""))],
+)
+def test_crawled_names(spark, text, want):
+    got = one(spark, headers.crawled_name(F.lit(text).cast("string")))
+    assert (got.last_name, got.first_name) == want
+
+
+def test_places_of_files_and_ages(spark):
+    assert tuple(one(spark, headers.place_and_dates(F.lit("https://x.org/a/C1_2024_3_5-16_Roma_web.pdf")))) == ("Roma", "2024-03-05,2024-03-16")
+    for other in ("https://x.org/C1_2024_3_5_Roma_web.pdf", "notes.pdf", "", None):
+        assert tuple(one(spark, headers.place_and_dates(F.lit(other).cast("string")))) == (None, None)
+    ages = [one(spark, headers.category_age(F.lit(1980), F.lit(x).cast("date"))) for x in ("2024-08-31", "2024-09-01", None)]
+    assert ages == [44, 45, None]
