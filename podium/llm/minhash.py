@@ -7,8 +7,8 @@ r"""Near copies by one-permutation hashing, banded buckets and stars, confirmed
     bins of linked sets agree as often as the sets do, for small sets too.
 3.  A band is ROWS bins; a hash of its values is a bucket. Of two sets of Jaccard similarity 0.85, the expected share of
     pairs that agree in no band is (1 - 0.85 ** 8) ** 64 = 1.4e-9.
-4.  A bucket's sets are joined to one of them by a star, first inside a chunk of representatives, of which one goes on for all that the
-    chunk has joined, then over all chunks. Candidate pairs are at most as many as representatives times bands, however large a bucket is.
+4.  A bucket's sets are joined to one of them by a star, first inside a chunk of representatives, of which the bucket's smallest goes on
+    for the bucket, then over all chunks. Candidate pairs are at most as many as representatives times bands, however large a bucket is.
 5.  Each pair of a star is confirmed by the whole sets; large stars are dealt to blocks that all have the centre.
 6.  Where a bucket's sets are of more than one component after that, pairs of its sets were not compared, as neither is the centre. What is
     outside the bucket's largest component is searched against all of it, in blocks, exactly. So no pair that shares a bucket is lost.
@@ -97,7 +97,9 @@ def sketched(documents: DataFrame, n: int, percent: int, id_column: str, text: s
 
 
 def chunked(representatives: DataFrame) -> DataFrame:
-    """(node, signature, center): what a chunk's buckets join, as stars (signature is null); and the buckets that go on, each with one node of the chunk (center is null)."""
+    """(node, signature, center): what a chunk's buckets join, as stars (signature is null); and the buckets that go on, each with its own smallest node of the chunk (center is null).
+
+    A bucket goes on with a node that is in it, so that two sets which share a bucket of their own are compared with each other, whatever chunks they are of."""
 
     def joined(nodes: np.ndarray, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
         signature, node = bands.ravel(), np.repeat(nodes, bands.shape[1])
@@ -110,14 +112,13 @@ def chunked(representatives: DataFrame) -> DataFrame:
         for a, b in pairs.tolist():
             a, b = union_root(parent, a), union_root(parent, b)
             parent[max(a, b)] = min(a, b)
-        roots = np.array([union_root(parent, x) for x in node[start].tolist()], np.int64)
         # a node whose root isn't in a star with it is joined to its root too
         own = np.array([(x, union_root(parent, x)) for x in parent], np.int64).reshape(-1, 2)
         edges = np.unique(np.concatenate([pairs, own[own[:, 0] != own[:, 1]]]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.nulls(len(edges), pa.int64()), pa.array(edges[:, 1])], names=["node", "signature", "center"])
         for k in range(0, len(start), 1 << 17):
-            mine = slice(k, k + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(roots[mine]), pa.array(signature[start][mine]), pa.nulls(len(roots[mine]), pa.int64())], names=["node", "signature", "center"])
+            mine = start[k : k + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(signature[mine]), pa.nulls(len(mine), pa.int64())], names=["node", "signature", "center"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, bands, held = [], [], 0

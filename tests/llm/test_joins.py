@@ -413,6 +413,33 @@ def test_a_large_bucket_makes_few_pairs(spark, monkeypatch):
     assert 299 <= pairs[0] < 20 * 300
 
 
+def test_a_bucket_goes_on_with_a_set_of_its_own(spark):
+    """1 and 2 share a bucket of their chunk; 3, of another chunk, shares one with 2 alone, and has to meet 2, not 1 in its place."""
+    bands = lambda *signatures: np.array(signatures, np.int64).tobytes()
+    chunk = lambda *own: spark.createDataFrame(own, "node long, bands binary").coalesce(1)
+    both = chunk((1, bands(7, 11)), (2, bands(7, 20))).unionByName(chunk((3, bands(9, 20))))
+    passed = minhash.chunked(both).collect()
+    assert {(r.node, r.center) for r in passed if r.center is not None} == {(2, 1)}
+    assert {(r.signature, r.node) for r in passed if r.center is None} == {(7, 1), (11, 1), (20, 2), (9, 3), (20, 3)}
+
+
+def test_dense_clusters_have_few_edges_in_the_rounds(spark):
+    from podium.operators import components
+    from podium.sources.shared import kept
+
+    sizes = []
+
+    def counting(df, name):
+        table = kept(df, name)
+        sizes.append((name, table.count()))
+        return table
+
+    edges = spark.createDataFrame([(a, b) for a in range(60) for b in range(60) if a != b] + [(100, 101)], "src long, dst long")
+    got = components.connected_components(edges, counting).collect()
+    assert {r.node: r.component for r in got} == {**dict.fromkeys(range(60), 0), 100: 100, 101: 100}
+    assert dict(sizes)["edges"] == 2 * 60
+
+
 def test_sql_of_near_copies(spark):
     from podium.llm import queries
     from tests import oracle
