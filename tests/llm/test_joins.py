@@ -416,11 +416,10 @@ def test_a_large_bucket_makes_few_pairs(spark, monkeypatch):
 def test_a_bucket_goes_on_with_a_set_of_its_own(spark):
     """1 and 2 share a bucket of their chunk; 3, of another chunk, shares one with 2 alone, and has to meet 2, not 1 in its place."""
     bands = lambda *signatures: np.array(signatures, np.int64).tobytes()
-    chunk = lambda *own: spark.createDataFrame(own, "node long, bands binary").coalesce(1)
-    both = chunk((1, bands(7, 11)), (2, bands(7, 20))).unionByName(chunk((3, bands(9, 20))))
-    passed = minhash.chunked(both).collect()
+    two = spark.sparkContext.parallelize([(1, bands(7, 11)), (2, bands(7, 20)), (3, bands(9, 20)), (4, bands(12, 13))], 2)
+    passed = minhash.chunked(spark.createDataFrame(two, "node long, bands binary")).collect()
     assert {(r.node, r.center) for r in passed if r.center is not None} == {(2, 1)}
-    assert {(r.signature, r.node) for r in passed if r.center is None} == {(7, 1), (11, 1), (20, 2), (9, 3), (20, 3)}
+    assert {(r.signature, r.node) for r in passed if r.center is None} == {(7, 1), (11, 1), (20, 2), (9, 3), (20, 3), (12, 4), (13, 4)}
 
 
 def test_dense_clusters_have_few_edges_in_the_rounds(spark):
