@@ -31,19 +31,20 @@ def ranks(results: DataFrame, program: list[str], untimed: str = "last") -> Data
 
 
 def lap_deltas(laps: DataFrame, key: str = "mir_id", at: str = "length") -> DataFrame:
-    """Each lap's own time: its cumulative time minus that of the lap before; the first is its own."""
-    return laps.withColumn("delta", F.col("cumulative") - F.lag("cumulative", 1, 0).over(Window.partitionBy(key).orderBy(at)))
+    """Each lap's own time: its cumulative time minus that of the lap before; the first is its own. Of laps at one place the smaller is the one before."""
+    return laps.withColumn("delta", F.col("cumulative") - F.lag("cumulative", 1, 0).over(Window.partitionBy(key).orderBy(at, "cumulative")))
 
 
 def running_totals(laps: DataFrame, key: str = "mir_id", at: str = "length") -> DataFrame:
-    return laps.withColumn("from_start", F.sum("delta").over(Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)))
+    """The sum of delta up to a lap's place, with all laps that are there."""
+    return laps.withColumn("from_start", F.sum("delta").over(Window.partitionBy(key).orderBy(at)))
 
 
 def completed_halves(laps: DataFrame, key: str = "mir_id", at: str = "length") -> DataFrame:
     """Where exactly one of delta and cumulative is present (above 0), the other is derived; else both stay as they are."""
     order = Window.partitionBy(key).orderBy(at)
-    before = F.coalesce(F.lag("cumulative").over(order), F.lit(0))
-    summed = F.sum(F.coalesce("delta", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.lag("cumulative").over(Window.partitionBy(key).orderBy(at, "cumulative", "delta")), F.lit(0))
+    summed = F.sum(F.coalesce("delta", F.lit(0))).over(order)  # laps at one place count together
     has_delta, has_total = F.coalesce(F.col("delta") > 0, F.lit(False)), F.coalesce(F.col("cumulative") > 0, F.lit(False))
     return laps.select(
         "*",
