@@ -1,11 +1,11 @@
-"""What shows only in large tables; keys that collide."""
+"""What shows only in large tables: keys that collide, documents of many keys."""
 
 import datetime
 
 import duckdb
 from pyspark.sql import functions as F
 
-from podium.operators import ranking
+from podium.operators import documents, ranking
 from podium.plans import registry
 from tests import oracle
 
@@ -27,3 +27,13 @@ def test_laps_at_one_place_count_together(spark):
     assert sorted(r.from_start for r in ranking.running_totals(laps).collect()) == [15, 15, 22]
     holes = laps.withColumn("cumulative", F.lit(0))
     assert sorted(r.full_cumulative for r in ranking.completed_halves(holes).collect()) == [15, 15, 22]
+
+
+def test_a_document_of_many_keys_has_small_maps(spark):
+    rows = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda k: F.struct(k.cast("string").alias("a_key")))
+    docs = spark.range(2).select(F.col("id").alias("document"), rows.alias("rows"))
+    keys = spark.range(1, 1500).select(F.col("id").cast("string").alias("old"), (-F.col("id")).cast("string").alias("new"))
+    found = documents.with_found(docs, "document", ["rows"], lambda name: name.endswith("key"), keys, "old", "new")
+    assert max(r.n for r in found.select(F.array_max(F.transform("__found", F.size)).alias("n")).collect()) < 40
+    got = documents.renamed(docs, "document", ["rows"], keys).select(F.col("rows.a_key").alias("k")).collect()
+    assert all(r.k == [str(-k) if k < 1500 else str(k) for k in range(1, 2001)] for r in got)
