@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import dates, events, headers, names, timing
 from podium.functions.layout import Context, Field, Layout, read_page
-from podium.functions.similarity import winkler
+from podium.functions.similarity import Texts, winkler
 from podium.operators import changes, ranking, relational, resolve
 from podium.operators.components import connected_components
 from podium.sources import files, html
@@ -283,6 +283,49 @@ def test_the_index_compares_few_names(spark, monkeypatch):
     assert compared[1600] < 6 * compared[400] < 6 * 2 * 400
 
 
+@pytest.mark.parametrize(("least", "top", "smaller"), [(0.8, None, False), (0.8, None, True), (0.0, 2, False), (0.7, 1, False)])
+def test_rows_in_tiles_are_those_of_all_pairs(spark, monkeypatch, least, top, smaller):
+    """Tiles of few rows, names with more copies than a tile has rows, an empty name and a null."""
+    monkeypatch.setattr(resolve, "JOINED", 0)
+    monkeypatch.setattr(resolve, "TILE", 4)
+    r = random.Random(8)
+    names = ["".join(r.choice("abc ") for _ in range(r.randint(1, 8))) for _ in range(30)] + ["common"] * 11 + ["", "x" * 70, "x" * 69 + "y", None]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string").withColumn("b", F.col("id") % 2)
+    got = resolve.candidates(df, df, ["b"], least, top=top, smaller=smaller)
+    want = set()
+    for i, a in enumerate(names):
+        found = sorted((-winkler([a], [b])[0], j) for j, b in enumerate(names) if a is not None and b is not None and i % 2 == j % 2 and (i < j if smaller else i != j) and winkler([a], [b])[0] >= least)
+        want |= {(i, j, -w) for w, j in found[:top]}
+    assert {(x.query_id, x.row_id, x.weight) for x in got.collect()} == want
+    tiles = resolve.block_sizes(df.where("name is not null"), df.where("name is not null"), ["b"])[3]
+    assert tiles >= 25  # no row of the search holds a block
+
+
+def test_two_names_of_a_row_count_as_one(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "JOINED", 0)
+    df = spark.createDataFrame([(1, "ab", "nuoto"), (2, "nuoto", "cd"), (3, "zz", "yy")], "id long, name string, other string")
+    assert [(x.query_id, x.row_id, x.weight) for x in resolve.candidates(df, df, [], 0.9, ["name", "other"], smaller=True).collect()] == [(1, 2, 1.0)]
+
+
+def test_clusters_of_copies_need_no_pairs(spark, monkeypatch):
+    """A thousand rows of one name, a chain of similar names over several tiles, names apart, an empty one."""
+    monkeypatch.setattr(resolve, "TILE", 4)
+    chain = ["abcdefghij", "abcdefghiz", "abcdefghyz", "abcdefgxyz", "abcdefwxyz"]
+    rows = [(k, "common") for k in range(100, 1100)] + [(k, n) for k, n in enumerate(chain)] + [(50, "qqq"), (51, ""), (52, "")]
+    got = {x.node: x.component for x in resolve.clusters(spark.createDataFrame(rows, "id long, name string"), 0.93).collect()}
+    assert got == {**{k: 100 for k in range(100, 1100)}, **{k: 0 for k in range(5)}}
+
+
+def test_texts_at_once_are_as_similar_as_one_by_one():
+    r = random.Random(4)
+    for width in (3, 9, 20, 40, 70):
+        theirs, mine = (["".join(r.choice("abcé ") for _ in range(r.randint(0, width))) for _ in range(40)] for _ in range(2))
+        texts = Texts(theirs)
+        for text in sorted(mine):
+            weight, (at, found) = winkler([text] * 40, theirs), texts.similar(text, 0.6)
+            assert {k: w for k, w in enumerate(weight) if w >= 0.6} == dict(zip(at.tolist(), found.tolist(), strict=True))
+
+
 QUEUED = "event_id long, user_id long, event_type string, ts timestamp"
 
 
