@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from podium.functions.layout import Layout, read_page
 
+#: Rows that a task gives out at once, however many its pages have.
+AT_ONCE = 10_000
+
 
 def layout_rows(pages: DataFrame, layouts: list[Layout], keys: list[str], text: str = "text") -> DataFrame:
     """keys, layout, n, context, key and fields (a map) for each match of each page; pages are read on their own, in parallel."""
@@ -19,9 +22,14 @@ def layout_rows(pages: DataFrame, layouts: list[Layout], keys: list[str], text:
             out: list[tuple] = []
             for row in batch.itertuples(index=False):
                 name, found = read_page(row[-1] or "", layouts)
-                out += [(*row[:-1], name, n, context, key, {k: v for k, v in fields.items() if v is not None}) for n, (context, key, fields) in enumerate(found)]
-            yield pd.DataFrame(out, columns=[*keys, "layout", "n", "context", "key", "fields"])
-
+                for n, (context, key, fields) in enumerate(found):
+                    out.append((*row[:-1], name, n, context, key, {k: v for k, v in fields.items() if v is not None}))
+                    if len(out) == AT_ONCE:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    columns = [*keys, "layout", "n", "context", "key", "fields"]
     kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
     return pages.select(*keys, text).mapInPandas(run, f"{kinds}, layout string, n int, context string, key string, fields map<string,string>")
 

@@ -3,17 +3,19 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from podium.functions import dates, events, headers, names, timing
 from podium.functions.layout import Context, Field, Layout, read_page
 from podium.functions.similarity import Texts, winkler
 from podium.operators import changes, ranking, relational, resolve
 from podium.operators.components import connected_components
-from podium.sources import files, html
+from podium.sources import files, html, layouts
 from podium.streaming import queues, usage
 
 
@@ -326,6 +328,45 @@ def test_texts_at_once_are_as_similar_as_one_by_one():
             assert {k: w for k, w in enumerate(weight) if w >= 0.6} == dict(zip(at.tolist(), found.tolist(), strict=True))
 
 
+class Taken:
+    """Stands for a table of pages: keeps the function that mapInPandas gets."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+PAGE_ID = StructType([StructField("id", LongType())])
+
+
+def test_layout_rows_are_given_out_in_parts(monkeypatch):
+    """A task doesn't hold the rows of all of its pages."""
+    monkeypatch.setattr(layouts, "AT_ONCE", 10)
+    plain = Layout("plain", (Context("event", r"^EVENT ", (Field("event", r"EVENT (\w+)"),)), Context("result", r"^\d+ ", (Field("n", r"^(\d+)"),), repeat=True, parent="event")))
+    pages = pd.DataFrame([(k, "\n".join(["EVENT a", *(f"{n} x" for n in range(34))])) for k in range(3)], columns=["id", "text"])
+    parts = list(layouts.layout_rows(Taken(PAGE_ID), [plain], ["id"])(iter([pages])))
+    assert max(map(len, parts)) == 10
+    assert [tuple(x) for x in pd.concat(parts)[["id", "n"]].to_numpy()] == [(k, n) for k in range(3) for n in range(35)]
+
+
+def test_html_rows_are_given_out_in_parts(monkeypatch):
+    page = "<table><tr class=header><th>a &amp; b</th></tr>" + "".join(f"<tr class=result><td>{n}<td> x&lt;y z </td></tr><tr class=continued><td><b>b</b> c</td>" for n in range(35))
+    whole = list(html.results_of(page))
+    assert whole == [("a & b", [str(n), "x<y z", "b c"]) for n in range(35)]
+    monkeypatch.setattr(html, "AT_ONCE", 10)
+    parts = list(html.ranking_rows(Taken(PAGE_ID), "id")(iter([pd.DataFrame([(1, page), (2, None), (3, page)], columns=["id", "html"])])))
+    assert max(map(len, parts)) == 10
+    assert sum(map(len, parts)) == 70
+    for piece in (1, 2, 7, 30, 200):
+        monkeypatch.setattr(html, "PIECE", piece)
+        assert list(html.results_of(page)) == whole
+
+
 QUEUED = "event_id long, user_id long, event_type string, ts timestamp"
 
 
