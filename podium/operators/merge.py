@@ -119,18 +119,20 @@ def merge_trees(roots: DataFrame, branches: list[Branch], tables: dict[str, Data
     out, merged = [], []
     for step, b in enumerate(branches, 1):
         parent = F.col(b.parent)
-        rows = tables[b.name].join(to, parent == F.col("__id"), "left").withColumn("__new", F.coalesce("__to", b.parent)).drop("__id", "__to")
+        # rows below neither a source nor its root neither move nor have others come to them
+        heads = to.select(F.col("__to").alias("__id")).distinct().join(to, "__id", "left_anti").select("__id", F.col("__id").alias("__to"))
+        rows = tables[b.name].join(to.unionByName(heads), parent == F.col("__id")).withColumnRenamed("__to", "__new").drop("__id")
         stays = rows.where(F.col("__new") == parent).groupBy(F.col(b.parent).alias("__new"), *b.natural).agg(F.min("id").alias("__twin"))
         moved = steps.keep(rows.where(F.col("__new") != parent).join(stays, ["__new", *b.natural], "left"), f"moved-{b.name}")
         change = lambda df, operation, key, column, value, step=step, b=b: df.select(F.lit(step).alias("step"), F.lit(b.name).alias("table"), F.lit(operation).alias("operation"), F.col(key).alias("id"), F.lit(column).cast("string").alias("column"), value.cast("long").alias("value"))
         out.append(change(moved.where("__twin is null"), "UPDATE", "id", b.parent, F.col("__new")))
         twins = moved.where("__twin is not null")
         for value in b.values:
-            won = twins.where(F.col(value) > 0).groupBy("__twin").agg(F.max_by(value, "id").alias("__won"))
+            won = steps.keep(twins.where(F.col(value) > 0).groupBy("__twin").agg(F.max_by(value, "id").alias("__won")), f"won-{b.name}-{value}")
             held = tables[b.name].select(F.col("id").alias("__twin"), F.col(value).alias("__held"))
             out.append(change(won.join(held, "__twin").where(~F.col("__won").eqNullSafe(F.col("__held"))), "UPDATE", "__twin", value, F.col("__won")))
         merged.append((b.name, twins))
-        to = twins.select(F.col("id").alias("__id"), F.col("__twin").alias("__to"))
+        to = steps.keep(twins.select(F.col("id").alias("__id"), F.col("__twin").alias("__to")), f"twins-{b.name}")  # small if few are, and read as such
     none = F.lit(None)
     for k, (name, twins) in enumerate(reversed(merged), len(branches) + 1):
         out.append(twins.select(F.lit(k).alias("step"), F.lit(name).alias("table"), F.lit("DELETE").alias("operation"), "id", none.cast("string").alias("column"), none.cast("long").alias("value")))

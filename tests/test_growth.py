@@ -28,3 +28,10 @@ def test_swimmer_merges_write_only_rows_of_their_swimmers(spark):
     assert not {"own_laps", "own_legs", "own_results"} & set(names(steps))
     ids = steps.kept[names(steps).index("results-of-pairs")][0].select(F.col("swimmer_id") % 16).distinct().collect()
     assert {r[0] for r in ids} <= {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("build", [merges.tree_merge, merges.purge_tables])
+def test_placed_results_are_not_written_again(spark, build):
+    steps = Steps(spark, "test")
+    build(spark, SF, steps)
+    assert "placed" not in names(steps) and {"event-ids", "program-ids"} <= set(names(steps))
