@@ -35,3 +35,16 @@ def test_placed_results_are_not_written_again(spark, build):
     steps = Steps(spark, "test")
     build(spark, SF, steps)
     assert "placed" not in names(steps) and {"event-ids", "program-ids"} <= set(names(steps))
+
+
+def test_report_lines_are_made_in_one_pass(spark):
+    steps = Steps(spark, "test")
+    sections.report_rows(spark, SF, steps)
+    assert "lines" not in names(steps)
+    lines = sections.report_lines(merges.run(spark, sections.TIMED, {"results": d.results(spark, SF)}))
+    views = {"results": d.results(spark, SF)}
+    views["timed"] = merges.run(spark, sections.TIMED, views)
+    views["report"] = merges.run(spark, sections.REPORT, views)
+    told = merges.run(spark, sections.PAGED, views)
+    assert lines.count() == told.count() and lines.exceptAll(told).isEmpty()
+    assert optimized(lines).count("l_orderkey") < optimized(told).count("l_orderkey")
