@@ -55,7 +55,12 @@ def form_params(body: Column, root: str, allowed: list[str]) -> Column:
     pair = "^([^=\\[\\]]+)(?:\\[(\\d+)\\])?\\[([^=\\[\\]]+)\\]=(.*)$"
     part = lambda x, k: F.regexp_extract(x, pair, k)
     pairs = F.filter(F.split(F.coalesce(body, F.lit("")), "&"), lambda x: part(x, 1) == root)
-    found = F.transform(pairs, lambda x: F.struct(part(x, 2).try_cast("int").alias("index"), part(x, 3).alias("name"), F.try_url_decode(part(x, 4)).alias("value")))
+    once = F.transform(pairs, lambda x: F.struct(part(x, 2).try_cast("int").alias("index"), part(x, 3).alias("name"), F.try_url_decode(part(x, 4)).alias("value")))
+    # a variable of a lambda, so that the pairs are read once and not again for each index and name
+    return F.get(F.transform(F.array(once), lambda found: _form_fields(found, allowed)), F.lit(0))
+
+
+def _form_fields(found: Column, allowed: list[str]) -> Column:
     indices = F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: x["index"]), lambda i: i.isNotNull())))
 
     def last(own: Callable[[Column], Column]) -> Column:

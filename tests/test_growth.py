@@ -48,3 +48,9 @@ def test_report_lines_are_made_in_one_pass(spark):
     told = merges.run(spark, sections.PAGED, views)
     assert lines.count() == told.count() and lines.exceptAll(told).isEmpty()
     assert optimized(lines).count("l_orderkey") < optimized(told).count("l_orderkey")
+
+
+def test_form_pairs_are_read_once(spark):
+    df = spark.createDataFrame([("pool[2][name]=a&pool[name]=b&pool[1][x]=c",)], "form string").select(nested.form_params(F.col("form"), "pool", ["name", "address"]).alias("x"))
+    assert optimized(df).count("regexp_extract(") <= 4
+    assert [tuple(r) for r in df.first().x] == [(1, "b", None), (2, "a", None)]
