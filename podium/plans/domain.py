@@ -9,7 +9,7 @@ have, are told apart by a remainder of part and supplier.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Individual results with the keys of their hierarchy; the joins are inner along foreign keys."""
+def mir_id() -> Column:
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 8388608 + (F.col("l_partkey") * 100003 + F.col("l_suppkey")) % 8388593
+
+
+def dealt(df: DataFrame, spark: SparkSession, sf_dir: str, key: str, rows: int = 500_000) -> DataFrame:
+    """Results by key, in so many partitions that one has about so many of them, however large the tables are."""
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(few, -(-table(spark, sf_dir, "lineitem").count() // rows)), key)
+
+
+def results(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Individual results with the keys of their hierarchy; the joins are inner along foreign keys. With ids only those of these mir_id, which are looked up before the joins."""
     lines = table(spark, sf_dir, "lineitem")
+    if ids is not None:
+        lines = lines.join(ids.select(F.col("mir_id").alias("__wanted")), mir_id() == F.col("__wanted"), "left_semi")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     day = F.to_date("o_orderdate")
@@ -27,7 +39,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(parts, lines.l_partkey == parts.p_partkey)
         .select(
-            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 8388608 + (F.col("l_partkey") * 100003 + F.col("l_suppkey")) % 8388593).alias("mir_id"),
+            mir_id().alias("mir_id"),
             F.col("l_orderkey").alias("relay_id"),
             F.col("o_custkey").alias("swimmer_id"),
             F.col("l_suppkey").alias("team_id"),
@@ -65,10 +77,10 @@ def relay_swimmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("relay_id", "meeting_id", (F.col("team_id") % 3).alias("leg_swimmer")).distinct()
 
 
-def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def laps(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
     """Four laps a timed result; cumulative hundredths."""
     return (
-        results(spark, sf_dir)
+        results(spark, sf_dir, ids)
         .where("hundredths > 0")
         .select("mir_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("lap"), F.col("hundredths"))
         .select("mir_id", (F.col("lap") * 25).alias("length"), F.floor(F.col("hundredths") * F.col("lap") / 4).cast("long").alias("cumulative"))

@@ -54,3 +54,19 @@ def test_form_pairs_are_read_once(spark):
     df = spark.createDataFrame([("pool[2][name]=a&pool[name]=b&pool[1][x]=c",)], "form string").select(nested.form_params(F.col("form"), "pool", ["name", "address"]).alias("x"))
     assert optimized(df).count("regexp_extract(") <= 4
     assert [tuple(r) for r in df.first().x] == [(1, "b", None), (2, "a", None)]
+
+
+def test_results_and_laps_are_counted_before_they_meet(spark):
+    assert "Join Inner" in (plan := optimized(registry.queries()["eager_children"](spark, SF))) and "Generate" not in plan
+
+
+def test_rows_are_dealt_to_more_partitions_as_tables_grow(spark):
+    n = d.table(spark, SF, "lineitem").count()
+    assert d.dealt(d.results(spark, SF), spark, SF, "mir_id", 100).rdd.getNumPartitions() == -(-n // 100)
+
+
+def test_laps_of_given_results_only(spark):
+    ids = d.results(spark, SF).where("meeting_id = 199804").select("mir_id").distinct()
+    own = d.laps(spark, SF, ids)
+    wanted = d.laps(spark, SF).join(ids, "mir_id", "left_semi")
+    assert own.count() == wanted.count() > 0 and own.exceptAll(wanted).isEmpty()
