@@ -127,7 +127,9 @@ def current_vs_previous(spark: SparkSession, sf: str) -> DataFrame:
     select mir_id, coalesce(gender, case when n <= wanted then 'F' else 'M' end) as gender from numbered"""))
 def mixed_relay_genders(spark: SparkSession, sf: str) -> DataFrame:
     legs = d.results(spark, sf).join(d.swimmers(spark, sf), "swimmer_id").select("relay_id", "mir_id", F.when(F.col("swimmer_id") % 3 > 0, F.col("gender")).alias("g"))
-    whole = Window.partitionBy("relay_id")
-    nth = F.row_number().over(Window.partitionBy("relay_id", F.col("g").isNull()).orderBy("mir_id"))
+    # legs without a gender come last in one order of a relay, so it is dealt and sorted once
+    order = Window.partitionBy("relay_id").orderBy(F.col("g").isNull(), "mir_id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nth = F.row_number().over(order) - F.count("g").over(whole)
     wanted = F.floor(F.count("*").over(whole) / 2) - F.count_if(F.col("g") == "F").over(whole)
-    return legs.select("mir_id", F.coalesce("g", F.when(nth <= wanted, "F").otherwise("M")).alias("gender"))
+    return d.dealt(legs, spark, sf, "relay_id").select("mir_id", F.coalesce("g", F.when(nth <= wanted, "F").otherwise("M")).alias("gender"))

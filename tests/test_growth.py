@@ -70,3 +70,7 @@ def test_laps_of_given_results_only(spark):
     own = d.laps(spark, SF, ids)
     wanted = d.laps(spark, SF).join(ids, "mir_id", "left_semi")
     assert own.count() == wanted.count() > 0 and own.exceptAll(wanted).isEmpty()
+
+
+def test_relays_are_sorted_once(spark):
+    assert optimized(registry.queries()["mixed_relay_genders"](spark, SF)).count("Window [") == 1
