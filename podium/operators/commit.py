@@ -12,8 +12,9 @@ commit takes one entity:
     keys, dense and in parallel: rows are numbered inside ranges of keys, and the ranges' counts are added up.
 5.  Changes: of a new row all that isn't blank, of a stored one what isn't blank and differs.
 
-The levels' key maps and changes are written tables, so a level joins its rows once with each of its parents, and nothing comes to the driver but counts and,
-if the commit is refused, a few faults. Nothing is stored until all levels are through: then each changed table is written anew and one manifest is renamed.
+The levels' key maps and changes are written tables, so a level joins its rows once with each of its parents, and nothing comes to the driver but counts, bounds and,
+if the commit is refused, a few faults. What is stored is far more than what is staged, so little of it is moved: keys are looked up among the staged rows first, and among the stored ones only for
+rows that have found nothing there; stored rows are looked for only between the least and the largest of the staged ids and natural keys, which are taken while the staged rows are written. Nothing is stored until all levels are through: then each changed table is written anew and one manifest is renamed.
 """
 
 from __future__ import annotations
@@ -75,6 +76,11 @@ def missing_rows(staged: DataFrame, wanted: DataFrame, on: list[str]) -> DataFra
     return staged.unionByName(new, allowMissingColumns=True)
 
 
+def between(df: DataFrame, column: str, low: object, high: object) -> DataFrame:
+    """The rows that an equal value between these bounds can meet; none if there is no value."""
+    return df.where(F.lit(False) if low is None or high is None else F.col(column).between(F.lit(low), F.lit(high)))
+
+
 @dataclass
 class Plan:
     """What a commit would do."""
@@ -94,7 +100,7 @@ class Plan:
 
 def plan(entities: list[Entity], staged: dict[str, DataFrame], stored: dict[str, DataFrame], steps: Steps) -> Plan:
     """The changes of staged rows, level after level. stored tables have id, the written columns and, where links lead to them by key, key."""
-    keys: dict[str, DataFrame] = {}
+    keys: dict[str, list[DataFrame]] = {}
     state: dict[str, DataFrame] = {}
     changes, faults, log = {}, [], []
     for step, e in enumerate(entities, 1):
@@ -112,40 +118,60 @@ class Level:
     def __init__(self, step: int, entity: Entity, steps: Steps):
         self.step, self.entity, self.steps = step, entity, steps
 
-    def run(self, staged: DataFrame, stored: DataFrame, keys: dict[str, DataFrame], state: dict[str, DataFrame]) -> None:
+    def run(self, staged: DataFrame, stored: DataFrame, keys: dict[str, list[DataFrame]], state: dict[str, DataFrame]) -> None:
         e, keep = self.entity, self.steps.keep
-        found, seen = self.observed(self.found(self.linked(staged, keys), stored), "found", staged=F.count("*"))
+        linked, ends = self.linked(staged, keys)
+        found, seen = self.observed(self.found(linked, stored, ends), "found", staged=F.count("*"), low=F.min("target"), high=F.max("target"))
         self.faults = self.refused(found, state)
         # rows of one group are one row; the smallest key stands for it
-        group = F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("id"), F.lit(None).cast("string").alias("key"))).otherwise(F.struct(F.lit(None).cast("long").alias("id"), self.group_key().alias("key")))
-        grouped = found.withColumn("group", group)
+        group = F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("id"), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in e.natural), F.lit(None).cast("string").alias("key"))).otherwise(F.struct(F.lit(None).cast("long").alias("id"), *self.group_key()))
+        wanted = dict.fromkeys(("key", "target", *e.written, *e.natural))
+        grouped = found.select(group.alias("group"), *wanted)
         first = grouped.groupBy("group").agg(F.min_by(F.struct(*(F.col(c) for c in grouped.columns if c != "group")), "key").alias("row")).select("group", "row.*")
         last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         fresh = numbered(first.where("target is null"), ["key"], "row_id", self.steps, last)
         rows = keep(first.where("target is not null").withColumn("row_id", F.col("target")).unionByName(fresh), f"{e.name}-rows")
         own = grouped.select("group", "key").join(rows.select("group", F.col("row_id").alias("id")), "group").select("key", "id")
-        self.keys = keep(self.all_keys(own, stored), f"{e.name}-keys")
-        self.changes, counts = self.observed(self.changed(rows, stored), "changes", inserts=F.count_if(F.col("operation") == "INSERT"), updates=F.count_if(F.col("operation") == "UPDATE"))
+        self.keys = self.all_keys(own, stored)
+        self.changes, counts = self.observed(self.changed(rows, stored, seen["low"], seen["high"]), "changes", inserts=F.count_if(F.col("operation") == "INSERT"), updates=F.count_if(F.col("operation") == "UPDATE"))
         self.log = (e.name, seen["staged"], counts["inserts"], counts["updates"])
         self.state = self.committed(rows, stored)
 
-    def linked(self, staged: DataFrame, keys: dict[str, DataFrame]) -> DataFrame:
-        """staged with the ids of its links; `unlinked` lists those that lead nowhere."""
-        rows = staged
-        for column, parent in self.entity.links.items():
-            of = keys[parent].select(F.col("key").alias(f"{column}_key"), F.col("id").alias("__linked"))
-            rows = rows.join(of, f"{column}_key", "left").withColumn(column, F.coalesce(F.when(F.col(column) > 0, F.col(column)), F.col("__linked"))).drop("__linked")
-        lost = [F.when(F.col(f"{c}_key").isNotNull() & F.col(c).isNull(), F.lit(c)) for c in self.entity.links]
-        return rows.withColumn("unlinked", F.filter(F.array(*lost), lambda x: x.isNotNull()) if lost else F.array().cast("array<string>"))
-
-    def found(self, rows: DataFrame, stored: DataFrame) -> DataFrame:
+    def linked(self, staged: DataFrame, keys: dict[str, list[DataFrame]]) -> tuple[DataFrame, dict[str, object]]:
+        """staged with the ids of its links, as a written table, and the bounds of its ids and natural keys; `unlinked` lists the links that lead nowhere."""
+        links = self.entity.links
+        lost = lambda c: F.col(f"{c}_key").isNotNull() & F.col(c).isNull()
+        ends = {"id_low": F.min(F.when(F.col("id") > 0, F.col("id"))), "id_high": F.max("id")}
+        for k, c in enumerate(self.entity.natural):
+            ends |= {f"low_{k}": F.min(c), f"high_{k}": F.max(c)}
+        ends |= {f"lost_{k}": F.count_if(lost(c)) for k, c in enumerate(links)}
+        rows = staged.withColumns({c: F.when(F.col(c) > 0, F.col(c)) for c in links})
+        for column, parent in links.items():
+            rows = self.looked_up(rows, column, keys[parent][0])
+        rows, seen = self.observed(rows, "linked", **ends)
+        further = [c for k, c in enumerate(links) if seen[f"lost_{k}"] and len(keys[links[c]]) > 1]
+        if further:
+            for column in further:  # only rows that have found nothing meet the stored keys
+                rows = rows.where(~lost(column)).unionByName(self.looked_up(rows.where(lost(column)), column, keys[links[column]][1]))
+            rows, seen = self.observed(rows, "linked", **ends)
+        nowhere = [F.when(lost(c), F.lit(c)) for c in links]
+        return rows.withColumn("unlinked", F.filter(F.array(*nowhere), lambda x: x.isNotNull()) if nowhere else F.array().cast("array<string>")), seen
+
+    def looked_up(self, rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+        of = keys.select(F.col("key").alias(f"{column}_key"), F.col("id").alias("__linked"))
+        return rows.join(of, f"{column}_key", "left").withColumn(column, F.coalesce(column, "__linked")).drop("__linked")
+
+    def found(self, rows: DataFrame, stored: DataFrame, ends: dict[str, object]) -> DataFrame:
         """rows with target, the id of the stored row, and what the id alone leads to."""
         e = self.entity
-        by_id = stored.select(F.col("id").alias("__id"), F.struct(*(F.col(c) for c in e.natural)).alias("__natural") if e.natural else F.lit(None).cast("string").alias("__natural"))
+        by_id = between(stored, "id", ends["id_low"], ends["id_high"]).select(F.col("id").alias("__id"), F.struct(*(F.col(c) for c in e.natural)).alias("__natural") if e.natural else F.lit(None).cast("string").alias("__natural"))
         rows = rows.join(by_id, F.col("id") == F.col("__id"), "left")
         known = F.when(F.col("id") > 0, F.col("id") if e.trusted else F.col("__id"))
         if e.natural:
-            by_key = stored.groupBy(*e.natural).agg(F.min("id").alias("__same"))
+            near = stored
+            for k, c in enumerate(e.natural):
+                near = between(near, c, ends[f"low_{k}"], ends[f"high_{k}"])
+            by_key = near.groupBy(*e.natural).agg(F.min("id").alias("__same"))
             rows = rows.join(by_key, list(e.natural), "left")
             differs = (F.col("id") > 0) & F.col("__id").isNotNull() & ~F.struct(*(F.col(c) for c in e.natural)).eqNullSafe(F.col("__natural")) if e.agrees else F.lit(False)
             rows = rows.withColumn("target", F.coalesce(known, F.when(F.coalesce(F.col("id"), F.lit(0)) <= 0, F.col("__same"))))
@@ -172,30 +198,31 @@ class Level:
         reasons.append(F.when(F.col("key").isNull(), F.lit("no key")))
         return rows.select(F.lit(e.name).alias("entity"), "key", F.explode(F.filter(F.array(*reasons), lambda x: x.isNotNull())).alias("reason"))
 
-    def group_key(self) -> Column:
+    def group_key(self) -> list[Column]:
         """What makes new rows one: the natural key if all of it is there, else the key."""
-        if not self.entity.natural:
-            return F.col("key")
-        whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in self.entity.natural))
-        return F.when(whole, F.to_json(F.struct(*self.entity.natural))).otherwise(F.col("key"))
+        natural = self.entity.natural
+        whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in natural), F.lit(bool(natural)))
+        return [*(F.when(whole, F.col(c)).alias(c) for c in natural), F.when(~whole, F.col("key")).alias("key")]
 
-    def all_keys(self, own: DataFrame, stored: DataFrame) -> DataFrame:
-        """(key, id): of staged rows, of stored ones that aren't staged, and partial keys that lead to one row and are no key themselves."""
+    def all_keys(self, own: DataFrame, stored: DataFrame) -> list[DataFrame]:
+        """(key, id): of staged rows, and partial keys that lead to one row and are no key themselves; then of stored rows, for what isn't among the first."""
         exact = own.groupBy("key").agg(F.min("id").alias("id"))
-        if "key" in stored.columns:
-            of = stored.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
-            exact = exact.unionByName(of.join(exact.select("key"), "key", "left_anti"))
+        of = stored.where("key is not null").groupBy("key").agg(F.min("id").alias("id")) if "key" in stored.columns else None
         if self.entity.partial is None:
-            return exact
+            return [self.steps.keep(exact, f"{self.entity.name}-keys"), *([] if of is None else [of])]
+        if of is not None:
+            exact = exact.unionByName(of.join(exact.select("key"), "key", "left_anti"))
         exact = self.steps.keep(exact, f"{self.entity.name}-exact-keys")
         short = exact.select(self.entity.partial(F.col("key")).alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"), F.max("id").alias("most")).where("id = most and key is not null").select("key", "id")
-        return exact.unionByName(short.join(exact.select("key"), "key", "left_anti"))
+        return [self.steps.keep(exact.unionByName(short.join(exact.select("key"), "key", "left_anti")), f"{self.entity.name}-keys")]
 
-    def changed(self, rows: DataFrame, stored: DataFrame) -> DataFrame:
+    def changed(self, rows: DataFrame, stored: DataFrame, low: int | None, high: int | None) -> DataFrame:
         """A row for each row that is new or differs, with the columns to write."""
         e = self.entity
-        old = stored.select(F.col("id").alias("row_id"), F.lit(True).alias("__stored"), *(F.col(c).alias(f"__{c}") for c in e.written))
-        joined = rows.join(old, "row_id", "left") if not e.trusted else rows.where("target is null").withColumns({"__stored": F.lit(None).cast("boolean"), **{f"__{c}": F.lit(None) for c in e.written}})
+        old = between(stored, "id", low, high).select(F.col("id").alias("row_id"), F.lit(True).alias("__stored"), *(F.col(c).alias(f"__{c}") for c in e.written))
+        joined = rows.where("target is null").withColumns({"__stored": F.lit(None).cast("boolean"), **{f"__{c}": F.lit(None).cast(stored.schema[c].dataType) for c in e.written}})
+        if not e.trusted:  # new ids are above all stored ones
+            joined = joined.unionByName(rows.where("target is not null").join(old, "row_id", "left"))
         kinds = {c: rows.schema[c].dataType for c in e.written}
         there, new = {c: present(F.col(c), kinds[c]) for c in e.written}, F.col("__stored").isNull()
         cell = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))

@@ -54,6 +54,14 @@ RELAYS = """select session_key, team_key, min(mir_id) as id, min(season) as seas
 LEGS = """select session_key, team_key, swimmer_id, swimmer_key, relay_order from (select session_key, team_key, swimmer_id, swimmer_key, row_number() over (partition by session_key, team_key order by swimmer_id) as relay_order from (select distinct session_key, team_key, swimmer_id, swimmer_key from base) x) y where relay_order <= 3
     union all select r.session_key, r.team_key, m.swimmer_id, m.swimmer_key, 4 as relay_order from relays r join (select session_key, max(swimmer_id) as swimmer_id from base group by session_key) x on r.session_key = x.session_key join (select distinct swimmer_id, swimmer_key from base) m on m.swimmer_id = x.swimmer_id"""
 VIEWS = {"base": BASE, "relays": RELAYS, "legs": LEGS}
+#: The same relays and legs for Spark: grouped by numbers, keys are made after the shuffles.
+_keys = f"{_s('meeting_id')} || '/' || {_s('pool')} as session_key, 'team ' || {_s('team_id')} as team_key"
+_swimmer_key = f"case when swimmer_id % 2 = 0 then 'F' else 'M' end || '|swimmer ' || {_s('swimmer_id')} || '|' || {_s('1940 + swimmer_id % 65')} as swimmer_key"
+NARROW = {
+    "relays": f"select {_keys}, * from (select meeting_id, pool, team_id, min(mir_id) as id, min(season) as season, min(hundredths) as hundredths, bool_and(season_last) as season_last from base group by meeting_id, pool, team_id) x",
+    "legs": f"""select {_keys}, swimmer_id, {_swimmer_key}, relay_order from (select meeting_id, pool, team_id, swimmer_id, row_number() over (partition by meeting_id, pool, team_id order by swimmer_id) as relay_order from (select distinct meeting_id, pool, team_id, swimmer_id from base) x) y where relay_order <= 3
+        union all select session_key, team_key, swimmer_id, {_swimmer_key}, 4 as relay_order from relays r join (select meeting_id, pool, max(swimmer_id) as swimmer_id from base group by meeting_id, pool) x on r.meeting_id = x.meeting_id and r.pool = x.pool where swimmer_id is not null""",
+}
 
 _id = lambda when, value: f"case when {when} then cast({value} as bigint) end as id"
 _none = "cast(null as bigint)"
@@ -109,7 +117,7 @@ def tables(spark: SparkSession, sf: str, steps: Steps) -> tuple[dict[str, DataFr
     views = {"results": d.results(spark, sf)}
     run = lambda text: spark.sql(_braced(text), **{k: v for k, v in views.items() if "{" + k + "}" in _braced(text)})
     for name, text in VIEWS.items():
-        views[name] = steps.keep(run(text), name)
+        views[name] = steps.keep(run(NARROW.get(name, text)), name)
     staged = {e.name: run(STAGED[e.name]) for e in ENTITIES}
     staged["badge"] = cm.missing_rows(staged["badge"], run(NEEDED_BADGES), ["key"])
     return staged, {e.name: run(STORED[e.name]) for e in ENTITIES}
