@@ -324,11 +324,12 @@ CLUBS = 5
 @query("U19 U11 U23 G15 G16", _season_fix_sql())
 def season_fix(spark: SparkSession, sf: str) -> DataFrame:
     """Badges that go in each season, once check and merge have come to an end."""
-    b = d.results(spark, sf).groupBy("season", "swimmer_id", "team_id").agg(F.count("*").alias("n"))
+    n = d.partitions(spark, sf)
+    r = d.results(spark, sf, dealt_to=n).select("season", "swimmer_id", "team_id").repartition(n, "season", "swimmer_id")
     steps = Steps(spark, "season-fix")
-    b = steps.keep(b, "counted")
-    teams, _ = season.joined_teams(b, CLUBS, steps)
-    return season.badge_merges(b, teams)
+    own = steps.keep(season.by_swimmer(r.groupBy("season", "swimmer_id", "team_id").agg(F.count("*").alias("n"))), "swimmers")
+    teams, _ = season.renamed_teams(own, CLUBS, steps)
+    return season.badge_merges(season.badges_of(own.where(F.size("badges") > 1)), teams, n)
 
 
 ENTITIES = {

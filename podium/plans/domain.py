@@ -21,23 +21,31 @@ def mir_id() -> Column:
     return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 8388608 + (F.col("l_partkey") * 100003 + F.col("l_suppkey")) % 8388593
 
 
-def dealt(df: DataFrame, spark: SparkSession, sf_dir: str, key: str, rows: int = 500_000) -> DataFrame:
-    """Results by key, in so many partitions that one has about so many of them, however large the tables are."""
+def partitions(spark: SparkSession, sf_dir: str, rows: int = 500_000) -> int:
+    """So many that one has about so many results, however large the tables are."""
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(few, -(-table(spark, sf_dir, "lineitem").count() // rows)), key)
+    return max(few, -(-table(spark, sf_dir, "lineitem").count() // rows))
+
+
+def dealt(df: DataFrame, spark: SparkSession, sf_dir: str, key: str, rows: int = 500_000) -> DataFrame:
+    """Results by key, in partitions of about so many of them."""
+    return df.repartition(partitions(spark, sf_dir, rows), key)
 
 
-def results(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
-    """Individual results with the keys of their hierarchy; the joins are inner along foreign keys. With ids only those of these mir_id, which are looked up before the joins."""
+def results(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None, dealt_to: int | None = None) -> DataFrame:
+    """Individual results with the keys of their hierarchy; the joins are inner along foreign keys. With ids only those of these mir_id, which are looked up before the joins.
+    With dealt_to the joins run in so many partitions, each of which holds its orders and parts and sorts nothing."""
     lines = table(spark, sf_dir, "lineitem")
     if ids is not None:
         lines = lines.join(ids.select(F.col("mir_id").alias("__wanted")), mir_id() == F.col("__wanted"), "left_semi")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     day = F.to_date("o_orderdate")
+    by = lambda df, key: df.repartition(dealt_to, key) if dealt_to else df
+    held = lambda df, key: by(df, key).hint("shuffle_hash") if dealt_to else df
+    placed = by(lines, "l_orderkey").join(held(orders, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(parts, lines.l_partkey == parts.p_partkey)
+        by(placed, "l_partkey").join(held(parts, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             mir_id().alias("mir_id"),
             F.col("l_orderkey").alias("relay_id"),

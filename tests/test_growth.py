@@ -7,7 +7,7 @@ from podium.functions import nested
 from podium.operators import commit as cm
 from podium.operators.commit import Entity
 from podium.plans import domain as d
-from podium.plans import merges, registry, sections
+from podium.plans import changes, merges, registry, sections
 from podium.sources.shared import Steps
 from tests import oracle
 
@@ -91,3 +91,13 @@ def test_stored_keys_are_looked_up_only_where_nothing_is_staged(spark):
     assert steps.kept[names(steps).index("parent-keys")][0].count() == 1
     assert {(r.operation, r.id, r.columns.get("parent_id")) for r in plan.tables["child"].collect()} == {("INSERT", 101, "101"), ("INSERT", 102, "7"), ("INSERT", 103, None)}
     assert [(r.key, r.reason) for r in plan.faults.collect()] == [("d", "parent_id not found: ?")]
+
+
+def test_a_seasons_badges_are_dealt_as_tables_grow_and_few_are_looked_at_again(spark, monkeypatch):
+    steps = Steps(spark, "test")
+    monkeypatch.setattr(changes, "Steps", lambda *_: steps)
+    monkeypatch.setattr(d, "partitions", lambda *_: 19, raising=False)
+    found = registry.queries()["season_fix"](spark, SF)
+    first, files = steps.kept[0][0], len(steps.kept[0][0].inputFiles())
+    assert files == 19 and found.rdd.getNumPartitions() == 19
+    assert 0 < steps.kept[names(steps).index("open")][0].count() < first.count() / 5

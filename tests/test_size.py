@@ -47,3 +47,19 @@ def test_a_job_that_a_late_event_ends_waits_for_the_watermark(spark, tmp_path):
     con.sql(f"copy (select cast(e as bigint) as event_id, cast(u as bigint) as user_id, k as event_type, t as ts, cast(v as double) as value from (values {values}) x(e, u, k, t, v)) to '{tmp_path}/events.parquet' (format parquet)")
     con.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
     assert oracle.differences(registry.queries()["stream_queue_runs"](spark, str(tmp_path)), con, registry.oracle_sql()["stream_queue_runs"]) == ""
+
+
+def test_badges_without_a_swimmer_are_merged_like_others(spark, tmp_path):
+    """Those of orders without a customer are two badges once a swimmer's have joined teams 6 and 11."""
+    con, day = duckdb.connect(), datetime.datetime(2000, 5, 1)
+    orders = [(1, None, day), (2, 5, day), (3, 7, day), (4, 8, None)]
+    teams = [(1, 1), (1, 6), (1, 11), (2, 6), (2, 11), (3, 2), (3, 6), (3, 7), (4, 3), (4, 8)]
+    lines = [(order, 2, team, k, 1000.0, "A", "O") for k, (order, team) in enumerate(teams)]
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string"
+    tables = {"lineitem": (lines, line), "orders": (orders, "o_orderkey long, o_custkey long, o_orderdate timestamp"), "part": ([(2, "LARGE")], "p_partkey long, p_type string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = registry.queries()["season_fix"](spark, str(tmp_path))
+    assert oracle.differences(found, con, registry.oracle_sql()["season_fix"]) == ""
+    assert {(r.swimmer_id, r.team_id, r.survivor) for r in found.collect()} == {(None, 6, 1), (None, 11, 1), (5, 11, 6)}
