@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.operators.components import connected_components
-from podium.sources.shared import Steps
+from podium.sources.shared import STRAIGHT, Steps
 
 #: The badges of a team are dealt to so many tasks.
 SHARES = 8
@@ -70,10 +70,11 @@ def joined_teams(badges: DataFrame, club: int, steps: Steps, most: int = 100) ->
 
 def badge_merges(badges: DataFrame, teams: DataFrame, partitions: int | None = None) -> DataFrame:
     """(season, swimmer_id, team_id, survivor): of a swimmer's badges of teams that are one, the one of most results stays (the least team of equal ones), the others go. Teams that stand
-    alone may be left out. Badges meet teams, and then each other, in so many partitions (the session's by default); the teams of a partition are held, its badges are not sorted for them."""
+    alone may be left out. Badges meet each other in so many partitions (the session's by default), and teams in no more than STRAIGHT, as only the teams of a partition are held there."""
     partitions = partitions or int(badges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = min(partitions, STRAIGHT)
     key, order = ["season", "team_id", "share"], Window.partitionBy("season", "swimmer_id", "root").orderBy(F.col("n").desc(), "team_id")
-    shared = badges.withColumn("share", F.pmod(F.hash("swimmer_id"), F.lit(SHARES))).repartition(partitions, *key)
-    named = teams.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(partitions, *key).hint("shuffle_hash")
+    shared = badges.withColumn("share", F.pmod(F.hash("swimmer_id"), F.lit(SHARES))).repartition(met, *key)
+    named = teams.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(met, *key).hint("shuffle_hash")
     rows = shared.join(named, key).repartition(partitions, "season", "swimmer_id").withColumn("survivor", F.first("team_id").over(order))
     return rows.where("team_id <> survivor").select("season", "swimmer_id", "team_id", "survivor")

@@ -12,7 +12,7 @@ from podium.operators.ranking import first_per
 from podium.operators import season
 from podium.plans import domain as d
 from podium.plans.registry import query
-from podium.sources.shared import Steps
+from podium.sources.shared import STRAIGHT, Steps
 
 STORED = "select c_custkey as id, case when c_custkey % 5 > 0 then c_name end as name, case when c_custkey % 4 = 0 then null else c_mktsegment end as segment, c_nationkey as nation, c_custkey % 2 = 0 as active from customer where c_custkey % 3 > 0"
 INCOMING = "select c_custkey as id, case when c_custkey % 7 = 0 then ' ' else c_name end as name, case when c_custkey % 2 = 0 then 'SPORT' else c_mktsegment end as segment, case when c_custkey % 6 = 0 then 0 else c_nationkey end as nation, c_custkey % 5 = 0 as active from customer"
@@ -325,7 +325,7 @@ CLUBS = 5
 def season_fix(spark: SparkSession, sf: str) -> DataFrame:
     """Badges that go in each season, once check and merge have come to an end."""
     n = d.partitions(spark, sf)
-    r = d.results(spark, sf, dealt_to=n).select("season", "swimmer_id", "team_id").repartition(n, "season", "swimmer_id")
+    r = d.results(spark, sf, dealt_to=min(n, STRAIGHT)).select("season", "swimmer_id", "team_id").repartition(n, "season", "swimmer_id")
     steps = Steps(spark, "season-fix")
     own = steps.keep(season.by_swimmer(r.groupBy("season", "swimmer_id", "team_id").agg(F.count("*").alias("n"))), "swimmers")
     teams, _ = season.renamed_teams(own, CLUBS, steps)

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: To so many partitions a task writes its rows straight to files; to more, it holds them all until it ends (Spark's spark.shuffle.sort.bypassMergeThreshold).
+STRAIGHT = 200
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a session on one machine alone gets a folder of its own where that is unset, any other one an error."""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import nested
 from podium.operators import commit as cm
+from podium.operators import season
 from podium.operators.commit import Entity
 from podium.plans import domain as d
 from podium.plans import changes, merges, registry, sections
@@ -101,3 +102,11 @@ def test_a_seasons_badges_are_dealt_as_tables_grow_and_few_are_looked_at_again(s
     first, files = steps.kept[0][0], len(steps.kept[0][0].inputFiles())
     assert files == 19 and found.rdd.getNumPartitions() == 19
     assert 0 < steps.kept[names(steps).index("open")][0].count() < first.count() / 5
+
+
+def test_badges_meet_teams_in_partitions_that_tasks_write_straight(spark):
+    badges = spark.createDataFrame([(2000, 1, 1, 2), (2000, 1, 6, 1), (2000, 2, 6, 1)], "season int, swimmer_id long, team_id long, n long")
+    teams = spark.createDataFrame([(2000, 1, 1), (2000, 6, 1)], "season int, team_id long, root long")
+    merges = season.badge_merges(badges, teams, 300)
+    assert [optimized(merges).count(f"], {n}\n") for n in (200, 300)] == [2, 1]
+    assert [tuple(r) for r in merges.collect()] == [(2000, 1, 6, 1)]
