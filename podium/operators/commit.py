@@ -85,44 +85,57 @@ def between(df: DataFrame, column: str, low: object, high: object) -> DataFrame:
 class Plan:
     """What a commit would do."""
 
-    changes: DataFrame  # CHANGES, of all levels
-    faults: DataFrame  # entity, key, reason
-    log: list[tuple[str, int, int, int, int]]  # entity, staged rows, inserts, updates, faults
-    tables: dict[str, DataFrame]  # the changes of each level
+    changes: DataFrame | None  # CHANGES, of all levels
+    faults: DataFrame | None  # entity, key, reason
+    log: list[tuple[str, int, int | None, int | None, int | None]]  # entity, staged rows, inserts, updates, faults
+    tables: dict[str, DataFrame | None]  # the changes of each level
     steps: Steps
 
     def refuse(self) -> None:
         """Raises Refused if there are faults."""
+        if self.faults is None:
+            raise ValueError("this plan was made without its faults")
         count = sum(row[-1] for row in self.log)
         if count:
             raise Refused(self.faults, count)
 
 
-def plan(entities: list[Entity], staged: dict[str, DataFrame], stored: dict[str, DataFrame], steps: Steps) -> Plan:
-    """The changes of staged rows, level after level. stored tables have id, the written columns and, where links lead to them by key, key."""
+def plan(entities: list[Entity], staged: dict[str, DataFrame], stored: dict[str, DataFrame], steps: Steps, changes_only: bool = False, faults_only: bool = False) -> Plan:
+    """The changes of staged rows, level after level. stored tables have id, the written columns and, where links lead to them by key, key.
+
+    What a caller doesn't read can be left out: the faults, so that the plan can't be refused, or the changes, with the rows that no later level asks for."""
     keys: dict[str, list[DataFrame]] = {}
     state: dict[str, DataFrame] = {}
     changes, faults, log = {}, [], []
+    asked = {p for e in entities for p in (*e.links.values(), *(c.entity for c in e.checks))}
     for step, e in enumerate(entities, 1):
         level = Level(step, e, steps)
-        level.run(staged[e.name], stored[e.name], keys, state)
+        level.run(staged[e.name], stored[e.name], keys, None if changes_only else state, not faults_only, not faults_only or e.name in asked)
         keys[e.name], state[e.name], changes[e.name] = level.keys, level.state, level.changes
         faults.append(level.faults)
         log.append(level.log)
+    if changes_only:
+        return Plan(reduce(DataFrame.unionByName, changes.values()), None, [(*row, None) for row in log], changes, steps)
     refused = steps.keep(reduce(DataFrame.unionByName, faults), "faults")
     of = {r.entity: r["count"] for r in refused.groupBy("entity").count().collect()}  # a row an entity
-    return Plan(reduce(DataFrame.unionByName, changes.values()), refused, [(*row, of.get(row[0], 0)) for row in log], changes, steps)
+    return Plan(None if faults_only else reduce(DataFrame.unionByName, changes.values()), refused, [(*row, of.get(row[0], 0)) for row in log], changes, steps)
 
 
 class Level:
     def __init__(self, step: int, entity: Entity, steps: Steps):
         self.step, self.entity, self.steps = step, entity, steps
+        self.keys, self.state, self.changes, self.faults = [], None, None, None
 
-    def run(self, staged: DataFrame, stored: DataFrame, keys: dict[str, list[DataFrame]], state: dict[str, DataFrame]) -> None:
+    def run(self, staged: DataFrame, stored: DataFrame, keys: dict[str, list[DataFrame]], state: dict[str, DataFrame] | None, changes: bool = True, asked: bool = True) -> None:
+        """Without state no faults are looked for, without changes none are made; rows are only made if there are changes or a later level has asked for them."""
         e, keep = self.entity, self.steps.keep
         linked, ends = self.linked(staged, keys)
         found, seen = self.observed(self.found(linked, stored, ends), "found", staged=F.count("*"), low=F.min("target"), high=F.max("target"))
-        self.faults = self.refused(found, state)
+        self.log = (e.name, seen["staged"], None, None)
+        if state is not None:
+            self.faults = self.refused(found, state)
+        if not asked:
+            return
         # rows of one group are one row; the smallest key stands for it
         group = F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("id"), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in e.natural), F.lit(None).cast("string").alias("key"))).otherwise(F.struct(F.lit(None).cast("long").alias("id"), *self.group_key()))
         wanted = dict.fromkeys(("key", "target", *e.written, *e.natural))
@@ -132,10 +145,11 @@ class Level:
         fresh = numbered(first.where("target is null"), ["key"], "row_id", self.steps, last)
         rows = keep(first.where("target is not null").withColumn("row_id", F.col("target")).unionByName(fresh), f"{e.name}-rows")
         own = grouped.select("group", "key").join(rows.select("group", F.col("row_id").alias("id")), "group").select("key", "id")
-        self.keys = self.all_keys(own, stored)
+        self.keys, self.state = self.all_keys(own, stored), self.committed(rows, stored)
+        if not changes:
+            return
         self.changes, counts = self.observed(self.changed(rows, stored, seen["low"], seen["high"]), "changes", inserts=F.count_if(F.col("operation") == "INSERT"), updates=F.count_if(F.col("operation") == "UPDATE"))
         self.log = (e.name, seen["staged"], counts["inserts"], counts["updates"])
-        self.state = self.committed(rows, stored)
 
     def linked(self, staged: DataFrame, keys: dict[str, list[DataFrame]]) -> tuple[DataFrame, dict[str, object]]:
         """staged with the ids of its links, as a written table, and the bounds of its ids and natural keys; `unlinked` lists the links that lead nowhere."""

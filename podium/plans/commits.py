@@ -7,6 +7,8 @@ earlier import leaves them; stored rows are known by id, by natural key, or not
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +56,33 @@ RELAYS = """select session_key, team_key, min(mir_id) as id, min(season) as seas
 LEGS = """select session_key, team_key, swimmer_id, swimmer_key, relay_order from (select session_key, team_key, swimmer_id, swimmer_key, row_number() over (partition by session_key, team_key order by swimmer_id) as relay_order from (select distinct session_key, team_key, swimmer_id, swimmer_key from base) x) y where relay_order <= 3
     union all select r.session_key, r.team_key, m.swimmer_id, m.swimmer_key, 4 as relay_order from relays r join (select session_key, max(swimmer_id) as swimmer_id from base group by session_key) x on r.session_key = x.session_key join (select distinct swimmer_id, swimmer_key from base) m on m.swimmer_id = x.swimmer_id"""
 VIEWS = {"base": BASE, "relays": RELAYS, "legs": LEGS}
-#: The same relays and legs for Spark: grouped by numbers, keys are made after the shuffles.
+#: The same for Spark, in tables of numbers: results, what is one of a place (a program of a meeting) and of a person (a swimmer of a team in a season), and legs with their relays. Keys are made where they are read.
+_of_place = f"""meeting_id % 100 as month, meeting_id % 25 as nation, {_s('meeting_id')} as meeting_key, 'city ' || {_s('meeting_id % 25')} as city_key, 'city ' || {_s('meeting_id % 25')} || '/' || {_s('pool')} as pool_key,
+    {_s('meeting_id')} || '/' || {_s('pool')} as session_key, {_s('meeting_id')} || '/' || {_s('pool')} || '/' || event as event_key"""
+_grouped = f"case when swimmer_id % 2 = 0 then 'F' else 'M' end as gender, 'M' || {_s('(season - 1940 - swimmer_id % 65) - (season - 1940 - swimmer_id % 65) % 5')} as category"
 _keys = f"{_s('meeting_id')} || '/' || {_s('pool')} as session_key, 'team ' || {_s('team_id')} as team_key"
 _swimmer_key = f"case when swimmer_id % 2 = 0 then 'F' else 'M' end || '|swimmer ' || {_s('swimmer_id')} || '|' || {_s('1940 + swimmer_id % 65')} as swimmer_key"
+_of_person = f"{_grouped}, 'team ' || {_s('team_id')} as team_key, {_swimmer_key}"
+#: Written tables, in this order, and views of them.
 NARROW = {
-    "relays": f"select {_keys}, * from (select meeting_id, pool, team_id, min(mir_id) as id, min(season) as season, min(hundredths) as hundredths, bool_and(season_last) as season_last from base group by meeting_id, pool, team_id) x",
-    "legs": f"""select {_keys}, swimmer_id, {_swimmer_key}, relay_order from (select meeting_id, pool, team_id, swimmer_id, row_number() over (partition by meeting_id, pool, team_id order by swimmer_id) as relay_order from (select distinct meeting_id, pool, team_id, swimmer_id from base) x) y where relay_order <= 3
-        union all select session_key, team_key, swimmer_id, {_swimmer_key}, 4 as relay_order from relays r join (select meeting_id, pool, max(swimmer_id) as swimmer_id from base group by meeting_id, pool) x on r.meeting_id = x.meeting_id and r.pool = x.pool where swimmer_id is not null""",
+    "numbers": "select mir_id, swimmer_id, team_id, cast(season as bigint) as season, meeting_id, meeting_date, event, pool, hundredths, disqualified, season = (select max(season) from results) as season_last from results",
+    "programs": f"select season, season_last, meeting_id, pool, event, gender, category, min(mir_id) as mir_id, min(meeting_date) as meeting_date from (select *, {_grouped} from numbers) x group by season, season_last, meeting_id, pool, event, gender, category",
+    "entries": "select swimmer_id, team_id, season, season_last, min(mir_id) as mir_id from numbers group by swimmer_id, team_id, season, season_last",
+    "relays": f"select {_keys}, * from (select meeting_id, pool, team_id, min(mir_id) as id, min(season) as season, min(hundredths) as hundredths, bool_and(season_last) as season_last from numbers group by meeting_id, pool, team_id) x",
+    "raced": f"""select l.*, r.id, r.season, r.hundredths, r.season_last from (select meeting_id, pool, team_id, swimmer_id, relay_order from (select meeting_id, pool, team_id, swimmer_id, row_number() over (partition by meeting_id, pool, team_id order by swimmer_id) as relay_order from (select distinct meeting_id, pool, team_id, swimmer_id from numbers) x) y where relay_order <= 3
+        union all select r.meeting_id, r.pool, r.team_id, swimmer_id, 4 as relay_order from relays r join (select meeting_id, pool, max(swimmer_id) as swimmer_id from numbers group by meeting_id, pool) x on r.meeting_id = x.meeting_id and r.pool = x.pool where swimmer_id is not null) l
+        join relays r on l.meeting_id = r.meeting_id and l.pool = r.pool and l.team_id = r.team_id""",
+}
+SHOWN = {
+    "base": f"select *, {_of_place}, {_of_person}, 'result ' || {_s('mir_id')} as result_key from numbers",
+    "places": f"select *, {_of_place} from programs",
+    "people": f"select *, {_of_person} from entries",
+    "legs": f"select *, {_keys}, {_swimmer_key} from raced",
 }
+#: Where Spark reads an entity's rows; legs have what their relays have.
+SOURCES = dict.fromkeys(("meeting", "calendar", "city", "swimming_pool", "meeting_session", "meeting_event", "meeting_program"), "places") | dict.fromkeys(("team", "team_affiliation", "swimmer", "badge"), "people")
+#: Stored tables that are read often and made by a shuffle.
+WRITTEN = ("team", "team_affiliation", "swimmer")
 
 _id = lambda when, value: f"case when {when} then cast({value} as bigint) end as id"
 _none = "cast(null as bigint)"
@@ -102,6 +123,8 @@ STORED = {
     "relay_swimmer": "select cast(null as string) as key, r.id * 4 + relay_order - 1 as id, r.id as relay_result_id, swimmer_id, cast(null as bigint) as badge_id, relay_order from legs l join relays r on l.session_key = r.session_key and l.team_key = r.team_key where not season_last",
     "relay_lap": "select cast(null as string) as key, r.id * 4 + relay_order - 1 as id, r.id * 4 + relay_order - 1 as relay_swimmer_id, 50 as length, hundredths * relay_order as from_start from legs l join relays r on l.session_key = r.session_key and l.team_key = r.team_key where not season_last",
 }
+#: The same for Spark, whose people are one for each swimmer, team and season.
+STORED_BADGES = f"select cast(null as string) as key, mir_id as id, swimmer_id, team_id, season * 1000000000 + team_id as team_affiliation_id, season as season_id, category, '?' as number from people where {_both} and (not season_last or (swimmer_id + team_id) % 3 = 0)"
 #: Badges that relays need and nobody has staged.
 NEEDED_BADGES = f"select swimmer_key || '/' || l.team_key as key, {_none} as id, swimmer_key as swimmer_id_key, l.team_key as team_id_key, l.team_key as team_affiliation_id_key, season as season_id, '?' as number from legs l join relays r on l.session_key = r.session_key and l.team_key = r.team_key where season_last"
 #: What goes wrong in staged documents: ids that aren't stored or have other links, links that lead nowhere, a result with another's badge.
@@ -112,20 +135,30 @@ FAULTS = {
 }
 
 
+def told(name: str, text: str) -> str:
+    """An entity's rows in SQL for Spark."""
+    text = text.replace("from legs l join relays r on l.session_key = r.session_key and l.team_key = r.team_key", "from legs l")
+    text = re.sub(r"\br\.(?=id\b|season)", "l.", text) if "from legs l" in text else text
+    return text.replace("from base", f"from {SOURCES.get(name, 'base')}")
+
+
 def tables(spark: SparkSession, sf: str, steps: Steps) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """What is staged and what is stored."""
     views = {"results": d.results(spark, sf)}
     run = lambda text: spark.sql(_braced(text), **{k: v for k, v in views.items() if "{" + k + "}" in _braced(text)})
-    for name, text in VIEWS.items():
-        views[name] = steps.keep(run(NARROW.get(name, text)), name)
-    staged = {e.name: run(STAGED[e.name]) for e in ENTITIES}
-    staged["badge"] = cm.missing_rows(staged["badge"], run(NEEDED_BADGES), ["key"])
-    return staged, {e.name: run(STORED[e.name]) for e in ENTITIES}
+    for name, text in NARROW.items():
+        views[name] = steps.keep(run(text), name, by="season_last")
+    for name, text in SHOWN.items():
+        views[name] = run(text)
+    staged = {e.name: run(told(e.name, STAGED[e.name])) for e in ENTITIES}
+    staged["badge"] = cm.missing_rows(staged["badge"], run(told("badge", NEEDED_BADGES)), ["key"])
+    stored = {e.name: run(told(e.name, STORED_BADGES if e.name == "badge" else STORED[e.name])) for e in ENTITIES}
+    return staged, stored | {n: steps.keep(stored[n], f"{n}-stored") for n in WRITTEN}
 
 
 def _braced(text: str) -> str:
-    for name in ("results", *VIEWS):
-        text = text.replace(f"from {name}", f"from {{{name}}}").replace(f"join {name}", f"join {{{name}}}")
+    for name in ("results", *NARROW, *SHOWN):
+        text = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", text)
     return text
 
 
@@ -194,7 +227,7 @@ def _oracle(faults: bool = False) -> str:
 def entity_commit(spark: SparkSession, sf: str) -> DataFrame:
     """The ordered change set of the season's documents: sixteen tables, new ids in each, links filled level by level."""
     steps = Steps(spark, "entity-commit")
-    plan = cm.plan(ENTITIES, *tables(spark, sf, steps), steps)
+    plan = cm.plan(ENTITIES, *tables(spark, sf, steps), steps, changes_only=True)
     parts = [plan.tables[e.name].select("step", "entity", "operation", "id", written(e).alias("columns")) for e in ENTITIES]
     steps.drop_all_but(*plan.tables.values())
     out = parts[0]
@@ -208,7 +241,7 @@ def commit_faults(spark: SparkSession, sf: str) -> DataFrame:
     """Why faulty documents are refused, all faults of all levels."""
     steps = Steps(spark, "commit-faults")
     staged, stored = tables(spark, sf, steps)
-    return cm.plan(ENTITIES, faulty(spark, staged), stored, steps).faults
+    return cm.plan(ENTITIES, faulty(spark, staged), stored, steps, faults_only=True).faults
 
 
 def _log_oracle() -> str:
@@ -219,6 +252,6 @@ def _log_oracle() -> str:
 def commit_log(spark: SparkSession, sf: str) -> DataFrame:
     """Inserts and updates of each entity, observed while the changes are written."""
     steps = Steps(spark, "commit-log")
-    log = cm.plan(ENTITIES, *tables(spark, sf, steps), steps).log
+    log = cm.plan(ENTITIES, *tables(spark, sf, steps), steps, changes_only=True).log
     steps.drop_all_but()
     return spark.createDataFrame([(name, inserts, updates) for name, _, inserts, updates, _ in log if inserts or updates], "entity string, inserts long, updates long")

@@ -42,10 +42,10 @@ class Steps:
         self.spark, self.folder = spark, scratch(spark, name)
         self.kept: list[tuple[DataFrame, str]] = []
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a written table: cuts the lineage, and survives lost executors."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """df as a written table: cuts the lineage, and survives lost executors. Rows are in a folder for each value of `by`, so that readers of one value open no other file."""
         path = f"{self.folder}/{len(self.kept)}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.kept.append((table, path))
         return table
